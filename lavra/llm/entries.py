@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lavra.llm import decontam, langid, packing, tokenbin, tokencount
+from lavra.llm import decontam, langid, line_dedup, merkle, packing, tokenbin, tokencount, warc
 from lavra.llm.common import table
 
 
@@ -16,6 +16,14 @@ def bpe_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.summary(table(spark, sf_dir, "documents"))
+
+
+def op3_warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages"))
+
+
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents"))
 
@@ -36,15 +44,72 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.compare_fingerprints(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_line_dedup": op1_line_dedup,
+    "op3_warc_archive": op3_warc_archive,
     "op5_language_id": op5_language_id,
     "op6_token_files": op6_token_files,
     "op7_best_fit_packing": op7_best_fit_packing,
     "op8_token_counts": op8_token_counts,
     "op9_decontamination": op9_decontamination,
+    "op10_fingerprints": op10_fingerprints,
 }
 
 SQL: dict[str, str] = {
+    "op1_line_dedup": r"""
+with docs as (select doc_id, string_split(coalesce(text, ''), chr(10)) as lines, text is null as none from documents),
+l as (select doc_id * 1000000 + i as ord, doc_id, i, lines[i] as line from (select doc_id, lines, unnest(range(1, len(lines) + 1)) as i from docs where not none)),
+u as (select ord, doc_id, i, line from l where replace(line, ' ', '') <> '' qualify row_number() over (partition by line order by ord) = 1),
+w as (select ord, md5(line) as v from u where length(line) >= 20),
+d as (select ord, pos, md5(left(line, pos) || substr(line, pos + 2)) as v from (select ord, line, unnest(range(0, length(line))) as pos from u where length(line) >= 20)),
+near as (
+  select ord from (select ord, min(ord) over (partition by pos, v) as m from d) where m < ord
+  union select d.ord from d join w on d.v = w.v where w.ord < d.ord
+  union select w.ord from d join w on d.v = w.v where d.ord < w.ord),
+kept as (select ord from u where ord not in (select ord from near)),
+stays as (select doc_id, i, line from l where replace(line, ' ', '') = '' or ord in (select ord from kept)),
+joined as (select doc_id, count(*) as n, string_agg(line, chr(10) order by i) as t from stays group by doc_id)
+select docs.doc_id, cast(case when none then 0 else len(lines) end as bigint) as n_lines, coalesce(n, 0) as n_kept, sha256(coalesce(t, '')) as text_sha256
+from docs left join joined using (doc_id)
+""",
+    "op3_warc_archive": r"""
+with p as (select page_id, coalesce(html, '') as body, sha1(coalesce(html, '')) as h from pages),
+r as (select *, max(page_id) over (partition by body) as response from p)
+select page_id, cast(strlen(body) as bigint) as payload_bytes,
+       array_to_string(list_transform(range(32), lambda i:
+         substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + cast((cast('0x' || substr(h, cast(1 + 5 * (i // 4) as bigint), 5) as bigint) >> cast(15 - 5 * (i % 4) as bigint)) & 31 as bigint), 1)), '') as payload_digest,
+       case when page_id = response then 'response' else 'revisit' end as record_type,
+       case when page_id <> response then response end as refers_to
+from r
+""",
+    "op10_fingerprints": r"""
+with o as (
+  select doc_id, coalesce(text, '') as t,
+         coalesce(lead(coalesce(text, '')) over (order by doc_id desc), first_value(coalesce(text, '')) over (order by doc_id desc)) as nt
+  from documents),
+e as (select *, left(t, length(t) - length(t) // 3) || left(nt, length(t) // 3) as ed from o),
+x as (select doc_id, 0 as kind, t as s from e union all select doc_id, 1, ed from e union all select doc_id, 2, nt from e),
+l as (select doc_id, kind, list_transform(string_split(s, chr(10)), lambda p: list_transform(regexp_extract_all(p, '(?: *[^ ]+){1,6} *| +'), lambda g: md5(g))) as leaves from x),
+q as (
+  select doc_id, kind, list_filter(string_split(array_to_string(list_transform(leaves, lambda p:
+           md5(coalesce(array_to_string(p, ''), '')) || '=' || coalesce(array_to_string(list_transform(p, lambda g: substr(g, 1, 6)), ''), '')
+           || case when substr(md5(coalesce(array_to_string(p, ''), '')), 1, 1) in ('0', '1') then ';' else ',' end), ''), ';'), lambda s: s <> '') as sections,
+         list_distinct(list_transform(flatten(leaves), lambda g: substr(g, 1, 6))) as own
+  from l),
+f as (
+  select doc_id, kind, own,
+         sha256(array_to_string(list_transform(sections, lambda s: md5(regexp_replace(s, '=[0-9a-f]*', '', 'g'))), '')) || '|' ||
+         array_to_string(list_transform(sections, lambda s: substr(md5(regexp_replace(s, '=[0-9a-f]*', '', 'g')), 1, 8) || ':' || regexp_replace(s, '[0-9a-f]{32}=', '', 'g')), ';') as fp
+  from q)
+select e.doc_id, cast(length(t) as bigint) as n_chars, sha256(ed) as edited_sha256, a.fp as fingerprint, b.fp as edited_fingerprint,
+       case when left(a.fp, 64) = left(b.fp, 64) then 1.0::double else 2.0::double * len(list_intersect(a.own, b.own)) / greatest(len(a.own) + len(b.own), 1) end as near_edited,
+       case when left(a.fp, 64) = left(c.fp, 64) then 1.0::double else 2.0::double * len(list_intersect(a.own, c.own)) / greatest(len(a.own) + len(c.own), 1) end as near_next
+from e join f a on a.doc_id = e.doc_id and a.kind = 0 join f b on b.doc_id = e.doc_id and b.kind = 1 join f c on c.doc_id = e.doc_id and c.kind = 2
+""",
     "op9_decontamination": r"""
 with words as (
   select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w,
