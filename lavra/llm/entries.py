@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lavra.llm import decontam, langid, line_dedup, merkle, packing, tokenbin, tokencount, warc
+from lavra.llm import decontam, langid, line_dedup, merkle, minhash, packing, tokenbin, tokencount, warc
 from lavra.llm.common import table
 
 
@@ -24,6 +24,10 @@ def op3_warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages"))
 
 
+def op4_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"), 85, 100, 5)
+
+
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents"))
 
@@ -51,6 +55,7 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": op1_line_dedup,
     "op3_warc_archive": op3_warc_archive,
+    "op4_minhash_dedup": op4_minhash_dedup,
     "op5_language_id": op5_language_id,
     "op6_token_files": op6_token_files,
     "op7_best_fit_packing": op7_best_fit_packing,
@@ -109,6 +114,19 @@ select e.doc_id, cast(length(t) as bigint) as n_chars, sha256(ed) as edited_sha2
        case when left(a.fp, 64) = left(b.fp, 64) then 1.0::double else 2.0::double * len(list_intersect(a.own, b.own)) / greatest(len(a.own) + len(b.own), 1) end as near_edited,
        case when left(a.fp, 64) = left(c.fp, 64) then 1.0::double else 2.0::double * len(list_intersect(a.own, c.own)) / greatest(len(a.own) + len(c.own), 1) end as near_next
 from e join f a on a.doc_id = e.doc_id and a.kind = 0 join f b on b.doc_id = e.doc_id and b.kind = 1 join f c on c.doc_id = e.doc_id and c.kind = 2
+""",
+    "op4_minhash_dedup": r"""
+with recursive w as (
+  select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w from documents),
+s as (select distinct doc_id, array_to_string(w[i : i + least(5, len(w)) - 1], ' ') as g from (select doc_id, w, unnest(range(1, len(w) - least(5, len(w)) + 2)) as i from w where len(w) > 0)),
+n as (select doc_id, count(*) as n from s group by doc_id),
+c as (select a.doc_id as x, b.doc_id as y, count(*) as k from s a join s b on a.g = b.g and a.doc_id < b.doc_id group by 1, 2),
+e as (select x, y from c join n a on a.doc_id = x join n b on b.doc_id = y where 100 * k >= 85 * (a.n + b.n - k)),
+b as (select x, y from e union all select y, x from e),
+r(x, y) as (select doc_id, doc_id from documents union select r.x, b.y from r join b on r.y = b.x),
+m as (select x, min(y) as component_id from r group by x)
+select documents.doc_id, coalesce(n, 0) as n_shingles, component_id, documents.doc_id = component_id as kept
+from documents join m on m.x = documents.doc_id left join n on n.doc_id = documents.doc_id
 """,
     "op9_decontamination": r"""
 with words as (
