@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lavra.llm import decontam, langid, line_dedup, merkle, minhash, packing, tokenbin, tokencount, warc
+from lavra.llm import decontam, langid, line_dedup, merkle, minhash, packing, quality, tokenbin, tokencount, warc
 from lavra.llm.common import table
 
 
@@ -20,6 +20,10 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.summary(table(spark, sf_dir, "documents"))
 
 
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op3_warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages"))
 
@@ -54,6 +58,7 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": op1_line_dedup,
+    "op2_quality": op2_quality,
     "op3_warc_archive": op3_warc_archive,
     "op4_minhash_dedup": op4_minhash_dedup,
     "op5_language_id": op5_language_id,

@@ -252,6 +252,6 @@ def near_duplicates(docs: DataFrame, share: int = 85, of: int = 100, words: int
 
 def deduplicated(docs: DataFrame, share: int = 4, of: int = 5, words: int = 5) -> DataFrame:
     """The rows of ``docs`` that stand for their component, one each, with all their columns."""
-    kept = near_duplicates(docs, share, of, words).filter("kept").select("doc_id").distinct()
-    once = docs.dropDuplicates(["doc_id"])
-    return once.join(kept.withColumnRenamed("doc_id", "_kept"), F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi")
+    node = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)).cast("long"))
+    kept = near_duplicates(docs, share, of, words).filter("kept").select(node.alias("_node")).distinct()
+    return docs.withColumn("_node", node).join(kept, "_node", "left_semi").dropDuplicates(["_node"]).drop("_node")
