@@ -18,10 +18,10 @@ from lavra.llm.common import materialized
 MIN_CHARS = 20
 
 
-def _lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def _lines(docs: DataFrame, id_col: str, text_col: str, *more: Column) -> DataFrame:
     """``ord, tie`` of each row, and its text; rows with equal ids stand by a hash of their texts."""
     lowest = F.lit(-(1 << 63)).cast("long")
-    return docs.select(F.coalesce(F.col(id_col).cast("long"), lowest).alias("ord"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("tie"), F.col(text_col).alias("text"))
+    return docs.select(F.coalesce(F.col(id_col).cast("long"), lowest).alias("ord"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("tie"), F.col(text_col).alias("text"), *more)
 
 
 def _split(text: Column) -> Column:
@@ -123,21 +123,24 @@ def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, near: bool = True,
     if near:
         kept = kept.join(near_lines(firsts, docs, id_col, text_col), ["ord", "tie", "line_no"], "left_anti")
     per_doc = kept.groupBy("ord", "tie").agg(F.collect_list("line_no").alias("_kept"))
+    # the same columns as near_lines reads, if docs has no others: Spark then shuffles the texts once for both joins
     own = [c for c in docs.columns if c not in ("n_lines", "n_kept")]
-    lowest = F.lit(-(1 << 63)).cast("long")
-    keyed = docs.select(*own, F.coalesce(F.col(id_col).cast("long"), lowest).alias("_ord"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("_tie"))
-    joined = keyed.join(per_doc.withColumnsRenamed({"ord": "_ord", "tie": "_tie"}), ["_ord", "_tie"], "left")
-    split = joined.withColumn("_lines", _split(F.col(text_col)))
+    rest = [c for c in own if c not in (id_col, text_col)]
+    renamed = {c: f"_own_{i}" for i, c in enumerate(rest)}
+    keyed = _lines(docs, id_col, text_col, *(F.col(c).alias(n) for c, n in renamed.items()))
+    joined = keyed.join(per_doc, ["ord", "tie"], "left")
+    split = joined.withColumn("_lines", _split(F.col("text")))
     kept_at = F.sort_array(F.coalesce(F.col("_kept"), F.array().cast("array<int>")))
     flags = F.transform("_kept", lambda k, i: F.concat(F.repeat(F.lit("0"), k - F.when(i > 0, F.get(F.col("_kept"), i - 1)).otherwise(-1) - 1), F.lit("1")))
     split = split.withColumn("_kept", kept_at).withColumn("_flags", F.split(F.rpad(F.array_join(flags, ""), F.coalesce(F.size("_lines"), F.lit(0)), "0"), "", -1))
     stays = F.filter("_lines", lambda x, i: (F.trim(x) == "") | (F.get(F.col("_flags"), i) == "1"))
     out = split.withColumn("_stays", stays)
-    values = {text_col: F.array_join("_stays", "\n")}
-    return out.select(*(values.get(c, F.col(c)).alias(c) for c in own), F.coalesce(F.size("_lines"), F.lit(0)).cast("long").alias("n_lines"), F.coalesce(F.size("_stays"), F.lit(0)).cast("long").alias("n_kept"))
+    kind = docs.schema[id_col].dataType
+    values = {text_col: F.array_join("_stays", "\n"), id_col: F.when(F.col("ord") != -(1 << 63), F.col("ord")).cast(kind)}
+    return out.select(*(values.get(c, F.col(renamed.get(c, c))).alias(c) for c in own), F.coalesce(F.size("_lines"), F.lit(0)).cast("long").alias("n_lines"), F.coalesce(F.size("_stays"), F.lit(0)).cast("long").alias("n_kept"))
 
 
 def summary(docs: DataFrame) -> DataFrame:
     """Per document: lines, lines kept, and the digest of the text that stays."""
-    found = dedup_lines(docs)
+    found = dedup_lines(docs.select("doc_id", "text"))
     return found.select("doc_id", F.greatest("n_lines", F.lit(0)).alias("n_lines"), F.greatest("n_kept", F.lit(0)).alias("n_kept"), F.sha2(F.coalesce(F.col("text"), F.lit("")).cast("binary"), 256).alias("text_sha256"))
