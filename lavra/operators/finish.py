@@ -1,0 +1,96 @@
+"""The pipeline's last steps over a finished text, in one Arrow pass.
+
+The same steps exist as native functions in ``strip``; chained behind the whole pipeline they take Spark half a minute
+to plan, so the pipeline runs them here.  A test holds the two against each other.
+"""
+
+from __future__ import annotations
+
+import re
+
+from lavra.operators import machines, strip
+
+
+def _removed(text: str, patterns: list[tuple[str, int]]) -> str:
+    for p, flags in patterns:
+        text = re.sub(p, "", text, flags=flags)
+    return text
+
+
+_M, _IM, _IS = re.MULTILINE, re.MULTILINE | re.IGNORECASE, re.DOTALL | re.IGNORECASE
+_CATALOG = [re.compile(p, re.IGNORECASE if f else 0) for p, f in strip.CATALOG]
+
+
+def _spaced(text: str) -> str:
+    return re.sub("\n{4,}", "\n\n\n", text)
+
+
+def clean_artifacts(text: str) -> str:
+    text = _removed(text, [(strip.SUMMARY, _IS), (r"^\s*\*Resumo[:.]?\s.*?\*\s*$", _IM), (strip.COURSE_HEADER, _M), (strip.SHORT_HEADER, _M), (strip.PAGE_MARK, _IM), (strip.DASHED_NUMBER, _M)])
+    lines = text.split("\n")
+    blank = [not x.strip() for x in lines]
+    edge = [True, *blank, True]
+    lines = [x for i, x in enumerate(lines) if not (re.match(r"\s*\d{1,4}\s*$", x) and edge[i] and edge[i + 2])]
+    signs = [i for i, x in enumerate(lines) if any(p.search(x) for p in _CATALOG)]
+    if len(signs) > 1:
+        heads = [i for i, x in enumerate(lines) if x.strip().startswith("#")]
+        first = max([signs[0] - 3, 0, *(i + 1 for i in heads if max(signs[0] - 3, 0) <= i < signs[0])])
+        last = min([signs[-1] + 3, len(lines), *(i for i in heads if signs[-1] < i < signs[-1] + 3)])
+        lines = lines[:first] + lines[last:]
+    return _spaced("\n".join(lines))
+
+
+def relocate_footnotes(text: str) -> str:
+    notes = list(re.finditer(strip.FOOTNOTE, text, _M))
+    if not notes:
+        return text
+    body = text[: notes[0].start()].rstrip()
+    used = set(re.findall(r"\[\^(\d+)\](?!:)", body))
+    out = [body, *(f"\n> [!NOTE]\n> **Nota:** {m[2].strip()}\n" for m in notes if m[1] not in used)]
+    stays = [f"[^{m[1]}]: {m[2].strip()}" for m in notes if m[1] in used]
+    return "\n".join(out + ["\n\n---\n", "\n".join(stays)] * bool(stays)).rstrip() + "\n"
+
+
+def strip_footnotes(text: str) -> str:
+    text = _removed(text, [(r">\s*\[!NOTE\]\s*\n>\s*\*\*Nota:\*\*\s*.*", 0), (r"\[\^\d+\](?!:)", 0), (r"^\[\^\d+\]:\s*.*$", _M)])
+    text = machines.remove_note_numbers.rewrite(text)
+    return _spaced(re.sub("  +", " ", re.sub(r"\n---\s*\n*\Z", "\n", text)))
+
+
+def strip_artifacts(text: str) -> str:
+    dashed_page = r"^\s*[-–—]+\s*P[áa]gina\s*\d+\s*[-–—]+\s*$"
+    steps = [(r"^\s*\d{1,4}\s*$", _M), (dashed_page, _IM), (strip.COURSE_HEADER, _M), (strip.SUMMARY, _IS), (r"^\s*\|[\s|]*\|\s*$", _M), (r"^\s*\|[-\s:]+\|\s*$", _M), (strip.PAGE_MARK, _IM), (strip.DASHED_NUMBER, _M)]
+    return _spaced(_removed(text, steps))
+
+
+def tidy_links(text: str) -> str:
+    """Addresses without their marks, and lines of a page's buttons."""
+    for end in (r"\.", "(?=[a-zA-Z])"):
+        for scheme in ("https", "http"):
+            text = re.sub(rf"\b{scheme}www{end}", f"{scheme}://www.", text)
+    return _removed(text, [(rf"^\s*{start}.*$", _IM) for start in strip.UI_TEXTS])
+
+
+def polish(text: str) -> str:
+    small = machines.SMALL
+    text = re.sub(rf"\*\*([^*]*\d)([{small}][{small}]+[^*]*)\*\*", r"**\1** \2", text)
+    text = re.sub(rf"(\d{{5,}})([{small}]{{3,}})", r"\1 \2", text)
+    for mark in (r"\*\*(\d{1,3})\.\s*\*\*", r"\*\*(\d{1,3})\.\*\*", r"\*\*(\d{1,3})\*\*\s*\."):
+        text = re.sub(rf"^{mark}\s*(.*\S)[^\S\n]*$", r"\1. \2", text, flags=_M)
+    text = re.sub(rf"\*\*\*({'|'.join(strip.ITALIC_ONLY)})\*\*\*", r"*\1*", text, flags=re.IGNORECASE)
+    return re.sub(rf"\*\*\*(A\s+(?:{'|'.join(strip.ORDINALS)}))\*\*\*", r"**\1**", text, flags=re.IGNORECASE)
+
+
+@machines.machine
+def finish(text: str, references: bool = True, footnotes: bool = True, artifacts: bool = True) -> str:
+    """Artifacts, footnotes, links, references and polish, in the pipeline's order."""
+    text = tidy_links(relocate_footnotes(clean_artifacts(text)))
+    if references:
+        text = re.sub(strip.INLINE_REFERENCE, "", text, flags=_IM)
+    if footnotes:
+        text = strip_footnotes(text)
+    if artifacts:
+        text = strip_artifacts(text)
+    if references:
+        text = machines.strip_references.rewrite(text)
+    return polish(text)

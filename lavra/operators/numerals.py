@@ -1,0 +1,17 @@
+"""Roman numerals of I, V, X, L and C, for code outside expressions."""
+
+from __future__ import annotations
+
+from itertools import pairwise
+
+_VALUES = dict(zip("IVXLC", (1, 5, 10, 50, 100), strict=True))
+
+
+def from_roman(s: str) -> int:
+    values = [_VALUES.get(c, 0) for c in s]
+    return sum(-a if a < b else a for a, b in pairwise([*values, 0]))
+
+
+def to_roman(n: int) -> str:
+    digits = lambda d, one, five, ten: [one * d, one + five, five + one * (d - 5), one + ten][(d >= 4) + (d >= 5) + (d >= 9)] if d else ""
+    return "C" * (n // 100) + digits(n // 10 % 10, "X", "L", "C") + digits(n % 10, "I", "V", "X")
