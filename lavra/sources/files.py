@@ -19,6 +19,10 @@ from pyspark.sql import functions as F
 SUFFIXES = (".pdf", ".docx", ".txt", ".md")
 W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
 
+#: The signs that Windows-1252 has where ISO-8859-1 has controls; Spark decodes only the latter.
+_C1 = "".join(map(chr, range(0x80, 0xA0)))
+_CP1252 = "".join(bytes([i]).decode("cp1252", "ignore") or chr(i) for i in range(0x80, 0xA0))
+
 
 def read_files(spark: SparkSession, path: str, glob: str | None = None) -> DataFrame:
     """The files of a folder, not of folders below it; ``seq`` is their order by path."""
@@ -34,7 +38,7 @@ def decode(content: Column) -> Column:
     """Bytes as text: UTF-8 where valid (a byte order mark dropped), else Windows-1252."""
     bom = F.substring(content, 1, 3) == F.lit(b"\xef\xbb\xbf")
     body = F.when(bom, F.substring(content, 4, 1 << 30)).otherwise(content)
-    return F.when(F.is_valid_utf8(body.cast("string")), F.decode(body, "UTF-8")).otherwise(F.decode(content, "windows-1252"))
+    return F.when(F.is_valid_utf8(body.cast("string")), F.decode(body, "UTF-8")).otherwise(F.translate(F.decode(content, "iso-8859-1"), _C1, _CP1252))
 
 
 def _marks(run: ElementTree.Element) -> tuple[bool, bool]:
