@@ -129,15 +129,17 @@ def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, near: bool = True,
     renamed = {c: f"_own_{i}" for i, c in enumerate(rest)}
     keyed = _lines(docs, id_col, text_col, *(F.col(c).alias(n) for c, n in renamed.items()))
     joined = keyed.join(per_doc, ["ord", "tie"], "left")
-    split = joined.withColumn("_lines", _split(F.col("text")))
+    # each value is bound before a lambda uses it: a filter on the result that Spark pushes down must not compute it per line
+    once = lambda value, body: F.element_at(F.transform(F.array(value), body), 1)
+    flag = lambda kept: F.array_join(F.transform(kept, lambda k, i: F.concat(F.repeat(F.lit("0"), k - F.when(i > 0, F.get(kept, i - 1)).otherwise(-1) - 1), F.lit("1"))), "")
+    flags = lambda kept, lines: F.split(F.rpad(flag(kept), F.size(lines), "0"), "", -1)
+    staying = lambda lines, f: F.filter(lines, lambda x, i: (F.trim(x) == "") | (F.get(f, i) == "1"))
     kept_at = F.sort_array(F.coalesce(F.col("_kept"), F.array().cast("array<int>")))
-    flags = F.transform("_kept", lambda k, i: F.concat(F.repeat(F.lit("0"), k - F.when(i > 0, F.get(F.col("_kept"), i - 1)).otherwise(-1) - 1), F.lit("1")))
-    split = split.withColumn("_kept", kept_at).withColumn("_flags", F.split(F.rpad(F.array_join(flags, ""), F.coalesce(F.size("_lines"), F.lit(0)), "0"), "", -1))
-    stays = F.filter("_lines", lambda x, i: (F.trim(x) == "") | (F.get(F.col("_flags"), i) == "1"))
-    out = split.withColumn("_stays", stays)
+    stays = F.when(F.col("text").isNotNull(), once(_split(F.col("text")), lambda lines: once(kept_at, lambda kept: once(flags(kept, lines), lambda f: staying(lines, f)))))
+    out = joined.withColumn("_stays", stays)
     kind = docs.schema[id_col].dataType
     values = {text_col: F.array_join("_stays", "\n"), id_col: F.when(F.col("ord") != -(1 << 63), F.col("ord")).cast(kind)}
-    return out.select(*(values.get(c, F.col(renamed.get(c, c))).alias(c) for c in own), F.coalesce(F.size("_lines"), F.lit(0)).cast("long").alias("n_lines"), F.coalesce(F.size("_stays"), F.lit(0)).cast("long").alias("n_kept"))
+    return out.select(*(values.get(c, F.col(renamed.get(c, c))).alias(c) for c in own), F.coalesce(F.size(_split(F.col("text"))), F.lit(0)).cast("long").alias("n_lines"), F.coalesce(F.size("_stays"), F.lit(0)).cast("long").alias("n_kept"))
 
 
 def summary(docs: DataFrame) -> DataFrame:
