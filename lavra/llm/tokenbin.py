@@ -207,27 +207,32 @@ def write_token_files(docs: DataFrame, folder: str, path: str, end_id: int = 0,
 
 
 def read_token_files(files: DataFrame) -> DataFrame:
-    """Rows ``doc_id, start, n_tokens, ids_crc32, ids`` of the files, by their order.
+    """Rows ``doc_id, start, n_tokens, ids_crc32`` of the files, by their order.
 
-    ``start`` adds up the files before: by part (a few thousand rows whatever the corpus) and within a part.
+    Images are decoded where they are read and never shuffled.  ``start`` adds up the files before: by part (a few
+    thousand rows whatever the corpus) and within a part.
     """
-    parts = files.groupBy("part").agg(F.sum("n_ids").alias("of_part"))
+    sizes = files.select("part", "seg", "n_ids")
+    parts = sizes.groupBy("part").agg(F.sum("n_ids").alias("of_part"))
     before = parts.select("part", (F.sum("of_part").over(Window.orderBy("part")) - F.col("of_part")).alias("part_start"))
     within = Window.partitionBy("part").orderBy("seg")
-    starts = files.select("part", "seg", (F.sum("n_ids").over(within) - F.col("n_ids")).alias("seg_start")).join(before, "part")
-    placed = files.select("part", "seg", "image").join(starts, ["part", "seg"]).select((F.col("part_start") + F.col("seg_start")).alias("start"), "image")
-    out = "doc_id long, start long, n_tokens long, ids_crc32 long"
+    starts = sizes.select("part", "seg", (F.sum("n_ids").over(within) - F.col("n_ids")).alias("seg_start")).join(before, "part")
+    first = starts.select("part", "seg", (F.col("part_start") + F.col("seg_start")).alias("first"))
+    out = "part int, seg int, doc_id long, start long, n_tokens long, ids_crc32 long"
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for start, data in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+            for part, seg, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True):
                 keys, sizes, ids = open_image(data.as_py())
                 end = np.cumsum(sizes)
                 raw = memoryview(np.ascontiguousarray(ids, "<u4")).cast("B")
                 crc = [zlib.crc32(raw[4 * (e - s) : 4 * e]) for e, s in zip(end.tolist(), sizes.tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(start + end - sizes, pa.int64()), pa.array(sizes, pa.int64()), pa.array(crc, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
+                n = len(keys)
+                columns = [pa.array([part] * n, pa.int32()), pa.array([seg] * n, pa.int32()), *(pa.array(x, pa.int64()) for x in (keys, end - sizes, sizes, crc))]
+                yield pa.RecordBatch.from_arrays(columns, ["part", "seg", "doc_id", "start", "n_tokens", "ids_crc32"])
 
-    return placed.mapInArrow(decode, out)
+    found = files.select("part", "seg", "image").mapInArrow(decode, out).join(first, ["part", "seg"])
+    return found.select("doc_id", (F.col("first") + F.col("start")).alias("start"), "n_tokens", "ids_crc32")
 
 
 def round_trip(docs: DataFrame, path: str, end_id: int = 0) -> DataFrame:
