@@ -46,3 +46,11 @@ def test_stream_is_the_batch(spark, tmp_path):
     q.awaitTermination(120)
     got = {r["filename"]: r["success"] for r in spark.read.parquet(f"{tmp_path}/results").collect()}
     assert got == {r["filename"]: r["success"] for r in convert_folder(spark, at).collect()}
+
+
+def test_command_line(spark, tmp_path, capsys):
+    from lavra.__main__ import main, parser
+
+    assert main([folder(tmp_path), f"{tmp_path}/cli", "--glob", "*.txt", "--mode", "doutrina", "--no-strip-footnotes"]) == 0
+    assert "1 documents: 1 converted, 0 failed" in capsys.readouterr().out
+    assert parser().parse_args(["a", "b", "--separate"]).separate is True
