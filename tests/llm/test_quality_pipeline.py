@@ -47,6 +47,18 @@ def test_views_exchange_labels():
     assert quality.logits(text[:1], tw)[0] * (1 if y[0] else -1) > 0
 
 
+def test_every_unlabelled_row_is_learned_from(spark, monkeypatch):
+    monkeypatch.setattr(quality, "FEW", 0)
+    rng = random.Random(3)
+    text = lambda good: " ".join(rng.choice(("plain", "words", "here", "now")) if good else rng.choice(("LOUD!!", "NOISE??", "$$$")) for _ in range(12))
+    rows = [(i, text(i % 2), f"{'ab'[i % 2]}{i % 5}", "en", 60) for i in range(12_000)]
+    rows += [(12_000 + i, text(i % 2), ("rare-bad", "rare-good")[i % 2], "en", 60) for i in range(16)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string, n_chars long")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(200)], "doc_id long, quality int")
+    got = {(r["source"], r["meta_score"] > 0.5) for r in quality.scores(docs, labels).join(docs.filter("source like 'rare%'"), "doc_id").collect()}
+    assert got == {("rare-bad", False), ("rare-good", True)}
+
+
 VOCAB = [f"{a}{b}{c}" for a in ("the", "and", "with", "ing") for b in ("er", "on", "at", "es") for c in ("ly", "ed", "th", "")]
 
 
