@@ -14,7 +14,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lavra.llm.common import materialized
@@ -93,23 +93,28 @@ def signatures(own: np.ndarray) -> list[int]:
 
 
 def described(docs: DataFrame, words: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``node, n, digest, sigs`` per row: set size, 128 bits of hash of the set, signatures (null without shingles)."""
+    """``id, tie, n, digest, sigs`` per row: set size, 128 bits of hash of the set, signatures (null without shingles)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             n, digest, sigs = [], [], []
-            for t in b.column(1):
+            for t in b.column(2):
                 own = shingles(t.as_py(), words)
                 n.append(own.size)
                 digest.append(hashlib.blake2b(own.tobytes(), digest_size=16).digest() if own.size else None)
                 sigs.append(signatures(own) if own.size else None)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.array(sigs, pa.list_(pa.int64()))], ["node", "n", "digest", "sigs"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.array(sigs, pa.list_(pa.int64()))], ["id", "tie", "n", "digest", "sigs"])
 
-    return _keyed(docs, id_col, text_col).mapInArrow(run, "node long, n long, digest binary, sigs array<long>")
+    return _keyed(docs, id_col, text_col).mapInArrow(run, "id long, tie long, n long, digest binary, sigs array<long>")
 
 
 def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63)).cast("long")).alias("node"), F.col(text_col).alias("text"))
+    return docs.select(*_key(id_col, text_col), F.col(text_col).alias("text"))
+
+
+def _key(id_col: str, text_col: str) -> list[Column]:
+    """``id, tie`` of a row; rows with equal ids, or none, are told apart by a hash of their texts."""
+    return [F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63)).cast("long")).alias("id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("tie")]
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -183,7 +188,7 @@ def _compare(one: list[np.ndarray], two: list[np.ndarray] | None, keys: list[int
 
 
 def links(docs: DataFrame, members: DataFrame, share: int, of: int, words: int = 5, block: int = BLOCK, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Edges ``a, b`` that span the similar members of each family; ``members``: ``node, family, n`` (a written table).
+    """Edges ``a, b`` that span the similar members of each family; ``members``: ``node, id, tie, family, n`` (a written table).
 
     Sizes of similar sets lie within ``share / of``; a family is cut by classes of size, so that only equal or
     neighbouring classes are compared, and a class into blocks by hash.  Each task holds two blocks, whatever the
@@ -202,7 +207,7 @@ def links(docs: DataFrame, members: DataFrame, share: int, of: int, words: int =
     within = F.transform(every(F.col("blocks")), lambda j: F.when(j >= mine, meet(row, mine, False, j, 0)).otherwise(meet(row, j, False, mine, 1)))
     upward = F.transform(every(F.col("up")), lambda j: meet(row, mine, True, j, 0))
     downward = F.transform(every(F.col("down")), lambda j: meet(row - 1, j, True, mine, 1))
-    tasks = placed.select("node", "family", F.concat(within, upward, downward).alias("tasks"))
+    tasks = placed.select("node", "id", "tie", "family", F.concat(within, upward, downward).alias("tasks"))
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -210,7 +215,7 @@ def links(docs: DataFrame, members: DataFrame, share: int, of: int, words: int =
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), own], ["node", "family", "tasks", "own"])
 
     kind = "node long, family long, tasks array<struct<class:int,i:int,up:boolean,j:int,side:int>>, own binary"
-    held = _keyed(docs, id_col, text_col).join(tasks, "node").select("node", "family", "tasks", "text").mapInArrow(sets, kind)
+    held = _keyed(docs, id_col, text_col).join(tasks, ["id", "tie"]).dropDuplicates(["id", "tie"]).select("node", "family", "tasks", "text").mapInArrow(sets, kind)
     dealt = held.select("node", "family", F.explode("tasks").alias("t"), "own").select("node", "family", "t.*", "own")
 
     def compare(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -230,28 +235,42 @@ def near_duplicates(docs: DataFrame, share: int = 85, of: int = 100, words: int
 
     Documents are linked if ``of`` times the intersection of their shingles is at least ``share`` times the union.
     Exact copies of a set are one document until the end, so groups of copies cost one aggregate.  Texts without words
-    (null, empty) are linked with nothing; rows with equal ids are one document, all null ids too; an empty table gives
-    no rows.  No partner or candidate is dropped.
+    (null, empty) are linked with nothing; a component is named by its least id (none first).  Rows with equal ids and
+    texts are one document; rows with equal ids, or without one, but other texts are documents of their own.  An empty
+    table gives no rows.  No partner or candidate is dropped.
     """
+    real = lambda c: F.when(c != -(1 << 63), c)
+    found = _judged(docs, share, of, words, id_col, text_col)
+    return found.select(real(F.col("id")).alias("doc_id"), F.col("n").alias("n_shingles"), real(F.col("component.id")).alias("component_id"), "kept")
+
+
+def _judged(docs: DataFrame, share: int, of: int, words: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``id, tie, n, component, kept`` per row; ``component``: the least ``id, tie`` of the row's component."""
     facts = materialized(described(docs, words, id_col, text_col), "signatures")
-    reps = facts.filter("digest is not null").groupBy("digest").agg(F.min("node").alias("rep"), F.first("n").alias("n"), F.first("sigs").alias("sigs"))
-    reps = materialized(reps, "representatives")
+    own = F.struct("id", "tie")
+    reps = facts.filter("digest is not null").groupBy("digest").agg(F.min(own).alias("rep"), F.first("n").alias("n"), F.first("sigs").alias("sigs"))
+    # numbers that hold once written: graphs of long nodes
+    reps = materialized(reps.select(F.monotonically_increasing_id().alias("node"), "rep.id", "rep.tie", "digest", "n", "sigs"), "representatives")
     tables = F.flatten(F.transform(F.sequence(F.lit(0), F.lit(HALVES - 1)), lambda i: F.transform(F.sequence(F.lit(HALVES), F.lit(2 * HALVES - 1)), lambda j: F.xxhash64(i, j, F.get("sigs", i), F.get("sigs", j)))))
-    rows = reps.select("rep", F.explode(tables).alias("key"))
-    met = rows.groupBy("key").agg(F.min("rep").alias("centre"), F.count("*").alias("n")).filter("n > 1").select("key", "centre")
-    family = components(rows.join(met, "key").filter("rep <> centre").select(F.col("rep").alias("a"), F.col("centre").alias("b")))
-    roots = family.select(F.col("root").alias("node"), "root").distinct()
-    members = family.union(roots).join(reps.select(F.col("rep").alias("node"), "n"), "node").select("node", F.col("root").alias("family"), "n")
-    found = components(links(docs, materialized(members, "families"), share, of, words, id_col=id_col, text_col=text_col))
-    per_set = reps.join(found.withColumnRenamed("node", "rep"), "rep", "left").select("digest", F.coalesce("root", "rep").alias("component"))
-    joined = facts.select("node", "n", "digest").join(per_set, "digest", "left")
-    whole = F.coalesce("component", "node")
-    real = lambda c: F.when(c != -(1 << 63), c)
-    return joined.select(real(F.col("node")).alias("doc_id"), F.col("n").alias("n_shingles"), real(whole).alias("component_id"), (whole == F.col("node")).alias("kept"))
+    rows = reps.select("node", F.explode(tables).alias("key"))
+    met = rows.groupBy("key").agg(F.min("node").alias("centre"), F.count("*").alias("n")).filter("n > 1").select("key", "centre")
+    family = _whole(components(rows.join(met, "key").filter("node <> centre").select(F.col("node").alias("a"), F.col("centre").alias("b"))))
+    members = family.withColumnRenamed("root", "family").join(reps.select("node", "id", "tie", "n"), "node")
+    found = _whole(components(links(docs, materialized(members, "families"), share, of, words, id_col=id_col, text_col=text_col)))
+    named = found.join(reps.select("node", own.alias("rep")), "node")
+    least = named.join(named.groupBy("root").agg(F.min("rep").alias("least")), "root").select("node", "least")
+    per_set = reps.join(least, "node", "left").select("digest", F.coalesce("least", own).alias("component"))
+    joined = facts.select("id", "tie", "n", "digest").join(per_set, "digest", "left").withColumn("component", F.coalesce("component", own))
+    return joined.select("id", "tie", "n", "component", (F.col("component") == own).alias("kept"))
+
+
+def _whole(found: DataFrame) -> DataFrame:
+    """``node, root`` of ``components`` with the roots themselves."""
+    return found.union(found.select(F.col("root").alias("node"), "root").distinct())
 
 
 def deduplicated(docs: DataFrame, share: int = 4, of: int = 5, words: int = 5) -> DataFrame:
     """The rows of ``docs`` that stand for their component, one each, with all their columns."""
-    node = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)).cast("long"))
-    kept = near_duplicates(docs, share, of, words).filter("kept").select(node.alias("_node")).distinct()
-    return docs.withColumn("_node", node).join(kept, "_node", "left_semi").dropDuplicates(["_node"]).drop("_node")
+    key = ["_id", "_tie"]
+    kept = _judged(docs, share, of, words).filter("kept").select(F.col("id").alias("_id"), F.col("tie").alias("_tie")).distinct()
+    return docs.withColumns(dict(zip(key, _key("doc_id", "text"), strict=True))).join(kept, key, "left_semi").dropDuplicates(key).drop(*key)

@@ -68,6 +68,17 @@ def test_empty_and_deduplicated(spark):
     assert sorted((r["doc_id"] for r in kept.collect()), key=str) == sorted({r[0] for r in brute(corpus(4) + EXTRA, 4, 5) if r[3]}, key=str)
 
 
+def test_rows_without_an_id_are_apart(spark):
+    long = [" ".join(f"{w}{i}" for i in range(60)) for w in "pqr"]
+    near = long[1].replace("q30", "other")
+    rows = [(None, long[0]), (None, long[1]), (None, long[1]), (1, near), (2, long[2]), (2, long[0] + " and more"), (2, "something else"), (3, long[2]), (None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = [tuple(r) for r in minhash.deduplicated(docs).collect()]
+    assert sorted(kept, key=str) == sorted([(None, long[0]), (None, long[1]), (2, long[2]), (2, "something else"), (None, None)], key=str)
+    got = minhash.near_duplicates(docs, 4, 5).filter("doc_id = 1").first()
+    assert got["component_id"] is None and not got["kept"]
+
+
 def test_tables_find_what_is_similar():
     rng = np.random.default_rng(1)
     found = 0
