@@ -266,7 +266,7 @@ def table_drop_empty(rows: DataFrame) -> DataFrame:
 
 BLOCKS = """select cast(l_orderkey % 97 as bigint) as doc_id, cast(l_partkey % 7 as int) as page_idx, cast(row_number() over (partition by l_orderkey % 97, l_partkey % 7 order by l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice) as int) as blk_idx, 0 as type,
   cast(l_partkey % 500 as double) as x0, cast((l_suppkey * 7 + l_linenumber * 90) % 760 as double) as y0, cast(l_partkey % 500 as double) + 60 + l_suppkey % 3 * 100 as x1, cast((l_suppkey * 7 + l_linenumber * 90) % 760 as double) + 20 as y1,
-  case when l_orderkey % 11 = 0 then 'Página 3' else concat('bloco ', cast(l_partkey as string)) end as text from {lineitem} where l_linenumber <= 6"""
+  case when l_orderkey % 11 = 0 then 'Página 3' else concat('bloco ', cast(l_partkey as string)) end as text from {lineitem}"""
 PAGES = "select distinct cast(l_orderkey % 97 as bigint) as doc_id, cast(l_partkey % 7 as int) as page_idx, 612.0D as width, 792.0D as height from {lineitem}"
 _DUCK_PAGES = duck(PAGES).replace("612.0D", "612.0::double").replace("792.0D", "792.0::double")
 

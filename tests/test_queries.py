@@ -38,6 +38,11 @@ def test_query_is_its_sql(spark, duck, name):
     assert tidy(df.collect(), [df.columns.index(n) for n in names]) == tidy(rel.fetchall(), [rel.columns.index(n) for n in names])
 
 
+def test_layout_queries_read_all_blocks(spark):
+    order = registry.queries()["reading_order"](spark, DATA)
+    assert order.count() == spark.read.parquet(f"{DATA}/lineitem.parquet").count()
+
+
 @pytest.mark.parametrize("name", sorted(set(registry.queries()) - set(registry.oracle_sql())))
 def test_query_without_sql_runs(spark, name):
     df = registry.queries()[name](spark, DATA)
