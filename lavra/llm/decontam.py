@@ -31,8 +31,8 @@ def words_of(text: str | None) -> list[bytes]:
 class Searcher:
     """Tables for the patterns of some items."""
 
-    def __init__(self, items: list[tuple[str, list[bytes]]], size: int) -> None:
-        found: dict[int, dict[tuple[bytes, ...], set[str]]] = {}
+    def __init__(self, items: list[tuple[str | None, list[bytes]]], size: int) -> None:
+        found: dict[int, dict[tuple[bytes, ...], set[str | None]]] = {}
         for item, words in items:
             m = min(size, len(words))
             for i in range(len(words) - m + 1 if m else 0):
@@ -40,10 +40,10 @@ class Searcher:
         self.tables = [(m, *self._table(m, p)) for m, p in sorted(found.items())]
 
     @staticmethod
-    def _table(m: int, patterns: dict[tuple[bytes, ...], set[str]]):
+    def _table(m: int, patterns: dict[tuple[bytes, ...], set[str | None]]):
         block = min(2, m)
         shift: dict[tuple[bytes, ...], int] = {}
-        bucket: dict[tuple[bytes, ...], list[tuple[tuple[bytes, ...], frozenset[str]]]] = {}
+        bucket: dict[tuple[bytes, ...], list[tuple[tuple[bytes, ...], frozenset[str | None]]]] = {}
         for p, items in patterns.items():
             for end in range(block, m + 1):
                 key = p[end - block : end]
@@ -51,10 +51,10 @@ class Searcher:
             bucket.setdefault(p[m - block :], []).append((p, frozenset(items)))
         return block, shift, bucket
 
-    def search(self, words: list[bytes]) -> tuple[list[tuple[int, int]], set[str]]:
+    def search(self, words: list[bytes]) -> tuple[list[tuple[int, int]], set[str | None]]:
         """Merged spans ``[start, end)`` of words inside occurrences, and the items that occur."""
         spans: list[tuple[int, int]] = []
-        items: set[str] = set()
+        items: set[str | None] = set()
         n = len(words)
         for m, block, shift, bucket in self.tables:
             end, free = m, m - block + 1
@@ -99,13 +99,13 @@ def hits(docs: DataFrame, benchmark: DataFrame, size: int = 13, limit: int = BLO
 
     The size of the benchmark's text is measured first: one pass over ``docs`` if it is at most ``limit`` bytes, else
     one pass for each block of items, whose spans and items are then united row by row; no shuffle either way.
-    Null ids of items are ignored, null texts hold no words, equal items all count.
+    Items without an id are searched too and only missing from ``items``; null texts hold no words, equal items all count.
     """
     columns = [F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), *(F.col(c) for c in carry)]
     out = docs.select(*columns, F.lit(None).cast("long").alias("n_words"), F.lit(None).cast(_SPANS_DDL).alias("spans"), F.lit(None).cast("array<string>").alias("items"))
     spark = docs.sparkSession
     for k, part in enumerate(blocks := _blocks(benchmark, "item_id", "text", limit)):
-        rows = [(r["item_id"], words_of(r["text"])) for r in part.toLocalIterator() if r["item_id"] is not None]
+        rows = [(r["item_id"], words_of(r["text"])) for r in part.toLocalIterator()]
         shipped = spark.sparkContext.broadcast(rows)
 
         def search(batches: Iterator[pa.RecordBatch], shipped=shipped) -> Iterator[pa.RecordBatch]:
@@ -120,7 +120,7 @@ def hits(docs: DataFrame, benchmark: DataFrame, size: int = 13, limit: int = BLO
                         own |= set(more.as_py())
                     n_words.append(len(words))
                     spans.append([{"start": s, "end": e} for s, e in got])
-                    items.append(sorted(own))
+                    items.append(sorted(own - {None}))
                 new = {"n_words": pa.array(n_words, pa.int64()), "spans": pa.array(spans, _SPANS), "items": pa.array(items, pa.list_(pa.string()))}
                 yield pa.RecordBatch.from_arrays([new.get(name, b.column(name)) for name in b.schema.names], b.schema.names)
 

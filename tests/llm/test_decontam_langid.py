@@ -44,6 +44,15 @@ def test_contamination_is_brute_force(spark):
     assert decontam.contamination(docs.limit(0), bench).count() == 0
 
 
+def test_items_without_an_id_hit(spark):
+    docs = spark.createDataFrame([(1, "b c d e"), (2, "x y z"), (3, "p q r")], "doc_id long, text string")
+    bench = spark.createDataFrame([(None, "b c d"), (7, "x y z"), (None, "x y z")], "item_id long, text string")
+    for limit in (decontam.BLOCK_BYTES, 4):
+        got = {r["doc_id"]: (r["n_hit"], r["n_items"], r["items_sha256"], r["contaminated"]) for r in decontam.contamination(docs, bench, 3, 20, limit).collect()}
+        assert got == {1: (3, 0, decontam.items_digest([]), True), 2: (3, 1, decontam.items_digest(["7"]), True), 3: (0, 0, decontam.items_digest([]), False)}
+        assert [r["doc_id"] for r in decontam.clean(docs, bench, 3, 20, limit).collect()] == [3]
+
+
 def test_language_of_held_out_documents(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     got = langid.identify(docs).join(docs.select("doc_id", "lang"), "doc_id").collect()
