@@ -24,7 +24,7 @@ def parser() -> argparse.ArgumentParser:
         if isinstance(f.default, bool):
             p.add_argument(name, action=argparse.BooleanOptionalAction, default=None)
         else:
-            p.add_argument(name, type=int if isinstance(f.default, int) or f.name in ("chunk_size", "max_workers") else str)
+            p.add_argument(name)
     return p
 
 

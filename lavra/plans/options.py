@@ -25,14 +25,6 @@ class Options:
     strip_footnotes: bool = True
     strip_artifacts: bool = True
     strip_references: bool = True
-    ocr_enabled: bool = False
-    ocr_lang: str = "por"
-    ocr_threshold: int = 30
-    page_range: str | None = None
-    detect_columns: bool = True
-    chunk_size: int | None = None
-    max_workers: int | None = None
-    ocr_cache_enabled: bool = False
 
     def __post_init__(self) -> None:
         if self.mode not in ("forense", "doutrina", "google"):
@@ -59,6 +51,8 @@ def load(path: str | None = None, cli: dict | None = None) -> Options:
 
                 values = yaml.safe_load(text)
             found = found.over(values or {})
+            if unknown := sorted(set(values or {}) - {f.name for f in fields(Options)}):
+                warnings.warn(f"{path} has values that are no options: {', '.join(map(str, unknown))}", stacklevel=2)
         except (OSError, ValueError, ImportError, AttributeError) as e:
             warnings.warn(f"{path} is passed over: {e}", stacklevel=2)
     return found.over(cli or {})

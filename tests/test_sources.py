@@ -20,6 +20,24 @@ def folder(tmp_path):
     return str(at)
 
 
+def test_no_option_that_nothing_reads(tmp_path):
+    from dataclasses import fields
+    from pathlib import Path
+
+    import pytest
+
+    from lavra.__main__ import parser
+    from lavra.plans import options, pipeline
+
+    code = Path(pipeline.__file__).read_text()
+    assert [f.name for f in fields(Options) if f"o.{f.name}" not in code] == []
+    with pytest.raises(SystemExit):
+        parser().parse_args(["in", "out", "--page-range", "1-5"])
+    (tmp_path / "o.json").write_text('{"page_range": "1-5", "separate": true}')
+    with pytest.warns(UserWarning, match="page_range"):
+        assert options.load(str(tmp_path / "o.json")) == Options(separate=True)
+
+
 def test_files(spark, tmp_path):
     read = files.read_files(spark, folder(tmp_path))
     got = {r["filename"]: r for r in files.extract(read).collect()}
