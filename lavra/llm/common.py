@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Used only where the session names no shared folder (tests, a laptop).
 LOCAL_CHECKPOINTS = "/tmp/checkpoints"
@@ -19,9 +20,22 @@ def shared_dir(spark: SparkSession) -> str:
     return at.rstrip("/")
 
 
+def session_folder(spark: SparkSession) -> str:
+    """Where all intermediate tables of this session lie."""
+    return f"{shared_dir(spark)}/lavra-{spark.sparkContext.applicationId}"
+
+
 def new_folder(spark: SparkSession, what: str) -> str:
-    """A fresh path below the shared folder; nothing is created yet."""
-    return f"{shared_dir(spark)}/lavra-{what}-{uuid.uuid4().hex}"
+    """A fresh path below the session's folder; nothing is created yet."""
+    return f"{session_folder(spark)}/{what}-{uuid.uuid4().hex}"
+
+
+def drop_intermediates(spark: SparkSession) -> None:
+    """Deletes all intermediate tables of this session.
+
+    Results are lazy and read them, so this is called when the results are written, not by the operators.
+    """
+    drop_folder(spark, session_folder(spark))
 
 
 def drop_folder(spark: SparkSession, path: str) -> None:
@@ -31,13 +45,28 @@ def drop_folder(spark: SparkSession, path: str) -> None:
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
-def materialized(df: DataFrame, what: str) -> DataFrame:
+def materialized(df: DataFrame, what: str, path: str | None = None) -> DataFrame:
     """``df`` written to the shared folder and read again: cuts the lineage, survives lost executors."""
     spark = df.sparkSession
-    path = new_folder(spark, what)
+    path = path or new_folder(spark, what)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def row_key(id_col: str, text_col: str) -> list[Column]:
+    """``ord, tie``: a row's id (null below any other), and 128 bits of hash of its text.
+
+    Rows with equal ids, or without one, are told apart by their texts; rows equal in both are copies of one document.
+    """
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    lowest = F.lit(-(1 << 63)).cast("long")
+    return [F.coalesce(F.col(id_col).cast("long"), lowest).alias("ord"), F.struct(F.xxhash64(text).alias("a"), F.xxhash64(F.lit(91), text).alias("b")).alias("tie")]
+
+
+def real_id(ord_: Column) -> Column:
+    """The id that ``row_key`` made ``ord`` of."""
+    return F.when(ord_ != -(1 << 63), ord_)
