@@ -6,6 +6,7 @@ exactly zero; a temperature fitted on documents that were not trained on calibra
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -14,56 +15,68 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lavra.llm.common import materialized
+
 #: Letters and n-grams are hashed into so many buckets.
 DIM = 1 << 14
 ORDERS = (1, 2, 3)
 #: Most labelled documents per language that the weights are fitted on.
 SAMPLE = 600
 UNKNOWN = "und"
-#: Code points of text whose n-grams are counted at once.
+#: Code points of text whose n-grams are counted at once; n-grams across two windows count like all others.
 WINDOW = 1 << 20
 
 
-def _table() -> np.ndarray:
-    """By code point below 0x3000: 0 for what is no letter, else the lower-case letter."""
-    return np.array([ord(chr(i).lower()[0]) if chr(i).isalpha() else 0 for i in range(0x3000)], np.uint32)
-
-
-_LETTER = _table()
+@functools.cache
+def _letters(block: int) -> np.ndarray:
+    """For 4,096 code points: 0 for what is no letter, else the lower-case letter."""
+    return np.array([ord(chr(i).lower()[0]) if chr(i).isalpha() else 0 for i in range(block << 12, (block + 1) << 12)], np.uint32)
 
 
 def letters(text: str) -> np.ndarray:
-    """Lower-case letters of ``text``, each run of anything else one zero, zeros at both ends; empty if no letter."""
+    """Lower-case letters of ``text``, zeros for all other code points."""
     code = np.frombuffer(text.encode("utf-32-le", "replace"), np.uint32)
-    if code.size and int(code.max()) >= _LETTER.size:
-        low = np.where(code < _LETTER.size, _LETTER[np.minimum(code, _LETTER.size - 1)], 0)
-        for i in np.flatnonzero(code >= _LETTER.size).tolist():
-            c = chr(int(code[i]))
-            low[i] = ord(c.lower()[0]) if c.isalpha() else 0
-    else:
-        low = _LETTER[code]
-    if not low.any():
-        return np.empty(0, np.uint32)
-    keep = low != 0
-    keep[1:] |= low[:-1] != 0
-    return np.concatenate([[0], low[keep], [0]]).astype(np.uint32)
+    if not code.size:
+        return code
+    block = code >> np.uint32(12)
+    top = int(block.max())
+    if top == 0:
+        return _letters(0)[code]
+    out = np.zeros(code.size, np.uint32)
+    for k in range(top + 1):
+        here = block == k
+        if here.any():
+            out[here] = _letters(k)[code[here] & np.uint32(0xFFF)]
+    return out
 
 
 def count(text: str) -> np.ndarray | None:
-    """Counts of the whole text's n-grams by bucket; None if it has no letter."""
-    out = None
-    for lo in range(0, len(text), WINDOW):
-        a = letters(text[lo : lo + WINDOW])
-        if a.size:
-            h = a * np.uint32(0x9E3779B1)
-            seen = [h >> np.uint32(18)]
-            for n in ORDERS[1:]:
-                if h.size > 1:
-                    h = (h[:-1] ^ (h[:-1] >> np.uint32(15))) * np.uint32(0x85EBCA77) + a[n - 1 :] * np.uint32(0xC2B2AE3D)
-                    seen.append((h ^ (h >> np.uint32(13))) * np.uint32(0x27D4EB2F) >> np.uint32(18))
-            here = np.bincount(np.concatenate(seen), minlength=DIM)
-            out = here if out is None else out + here
-    return out
+    """Counts of the whole text's n-grams by bucket; None if it has no letter.
+
+    N-grams are those of the text's lower-case letters, with each run of anything else, and either end, as one mark.
+    """
+    out, seen_letter = np.zeros(DIM, np.int64), False
+    tail = np.zeros(1, np.uint32)  # what n-grams that end in the next window may begin with; the text begins with a mark
+    for lo in range(0, len(text) or 1, WINDOW):
+        low = letters(text[lo : lo + WINDOW])
+        seen_letter = seen_letter or bool(low.any())
+        if lo + WINDOW >= len(text):
+            low = np.append(low, np.uint32(0))
+        keep = low != 0
+        keep[1:] |= low[:-1] != 0
+        keep[0] |= tail[-1] != 0
+        new = low[keep]
+        a = np.concatenate([tail, new])
+        h = a * np.uint32(0x9E3779B1)
+        seen = [h[tail.size - (lo == 0) :] >> np.uint32(18)]
+        for n in ORDERS[1:]:
+            if h.size > 1:
+                h = (h[:-1] ^ (h[:-1] >> np.uint32(15))) * np.uint32(0x85EBCA77) + a[n - 1 :] * np.uint32(0xC2B2AE3D)
+                fresh = h[max(0, tail.size - n + 1) :]  # those that end in this window
+                seen.append((fresh ^ (fresh >> np.uint32(13))) * np.uint32(0x27D4EB2F) >> np.uint32(18))
+        out += np.bincount(np.concatenate(seen), minlength=DIM)
+        tail = a[-(max(ORDERS) - 1) :]
+    return out if seen_letter else None
 
 
 def features(counts: np.ndarray, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -138,9 +151,10 @@ def held_out(doc_id: Column) -> Column:
 def fit(docs: DataFrame, sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
     """Learns from texts and non-null labels of the documents that are not held out.
 
-    Document frequencies cover all those documents: each partition adds up one vector of ``DIM`` numbers.  Weights are
-    fitted on about ``sample`` documents of each language, drawn evenly by a hash of id and text; every fifth of these
-    only sets the temperature.  To the driver come the vector, the languages and the sample's sparse features.
+    One parallel pass over those documents' whole texts writes each task's document frequencies and the features of
+    about ``sample`` documents of each language, drawn by a hash of id and text, to the shared folder; frequencies are
+    summed by bucket in Spark.  Copies count in the frequencies and once in the sample.  Every fifth of the sample only
+    sets the temperature.  To the driver come ``DIM`` sums, the languages and the sample's sparse features.
     """
     known = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).filter(~held_out(F.col(id_col)) & F.col("text").isNotNull() & F.col("lang").isNotNull())
     per_lang = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).collect()}
@@ -149,11 +163,13 @@ def fit(docs: DataFrame, sample: int = SAMPLE, id_col: str = "doc_id", text_col:
         return Model([], np.ones(DIM), np.zeros((DIM, 0)), np.zeros(0), 1.0)
     number = {x: i for i, x in enumerate(langs)}
     share = {x: min(1.0, sample / n) for x, n in per_lang.items()}
+    kinds = (pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary())
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """``kind`` is a language's number for a drawn document; -1: ``n`` documents have an n-gram of bucket ``key``; -2: ``n`` documents."""
+        row = lambda *columns: pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, kinds, strict=True)], ["kind", "key", "n", "a", "b"])
         df, n = np.zeros(DIM, np.int64), 0
         for b in batches:
-            picked: list[tuple[int, int, bytes, bytes]] = []
             for key, text, lang in zip(b.column(0).to_pylist(), b.column(1), b.column(2).to_pylist(), strict=True):
                 c = count(text.as_py())
                 if c is None:
@@ -162,21 +178,22 @@ def fit(docs: DataFrame, sample: int = SAMPLE, id_col: str = "doc_id", text_col:
                 n += 1
                 if (key % (1 << 40)) / (1 << 40) < share[lang]:
                     at = np.flatnonzero(c)
-                    picked.append((number[lang], key, at.astype("<u2").tobytes(), c[at].astype("<u4").tobytes()))
-            for one in picked:
-                yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(one, (pa.int32(), pa.int64(), pa.binary(), pa.binary()), strict=True)], ["kind", "n", "a", "b"])
-        yield pa.RecordBatch.from_arrays([pa.array([-1], pa.int32()), pa.array([n], pa.int64()), pa.array([df.astype("<i8").tobytes()], pa.binary()), pa.array([b""], pa.binary())], ["kind", "n", "a", "b"])
+                    yield row([number[lang]], [key], [1], [at.astype("<u2").tobytes()], [c[at].astype("<u4").tobytes()])
+        if n:
+            at = np.flatnonzero(df)
+            none = [None] * (at.size + 1)
+            yield row([-2] + [-1] * at.size, [0, *at.tolist()], [n, *df[at].tolist()], none, none)
 
     keyed = known.select(F.xxhash64("doc_id", "text").alias("key"), "text", "lang")
+    found = materialized(keyed.mapInArrow(gather, "kind int, key long, n long, a binary, b binary"), "languages")
     df, total = np.zeros(DIM, np.int64), 0
-    taken: list[tuple[int, int, np.ndarray, np.ndarray]] = []
-    for r in keyed.mapInArrow(gather, "kind int, n long, a binary, b binary").toLocalIterator():
-        if r["kind"] < 0:
-            df += np.frombuffer(r["a"], "<i8")
-            total += r["n"]
+    for r in found.filter("kind < 0").groupBy("kind", "key").agg(F.sum("n").alias("n")).collect():
+        if r["kind"] == -1:
+            df[r["key"]] = r["n"]
         else:
-            taken.append((r["n"], r["kind"], np.frombuffer(r["a"], "<u2"), np.frombuffer(r["b"], "<u4")))
-    taken.sort(key=lambda x: x[:2])
+            total = r["n"]
+    drawn = found.filter("kind >= 0").groupBy("kind", "key").agg(F.first("a").alias("a"), F.first("b").alias("b")).collect()
+    taken = sorted(((r["key"], r["kind"], np.frombuffer(r["a"], "<u2"), np.frombuffer(r["b"], "<u4")) for r in drawn), key=lambda x: x[:2])
     idf = np.log((1 + total) / (1 + df)) + 1
     rows = []
     for _, _, at, c in taken:
@@ -192,7 +209,8 @@ def fit(docs: DataFrame, sample: int = SAMPLE, id_col: str = "doc_id", text_col:
 def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
     """Adds ``lang_pred`` and ``score`` to id, text and the carried columns; only the text decides.
 
-    ``und`` with score 0 if the text is null or has no letter.  One narrow pass; the model is of fixed size.
+    ``und`` with score 0 if the text is null or has no letter.  One narrow pass; the model is of fixed size, and a text
+    of any length is counted in windows.
     """
     shipped = docs.sparkSession.sparkContext.broadcast(model)
     slim = docs.select(F.col(id_col), F.col(text_col), *(F.col(c) for c in carry), F.lit("").alias("lang_pred"), F.lit(0.0).alias("score"))
@@ -210,8 +228,9 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
 def identify(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
     """``doc_id, held_out, lang_pred, score`` for every row of ``docs``.
 
-    Null ids count as not held out; repeated rows are predicted each; an empty table gives no rows; if nothing is
-    labelled, every prediction is ``und``.
+    Null ids count as not held out; repeated rows are predicted each; whole texts count, whatever their length; an
+    empty table gives no rows; if nothing is labelled, every prediction is ``und``.  Ties go to the language that sorts
+    first.  Columns of ``docs`` other than ``doc_id, text, lang`` are not read, so their names cannot clash.
     """
     model = fit(docs, sample)
     slim = predict(docs, model)
@@ -219,7 +238,11 @@ def identify(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
 
 
 def accepted(docs: DataFrame, sample: int = SAMPLE, least: float = 0.5) -> DataFrame:
-    """The rows whose language is known with at least the score ``least``, with all their columns."""
+    """The rows whose language is known with at least the score ``least``, with all their columns.
+
+    Rows without text or letters go; rows with null ids or labels are judged like all others; repeated rows are judged
+    each; an empty table stays empty; columns named like this operator's own pass through unchanged.
+    """
     own = {c: f"_own_{i}" for i, c in enumerate(docs.columns) if c in ("lang_pred", "score")}
     renamed = docs.withColumnsRenamed(own)
     rest = tuple(c for c in renamed.columns if c not in ("doc_id", "text"))
