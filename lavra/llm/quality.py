@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lavra.llm.common import materialized
+from lavra.llm.minhash import word_hashes
 
 #: About how many labelled documents come to the driver, to start from and to calibrate on; all are learned from.
 LABELLED = 4_000
@@ -27,12 +28,12 @@ ROUNDS, STEPS = 4, 5
 #: How sure a view must be to label a document for the other one, and what such a label weighs.
 SURE, GIVEN = 0.97, 0.5
 L2 = 1e-5
-GRAMS = 1 << 12
+#: Buckets of n-grams of kinds of characters, of words, and of metadata values.
+GRAMS, WORDS, META = 1 << 12, 1 << 12, 1 << 10
 STYLE = 12
-META = 1 << 10
-DIMS = (GRAMS + STYLE, META)
-#: Numbers that ``sums`` gives, and tasks whose sums (41 kB each) the driver adds up by itself.
-SUMS, FEW = GRAMS + STYLE + META + 7, 64
+DIMS = (GRAMS + WORDS + STYLE, META)
+#: Numbers that ``sums`` gives, and tasks whose sums (74 kB each) the driver adds up by itself.
+SUMS, FEW = sum(DIMS) + 7, 64
 WINDOW = 1 << 20
 #: Rows whose features are laid out at once.
 ROWS = 512
@@ -48,42 +49,49 @@ def _classes() -> np.ndarray:
 
 
 _CLASS = _classes()
+Row = tuple[np.ndarray, np.ndarray]
+
+
+def _unit(counts: np.ndarray) -> Row:
+    at = np.flatnonzero(counts)
+    v = np.log1p(counts[at])
+    return at, v / max(float(np.sqrt(v @ v)), 1e-12)
 
 
-def text_features(text: str | None) -> tuple[np.ndarray, np.ndarray]:
-    """Hashed bigrams and trigrams of kinds of characters, word lengths, repetition: of the whole text."""
+def text_features(text: str | None) -> Row:
+    """Hashed words, bigrams and trigrams of kinds of characters, word lengths, repetition: of the whole text."""
     text = text or ""
     counts = np.zeros(GRAMS)
     kinds = np.zeros(4)
     for lo in range(0, len(text), WINDOW):
-        code = np.frombuffer(text[lo : lo + WINDOW].encode("utf-32-le", "replace"), np.uint32)
+        before = min(2, lo)  # characters of the window before, so that no n-gram is lost
+        code = np.frombuffer(text[lo - before : lo + WINDOW].encode("utf-32-le", "replace"), np.uint32)
         k = _CLASS[np.minimum(code, _CLASS.size - 1)]
-        kinds += [np.count_nonzero(k == j) for j in range(4)]
+        kinds += [np.count_nonzero(k[before:] == j) for j in range(4)]
         h = k[:-1] * np.uint32(0x9E3779B1) + k[1:] * np.uint32(0x85EBCA77)
-        seen = [h >> np.uint32(20)]
+        seen = [h[max(0, before - 1) :] >> np.uint32(20)]
         if k.size > 2:
             seen.append(((h[:-1] ^ (h[:-1] >> np.uint32(15))) * np.uint32(0xC2B2AE3D) + k[2:] * np.uint32(0x27D4EB2F)) >> np.uint32(20))
         counts += np.bincount(np.concatenate(seen), minlength=GRAMS)
-    at = np.flatnonzero(counts)
-    v = np.log1p(counts[at])
-    v /= max(float(np.sqrt(v @ v)), 1e-12)
-    words, lines = text.split(), text.split("\n")
+    words, n_lines = word_hashes(text), text.count("\n") + 1
+    at, v = _unit(counts)
+    word_at, word_v = _unit(np.bincount((words >> np.uint64(52)).astype(np.int64), minlength=WORDS))
     n = max(1, len(text))
     style = np.array([
         *(kinds / n),
         1 - kinds.sum() / n if text else 0.0,
-        len(set(words)) / max(1, len(words)),
-        len(set(lines)) / len(lines),
-        min(1.0, len(text) / max(1, len(words)) / 20),
-        np.log1p(len(words)) / 12,
-        np.log1p(len(text) / len(lines)) / 12,
-        float(not words),
-        np.log1p(len(lines)) / 12,
+        np.unique(words).size / max(1, words.size),
+        len(set(text.split("\n"))) / n_lines,
+        min(1.0, len(text) / max(1, words.size) / 20),
+        np.log1p(words.size) / 12,
+        np.log1p(len(text) / n_lines) / 12,
+        float(not words.size),
+        np.log1p(n_lines) / 12,
     ])
-    return np.concatenate([at, np.arange(GRAMS, GRAMS + STYLE)]), np.concatenate([v, style])
+    return np.concatenate([at, GRAMS + word_at, np.arange(GRAMS + WORDS, DIMS[0])]), np.concatenate([v, word_v, style])
 
 
-def meta_features(values: dict) -> tuple[np.ndarray, np.ndarray]:
+def meta_features(values: dict) -> Row:
     """Hashed ``column=value``; numbers by their power of two."""
     at = []
     for name, x in sorted(values.items()):
@@ -93,9 +101,6 @@ def meta_features(values: dict) -> tuple[np.ndarray, np.ndarray]:
     return np.array(at, np.int64), np.full(len(at), 1 / max(1.0, len(at)) ** 0.5)
 
 
-Row = tuple[np.ndarray, np.ndarray]
-
-
 def train(rows: list[Row], y: np.ndarray, weight: np.ndarray, dim: int, epochs: int = 12, rate: float = 0.5, l2: float = 1e-5) -> np.ndarray:
     """Weights and, last, the bias of a logistic regression, by AdaGrad in a fixed random order."""
     w, g2 = np.zeros(dim + 1), np.full(dim + 1, 1e-6)
@@ -287,7 +292,7 @@ def fit(rows: DataFrame, labelled: int = LABELLED) -> Model:
     """Learns from all rows of ``described``, labelled or not.
 
     The driver gets the features of about ``labelled`` labelled rows to start from, and the logits of as many, drawn
-    evenly by a hash of the id; else only sums, whose size does not depend on the input.
+    evenly by a hash of id and features, copies once; else only sums, whose size does not depend on the input.
     """
     here = rows.filter("y is not null")
     n, good = here.agg(F.count("*"), F.coalesce(F.sum("y"), F.lit(0))).first()
@@ -297,8 +302,8 @@ def fit(rows: DataFrame, labelled: int = LABELLED) -> Model:
         return Model(tuple(np.zeros(d + 1) for d in DIMS), flat, flat, np.array([0.5, 0.5, 0.0]))
     aside = F.pmod(F.xxhash64("id", F.lit("aside")), F.lit(5)) == 0 if n >= 25 else F.lit(False)
     marked = rows.select("id", "a", "b", "c", F.when(F.col("y").isNull(), -1).when(aside, -2).otherwise(F.col("y")).alias("y"), F.col("y").alias("real"))
-    slot = F.pmod(F.xxhash64("id"), F.lit(1 << 30)) / float(1 << 30)
-    first = sorted(marked.filter((F.col("y") >= 0) & (slot < labelled / n)).toLocalIterator(), key=lambda r: (zlib.crc32(str(r["id"]).encode()), str(r["id"]), bytes(r["a"])))
+    slot = F.pmod(F.xxhash64("id", "a", "c"), F.lit(1 << 30)) / float(1 << 30)
+    first = sorted(marked.filter((F.col("y") >= 0) & (slot < labelled / n)).dropDuplicates(["id", "a", "c"]).collect(), key=lambda r: (zlib.crc32(str(r["id"]).encode()), str(r["id"]), bytes(r["a"])))
     text = [(np.frombuffer(r["a"], "<u2").astype(np.int64), np.frombuffer(r["b"], "<f4").astype(np.float64)) for r in first]
     meta = [(m := np.frombuffer(r["c"], "<u2").astype(np.int64), _meta_values(m)) for r in first]
     learned = marked.select("a", "b", "c", "y")
@@ -329,7 +334,7 @@ def fit(rows: DataFrame, labelled: int = LABELLED) -> Model:
             yield pa.RecordBatch.from_arrays([pa.array(z[0]), pa.array(z[1]), b.column(3)], ["zt", "zm", "y"])
 
     def logits_of(which: DataFrame, many: int) -> np.ndarray:
-        drawn = which.filter(slot < labelled / max(1, many)).select("a", "b", "c", "real")
+        drawn = which.filter(slot < labelled / max(1, many)).dropDuplicates(["id", "a", "c"]).select("a", "b", "c", "real")
         return np.array(sorted(map(tuple, drawn.mapInArrow(judge, "zt double, zm double, y int").collect()))).reshape(-1, 3)
 
     cal = logits_of(marked.filter("y = -2"), n // 5)
@@ -344,11 +349,13 @@ def fit(rows: DataFrame, labelled: int = LABELLED) -> Model:
     return Model((w[0], w[1]), ts, ms, both)
 
 
-def scores(docs: DataFrame, labels: DataFrame, meta_columns: tuple[str, ...] = ("source", "lang", "n_chars"), labelled: int = LABELLED, least: float = 0.5) -> DataFrame:
+def scores(docs: DataFrame, labels: DataFrame, meta_columns: tuple[str, ...] = ("source", "lang"), labelled: int = LABELLED, least: float = 0.5) -> DataFrame:
     """``doc_id, text_score, meta_score, quality_score, keep`` for every row of ``docs``.
 
-    Null text is empty, null metadata is a value of its own, repeated rows score alike; without labels of both kinds
-    all documents score the labels' mean (one half if there are none); an empty table gives no rows.
+    The metadata columns must say nothing that the text says, for the views to be two; the length is the text view's.
+    Null text is empty, null metadata is a value of its own, null ids have no label; repeated rows score alike; whole
+    texts count, whatever their length; without labels of both kinds all documents score the labels' mean (one half if
+    there are none); an empty table gives no rows.  Other columns of ``docs`` are not read, so their names cannot clash.
     """
     rows = described(docs, labels, meta_columns)
     shipped = docs.sparkSession.sparkContext.broadcast(fit(rows, labelled))
