@@ -1,8 +1,10 @@
 """MinHash near-dedup with tensored tables, and exact verification.
 
 Two collections of ``HALVES`` short signatures (``DEPTH`` minhashes each) are computed; a table's key joins one
-signature of each collection, so ``2 * HALVES * DEPTH`` minhashes serve ``HALVES ** 2`` tables.  Documents that meet in
-tables form families; within a family every pair that may be similar is compared on its full set of shingles.
+signature of each collection, so ``2 * HALVES * DEPTH`` minhashes serve ``HALVES ** 2`` tables.  Candidates are verified
+on full sets of shingles in two steps.  First each document is compared with the least of fitting size that it meets in
+a table: one comparison a document, which settles groups of near copies of any size.  Where documents that meet, directly
+or through others, are not all linked by that, every pair of them that may be similar is compared.
 """
 
 from __future__ import annotations
@@ -14,12 +16,12 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lavra.llm.common import materialized
+from lavra.llm.common import drop_folder, materialized, new_folder, real_id, row_key
 
-HALVES, DEPTH = 8, 2
+HALVES, DEPTH = 11, 3
 #: Shingles that a block of a family holds about; a task compares two blocks at once.
 BLOCK = 400_000
 #: Bytes of a text whose words are hashed at once.
@@ -76,9 +78,11 @@ def shingles(text: str | None, words: int = 5) -> np.ndarray:
         return w
     n = min(words, w.size)
     h = np.full(w.size - n + 1, n, np.uint64)
-    for i in range(n):
-        h = _mix(h * _M2 + w[i : w.size - n + 1 + i])
-    return np.unique(h)
+    for i, power in enumerate(_powers(n + 1)[1:]):
+        h += w[i : w.size - n + 1 + i] * power
+    h = _mix(h)
+    h.sort()
+    return h[np.concatenate([[True], h[1:] != h[:-1]])]
 
 
 def signatures(own: np.ndarray) -> list[int]:
@@ -93,7 +97,7 @@ def signatures(own: np.ndarray) -> list[int]:
 
 
 def described(docs: DataFrame, words: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``id, tie, n, digest, sigs`` per row: set size, 128 bits of hash of the set, signatures (null without shingles)."""
+    """``ord, tie, n, digest, sigs`` per row: set size, 128 bits of hash of the set, signatures (null without shingles)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -103,18 +107,13 @@ def described(docs: DataFrame, words: int = 5, id_col: str = "doc_id", text_col:
                 n.append(own.size)
                 digest.append(hashlib.blake2b(own.tobytes(), digest_size=16).digest() if own.size else None)
                 sigs.append(signatures(own) if own.size else None)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.array(sigs, pa.list_(pa.int64()))], ["id", "tie", "n", "digest", "sigs"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.array(sigs, pa.list_(pa.int64()))], ["ord", "tie", "n", "digest", "sigs"])
 
-    return _keyed(docs, id_col, text_col).mapInArrow(run, "id long, tie long, n long, digest binary, sigs array<long>")
+    return _keyed(docs, id_col, text_col).mapInArrow(run, "ord long, tie struct<a:long,b:long>, n long, digest binary, sigs array<long>")
 
 
 def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return docs.select(*_key(id_col, text_col), F.col(text_col).alias("text"))
-
-
-def _key(id_col: str, text_col: str) -> list[Column]:
-    """``id, tie`` of a row; rows with equal ids, or none, are told apart by a hash of their texts."""
-    return [F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63)).cast("long")).alias("id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("tie")]
+    return docs.select(*row_key(id_col, text_col), F.col(text_col).alias("text"))
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -123,7 +122,9 @@ def components(edges: DataFrame) -> DataFrame:
     Large-star and small-star steps in turn, each written to the shared folder, until nothing changes.  A node with
     many neighbours meets its minimum by a partial aggregate and a join that Spark can split.
     """
-    cur = materialized(edges.select(F.greatest("a", "b").alias("hi"), F.least("a", "b").alias("lo")).filter("hi <> lo").distinct(), "edges")
+    spark = edges.sparkSession
+    at = new_folder(spark, "edges")
+    cur = materialized(edges.select(F.greatest("a", "b").alias("hi"), F.least("a", "b").alias("lo")).filter("hi <> lo").distinct(), "edges", at)
     state = None
     while True:
         now = tuple(cur.agg(F.count("*"), F.sum(F.xxhash64("hi", "lo").cast("decimal(38,0)"))).first())
@@ -135,7 +136,45 @@ def components(edges: DataFrame) -> DataFrame:
         large = both.filter("v > u").join(least, "u").select(F.col("v").alias("hi"), F.col("m").alias("lo")).distinct()
         top = large.groupBy("hi").agg(F.min("lo").alias("m"))
         pairs = large.join(top, "hi").select(F.explode(F.array(F.struct(F.col("lo").alias("hi"), F.col("m").alias("lo")), F.struct("hi", F.col("m").alias("lo")))).alias("e"))
-        cur = materialized(pairs.select("e.hi", "e.lo").filter("hi <> lo").distinct(), "edges")
+        before, at = at, new_folder(spark, "edges")
+        cur = materialized(pairs.select("e.hi", "e.lo").filter("hi <> lo").distinct(), "edges", at)
+        drop_folder(spark, before)
+
+
+def _similar(one: np.ndarray, two: np.ndarray, share: int, of: int) -> bool:
+    """Whether ``of`` times the intersection is at least ``share`` times the union of two sorted sets."""
+    least = min(one.size, two.size)
+    if of * least < share * max(one.size, two.size):
+        return False
+    both = np.concatenate([one, two])
+    both.sort()
+    common = int(np.count_nonzero(both[1:] == both[:-1]))
+    return of * common >= share * (one.size + two.size - common)
+
+
+def verified(docs: DataFrame, stars: DataFrame, share: int, of: int, words: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Those edges ``a, b`` of ``stars`` (``node, centre, ord, tie``, with each centre's own row, whose centre is null) that are links.
+
+    Texts move, not sets: once to their keys, once more to the centres.  The join that brings members to a centre is one
+    that Spark can split, however many members a centre has.
+    """
+    held = _keyed(docs, id_col, text_col).join(stars, ["ord", "tie"]).dropDuplicates(["ord", "tie"]).select("node", "centre", "text")
+    members = held.filter("centre is not null")
+    centres = held.select(F.col("node").alias("centre"), F.col("text").alias("centre_text"))
+    met = members.join(centres.join(stars.select("centre").distinct(), "centre", "left_semi"), "centre").select("node", "centre", "text", "centre_text")
+
+    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, own = None, np.empty(0, np.uint64)
+        for b in batches:
+            a, c, hit = b.column(0), b.column(1), []
+            for centre, text, centre_text in zip(c.to_pylist(), b.column(2), b.column(3), strict=True):
+                if centre != last:
+                    last, own = centre, shingles(centre_text.as_py(), words)
+                hit.append(_similar(own, shingles(text.as_py(), words), share, of))
+            keep = pa.array(hit, pa.bool_())
+            yield pa.RecordBatch.from_arrays([a.filter(keep), c.filter(keep)], ["a", "b"])
+
+    return met.mapInArrow(judge, "a long, b long")
 
 
 def _compare(one: list[np.ndarray], two: list[np.ndarray] | None, keys: list[int], share: int, of: int) -> list[tuple[int, int]]:
@@ -188,7 +227,7 @@ def _compare(one: list[np.ndarray], two: list[np.ndarray] | None, keys: list[int
 
 
 def links(docs: DataFrame, members: DataFrame, share: int, of: int, words: int = 5, block: int = BLOCK, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Edges ``a, b`` that span the similar members of each family; ``members``: ``node, id, tie, family, n`` (a written table).
+    """Edges ``a, b`` that span the similar members of each family; ``members``: ``node, ord, tie, family, n`` (a written table).
 
     Sizes of similar sets lie within ``share / of``; a family is cut by classes of size, so that only equal or
     neighbouring classes are compared, and a class into blocks by hash.  Each task holds two blocks, whatever the
@@ -207,7 +246,7 @@ def links(docs: DataFrame, members: DataFrame, share: int, of: int, words: int =
     within = F.transform(every(F.col("blocks")), lambda j: F.when(j >= mine, meet(row, mine, False, j, 0)).otherwise(meet(row, j, False, mine, 1)))
     upward = F.transform(every(F.col("up")), lambda j: meet(row, mine, True, j, 0))
     downward = F.transform(every(F.col("down")), lambda j: meet(row - 1, j, True, mine, 1))
-    tasks = placed.select("node", "id", "tie", "family", F.concat(within, upward, downward).alias("tasks"))
+    tasks = placed.select("node", "ord", "tie", "family", F.concat(within, upward, downward).alias("tasks"))
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -215,7 +254,7 @@ def links(docs: DataFrame, members: DataFrame, share: int, of: int, words: int =
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), own], ["node", "family", "tasks", "own"])
 
     kind = "node long, family long, tasks array<struct<class:int,i:int,up:boolean,j:int,side:int>>, own binary"
-    held = _keyed(docs, id_col, text_col).join(tasks, ["id", "tie"]).dropDuplicates(["id", "tie"]).select("node", "family", "tasks", "text").mapInArrow(sets, kind)
+    held = _keyed(docs, id_col, text_col).join(tasks, ["ord", "tie"]).dropDuplicates(["ord", "tie"]).select("node", "family", "tasks", "text").mapInArrow(sets, kind)
     dealt = held.select("node", "family", F.explode("tasks").alias("t"), "own").select("node", "family", "t.*", "own")
 
     def compare(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -236,32 +275,55 @@ def near_duplicates(docs: DataFrame, share: int = 85, of: int = 100, words: int
     Documents are linked if ``of`` times the intersection of their shingles is at least ``share`` times the union.
     Exact copies of a set are one document until the end, so groups of copies cost one aggregate.  Texts without words
     (null, empty) are linked with nothing; a component is named by its least id (none first).  Rows with equal ids and
-    texts are one document; rows with equal ids, or without one, but other texts are documents of their own.  An empty
-    table gives no rows.  No partner or candidate is dropped.
+    texts are one document; rows with equal ids, or without one, but other texts are documents of their own.  Whole
+    texts count, whatever their length.  An empty table gives no rows; columns other than id and text are not read, so
+    their names cannot clash.  No partner or candidate is dropped.
     """
-    real = lambda c: F.when(c != -(1 << 63), c)
     found = _judged(docs, share, of, words, id_col, text_col)
-    return found.select(real(F.col("id")).alias("doc_id"), F.col("n").alias("n_shingles"), real(F.col("component.id")).alias("component_id"), "kept")
+    return found.select(real_id(F.col("ord")).alias("doc_id"), F.col("n").alias("n_shingles"), real_id(F.col("component.ord")).alias("component_id"), "kept")
+
+
+def candidates(reps: DataFrame) -> DataFrame:
+    """Distinct ``a, b``: each node of ``reps`` (``node, sigs``) with the least node of every table bucket it is in."""
+    tables = F.flatten(F.transform(F.sequence(F.lit(0), F.lit(HALVES - 1)), lambda i: F.transform(F.sequence(F.lit(HALVES), F.lit(2 * HALVES - 1)), lambda j: F.xxhash64(i, j, F.get("sigs", i), F.get("sigs", j)))))
+    rows = reps.select("node", F.explode(tables).alias("key"))
+    met = rows.groupBy("key").agg(F.min("node").alias("centre"), F.count("*").alias("n")).filter("n > 1").select("key", "centre")
+    return rows.join(met, "key").filter("node <> centre").select(F.col("node").alias("a"), F.col("centre").alias("b")).distinct()
 
 
 def _judged(docs: DataFrame, share: int, of: int, words: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``id, tie, n, component, kept`` per row; ``component``: the least ``id, tie`` of the row's component."""
+    """``ord, tie, n, component, kept`` per row; ``component``: the least ``ord, tie`` of the row's component."""
     facts = materialized(described(docs, words, id_col, text_col), "signatures")
-    own = F.struct("id", "tie")
+    own = F.struct("ord", "tie")
     reps = facts.filter("digest is not null").groupBy("digest").agg(F.min(own).alias("rep"), F.first("n").alias("n"), F.first("sigs").alias("sigs"))
     # numbers that hold once written: graphs of long nodes
-    reps = materialized(reps.select(F.monotonically_increasing_id().alias("node"), "rep.id", "rep.tie", "digest", "n", "sigs"), "representatives")
-    tables = F.flatten(F.transform(F.sequence(F.lit(0), F.lit(HALVES - 1)), lambda i: F.transform(F.sequence(F.lit(HALVES), F.lit(2 * HALVES - 1)), lambda j: F.xxhash64(i, j, F.get("sigs", i), F.get("sigs", j)))))
-    rows = reps.select("node", F.explode(tables).alias("key"))
-    met = rows.groupBy("key").agg(F.min("node").alias("centre"), F.count("*").alias("n")).filter("n > 1").select("key", "centre")
-    family = _whole(components(rows.join(met, "key").filter("node <> centre").select(F.col("node").alias("a"), F.col("centre").alias("b"))))
-    members = family.withColumnRenamed("root", "family").join(reps.select("node", "id", "tie", "n"), "node")
-    found = _whole(components(links(docs, materialized(members, "families"), share, of, words, id_col=id_col, text_col=text_col)))
+    reps = materialized(reps.select(F.monotonically_increasing_id().alias("node"), "rep.ord", "rep.tie", "digest", "n", "sigs"), "representatives")
+    pairs = materialized(candidates(reps), "candidates")
+    sizes = reps.select("node", "n")
+    fit = pairs.join(sizes.toDF("a", "n_a"), "a").join(sizes.toDF("b", "n_b"), "b").filter(of * F.least("n_a", "n_b") >= share * F.greatest("n_a", "n_b"))
+    stars = materialized(fit.groupBy("a").agg(F.min("b").alias("centre")).withColumnRenamed("a", "node"), "stars")
+    centres = stars.select(F.col("centre").alias("node")).distinct().join(stars.select("node"), "node", "left_anti")
+    every = stars.unionByName(centres.withColumn("centre", F.lit(None).cast("long")))
+    stars = materialized(every.join(reps.select("node", "ord", "tie"), "node"), "stars")
+    near = components(verified(docs, stars, share, of, words, id_col, text_col))
+    # components whose documents meet but are not linked so far
+    at_root = lambda edges: _moved(_moved(edges, near, "a"), near, "b").filter("a <> b").distinct()
+    families = _whole(components(at_root(pairs))).select(F.col("node").alias("root"), F.col("root").alias("family"))
+    inside = near.join(families, "root").select("node", "family").union(families)
+    members = materialized(inside.join(reps.select("node", "ord", "tie", "n"), "node"), "families")
+    more = components(at_root(links(docs, members, share, of, words, id_col=id_col, text_col=text_col)))
+    found = _whole(_moved(near, more, "root").union(more))
     named = found.join(reps.select("node", own.alias("rep")), "node")
     least = named.join(named.groupBy("root").agg(F.min("rep").alias("least")), "root").select("node", "least")
     per_set = reps.join(least, "node", "left").select("digest", F.coalesce("least", own).alias("component"))
-    joined = facts.select("id", "tie", "n", "digest").join(per_set, "digest", "left").withColumn("component", F.coalesce("component", own))
-    return joined.select("id", "tie", "n", "component", (F.col("component") == own).alias("kept"))
+    joined = facts.select("ord", "tie", "n", "digest").join(per_set, "digest", "left").withColumn("component", F.coalesce("component", own))
+    return joined.select("ord", "tie", "n", "component", (F.col("component") == own).alias("kept"))
+
+
+def _moved(rows: DataFrame, found: DataFrame, col: str) -> DataFrame:
+    """``rows`` with the nodes in ``col`` replaced by their roots in ``found``."""
+    joined = rows.join(found.select(F.col("node").alias(col), F.col("root").alias("_root")), col, "left")
+    return joined.withColumn(col, F.coalesce("_root", col)).select(*rows.columns)
 
 
 def _whole(found: DataFrame) -> DataFrame:
@@ -270,7 +332,17 @@ def _whole(found: DataFrame) -> DataFrame:
 
 
 def deduplicated(docs: DataFrame, share: int = 4, of: int = 5, words: int = 5) -> DataFrame:
-    """The rows of ``docs`` that stand for their component, one each, with all their columns."""
-    key = ["_id", "_tie"]
-    kept = _judged(docs, share, of, words).filter("kept").select(F.col("id").alias("_id"), F.col("tie").alias("_tie")).distinct()
-    return docs.withColumns(dict(zip(key, _key("doc_id", "text"), strict=True))).join(kept, key, "left_semi").dropDuplicates(key).drop(*key)
+    """The rows of ``docs`` that stand for their component, one each, with all their columns, whatever these are named.
+
+    Of a component the row of the least id stays (none first; among equal ids, a hash of the text decides).  Rows equal
+    in id and text are copies, of which one stays; rows with equal ids, or none, but other texts are documents of their
+    own.  Rows without words stay.  An empty table stays empty.
+    """
+    names = {c.lower() for c in docs.columns}
+    key = []
+    for name in ("_ord", "_tie"):
+        while name in names:
+            name += "_"
+        key.append(name)
+    kept = _judged(docs, share, of, words).filter("kept").select("ord", "tie").distinct().toDF(*key)
+    return docs.withColumns(dict(zip(key, row_key("doc_id", "text"), strict=True))).join(kept, key, "left_semi").dropDuplicates(key).drop(*key)
