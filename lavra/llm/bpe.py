@@ -8,6 +8,7 @@ distinct chunk once, and texts become a gather over a table of ids.
 
 from __future__ import annotations
 
+import json
 import re
 from collections.abc import Iterable, Iterator
 from itertools import repeat
@@ -20,6 +21,7 @@ _CHUNK = re.compile(f"[{_WS}]*[^{_WS}]+|[{_WS}]+")
 #: Characters on which regex libraries disagree whether they are white space.
 _UNSURE = re.compile("[\x1c-\x1f\u180e]")
 _HIGH_WS = np.array([0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000, 0x180E], np.uint32)
+_WS_ANY = re.compile(f"[{_WS}]")
 _END_OF_CHUNK = re.compile(f"(?<=[^{_WS}])(?=[{_WS}])")
 #: Characters of text handled at once; bounds a worker's memory whatever the length of a text.
 WINDOW = 1_000_000
@@ -53,8 +55,24 @@ def windows(text: str, size: int = WINDOW) -> Iterator[str]:
     yield text[at:] if at else text
 
 
+def chunkable(spec: str) -> bool:
+    """Whether a tokenizer file's ids of a text are those of its chunks: byte-level, with nothing that looks across white space."""
+    d = json.loads(spec)
+    pre = d.get("pre_tokenizer") or {}
+    plain = all(not t.get("lstrip") and not t.get("rstrip") and not t.get("single_word") and not _WS_ANY.search(t["content"]) for t in d.get("added_tokens") or [])
+    return pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space", True) and pre.get("use_regex", True) and d.get("normalizer") is None and (d.get("model") or {}).get("type") == "BPE" and plain
+
+
+def special_strings(spec: str) -> list[str]:
+    """Strings that the tokenizer takes out of a text before it forms pre-tokens."""
+    return sorted({t["content"] for t in json.loads(spec).get("added_tokens") or [] if t["content"]}, key=len, reverse=True)
+
+
 class ChunkEncoder:
-    """Ids of texts.  ``cap`` bounds the table of remembered chunks; others are merged anew in each batch."""
+    """Ids of texts.  ``cap`` bounds the table of remembered chunks; others are merged anew in each batch.
+
+    With a file that is not ``chunkable`` the library encodes whole texts.
+    """
 
     def __init__(self, spec: str, cap: int = 700_000) -> None:
         from tokenizers import Tokenizer
@@ -62,6 +80,7 @@ class ChunkEncoder:
         self.tok, self.cap = Tokenizer.from_str(spec), cap
         self.tok.no_truncation()
         self.tok.no_padding()
+        self.chunkable = chunkable(spec)
         self.row: dict[str, int] = {}
         self.flat, self.off, self.used = np.empty(1 << 16, np.uint32), np.zeros(1 << 12, np.int64), 0
         newline = self._whole("\n")
@@ -125,7 +144,7 @@ class ChunkEncoder:
         if marked:
             pair = np.array([[number.get(x, self.row.get(x)) for x in (c[:-1], c[-1])] for c in marked]).ravel()
             size = self.off[pair + 1] - self.off[pair]
-            ids = self._gather(pair, 0)
+            ids = self._gather(pair)
             first = self._add(marked, size[::2] + size[1::2], ids, keep=False, behind=len(fresh))
             number.update(zip(marked, range(first, first + len(marked)), strict=True))
         return number
@@ -148,49 +167,39 @@ class ChunkEncoder:
             counts.append(n)
         yield words, counts
 
-    def lengths(self, texts: list[str | None]) -> list[int]:
-        """Number of ids of each text."""
-        return [int(a.size) for a in self.encode(texts)] if any(map(self._unsure, texts)) else list(self._fold(texts, lambda s, n: (self.off[s + 1] - self.off[s]).astype(np.int64), int, lambda a: int(a.sum())))
-
-    @staticmethod
-    def _unsure(text: str | None) -> bool:
-        return bool(text) and bool(_UNSURE.search(text))
+    def _unsure(self, text: str | None) -> bool:
+        return bool(text) and (not self.chunkable or bool(_UNSURE.search(text)))
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
         """Ids of each text as unsigned 32-bit integers; null counts as the empty text."""
-        out: list[np.ndarray] = []
         sure = [None if self._unsure(t) else t for t in texts]
-        out = list(self._fold(sure, self._gather, lambda: np.empty(0, np.uint32), None))
+        out = list(self._ids(sure))
         for i, (a, b) in enumerate(zip(texts, sure, strict=True)):
             if a is not b:
                 out[i] = np.array(self._whole(a), np.uint32)
         return out
 
-    def _gather(self, rows: np.ndarray, _: int) -> np.ndarray:
+    def _gather(self, rows: np.ndarray) -> np.ndarray:
         start = self.off[rows]
         size = self.off[rows + 1] - start
         end = np.cumsum(size)
         return self.flat[np.arange(end[-1] if end.size else 0) + np.repeat(start - (end - size), size)]
 
-    def _fold(self, texts, each, empty, total) -> Iterator:
-        """Per text the total of ``each`` over its chunks; a text may lie in several batches."""
-        open_parts: list = []
+    def _ids(self, texts: list[str | None]) -> Iterator[np.ndarray]:
+        """Ids of each text, which may lie in several batches."""
+        parts: list[np.ndarray] = []
         for words, counts in self._batches(texts):
             rows = self.rows(words)
-            values = each(rows, len(words))
-            if total is None:  # ids: cut by the ids of each text's chunks
-                sizes = np.concatenate([[0], np.cumsum(self.off[rows + 1] - self.off[rows])])
-            else:
-                sizes = np.arange(len(words) + 1)
+            ids = self._gather(rows)
+            ends = np.concatenate([[0], np.cumsum(self.off[rows + 1] - self.off[rows])])
             at = 0
             for n in counts:
                 stays, n = n < 0, -1 - n if n < 0 else n
-                part = values[sizes[at] : sizes[at + n]]
+                parts.append(ids[ends[at] : ends[at + n]])
                 at += n
-                open_parts.append(part if total is None else total(part))
                 if not stays:
-                    yield (open_parts[0] if len(open_parts) == 1 else np.concatenate(open_parts)) if total is None else sum(open_parts)
-                    open_parts = []
+                    yield parts[0] if len(parts) == 1 else np.concatenate(parts)
+                    parts = []
 
 
 _ENCODERS: dict[int, ChunkEncoder] = {}
