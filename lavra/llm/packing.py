@@ -20,8 +20,8 @@ from pyspark.sql import functions as F
 from lavra.llm.bpe import encoder, read_spec
 from lavra.llm.common import materialized
 
-#: Pieces of a length are ranked within this many shares of all documents, so that no length makes one large task.
-SHARES = 64
+#: A length's pieces are ranked within shares of about so many, so that no length makes one large task.
+SHARE = 100_000
 
 Layout = tuple[tuple[int, ...], int]
 
@@ -151,17 +151,23 @@ def pack_pieces(found: DataFrame, size: int = 2048) -> DataFrame:
     """Adds ``sequence_id`` and ``offset`` to written pieces; ``found`` must be a table, as it is read more than once.
 
     Full pieces fill a sequence alone and get numbers below zero from a row number that needs no order; shorter ones
-    are ranked by length within ``SHARES`` shares of the documents.  To the driver go at most ``SHARES * size`` counts.
+    are ranked by length within shares of about ``SHARE`` pieces, copies apart.  To the driver go a count for each length
+    and share.
     """
     spark = found.sparkSession
     full = found.filter(F.col("length") == size).select("*", (-1 - F.monotonically_increasing_id()).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
-    short = found.filter(F.col("length") != size).withColumn("share", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(SHARES)).cast("int"))
+    short = found.filter(F.col("length") != size)
+    counts: dict[int, int] = {r["length"]: r["n"] for r in short.groupBy("length").agg(F.count("*").alias("n")).collect()}
+    many = {s: -(-n // SHARE) for s, n in counts.items() if n > SHARE}
+    shares = F.coalesce(F.create_map(*(F.lit(x).cast("long") for item in sorted(many.items()) for x in item))[F.col("length")], F.lit(1).cast("long")) if many else F.lit(1)
+    # the row's place, fixed as the table is written, also spreads equal rows
+    short = short.withColumn("place", F.monotonically_increasing_id()).withColumn("share", F.pmod(F.xxhash64("doc_id", "piece", "place"), shares).cast("int"))
     held = short.groupBy("length", "share").agg(F.count("*").alias("n")).collect()
-    counts: dict[int, int] = {}
     first_rank: list[tuple[int, int, int]] = []
+    ranks: dict[int, int] = {}
     for r in sorted(held):
-        first_rank.append((r["length"], r["share"], counts.get(r["length"], 0)))
-        counts[r["length"]] = counts.get(r["length"], 0) + r["n"]
+        first_rank.append((r["length"], r["share"], ranks.get(r["length"], 0)))
+        ranks[r["length"]] = ranks.get(r["length"], 0) + r["n"]
     if not counts:
         return full
     places: dict[int, list[tuple[int, int, int, int]]] = {}
@@ -171,7 +177,7 @@ def pack_pieces(found: DataFrame, size: int = 2048) -> DataFrame:
     for length, share, rank in first_rank:
         base.setdefault(length, {})[share] = rank
     shipped = spark.sparkContext.broadcast((base, {k: tuple(np.array(x, np.int64) for x in zip(*sorted(v), strict=True)) for k, v in places.items()}))
-    local = Window.partitionBy("length", "share").orderBy("doc_id", "piece", "ids_crc32")
+    local = Window.partitionBy("length", "share").orderBy("doc_id", "piece", "place")
     ranked = short.withColumn("rank", F.row_number().over(local).cast("long") - 1)
 
     @F.pandas_udf("sequence_id long, offset long")
@@ -199,6 +205,7 @@ def pack_documents(docs: DataFrame, path: str, size: int = 2048, end_id: int = 0
     """Packs all ``docs`` into sequences of at most ``size`` tokens, as few as the method finds.
 
     Returns ``doc_id, piece, start, length, ids_crc32, sequence_id, offset`` per piece.  Null text is empty (one id,
-    the end); repeated rows are packed each; an empty table gives no rows; other columns are not read.
+    the end); repeated rows and null ids are packed each; only documents of more than ``size`` tokens are cut, whatever
+    their length; an empty table gives no rows; other columns are not read, so their names cannot clash.
     """
     return pack_pieces(materialized(pieces(docs, path, size, end_id, id_col, text_col, with_ids), "pieces"), size)

@@ -167,8 +167,8 @@ def open_image(data: bytes) -> tuple[list[int | None], np.ndarray, np.ndarray]:
 def write_token_files(docs: DataFrame, folder: str, path: str, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text") -> None:
     """Writes every text's ids and ``end_id`` to files in ascending order of ``id_col`` (nulls first).
 
-    The only shuffle deals rows by ranges of the id, so no key or source is hot; a range's rows are sorted (Spark
-    spills) and stream through the encoder.  The images are rows ``part, seg, n_docs, n_ids, image`` of a Parquet
+    The only shuffle deals rows by ranges of the id and, among equal ids, of the row's place in the table, so neither
+    a source nor an id is hot; a range's rows are sorted (Spark spills) and stream through the encoder.  The images are rows ``part, seg, n_docs, n_ids, image`` of a Parquet
     table, which any store takes.
     """
     shipped = docs.sparkSession.sparkContext.broadcast(read_spec(path))
@@ -201,8 +201,8 @@ def write_token_files(docs: DataFrame, folder: str, path: str, end_id: int = 0,
         if keys:
             yield closed()
 
-    slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    files = slim.repartitionByRange("doc_id").sortWithinPartitions("doc_id").mapInArrow(encode, "part int, seg int, n_docs long, n_ids long, image binary")
+    slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.monotonically_increasing_id().alias("place"))
+    files = slim.repartitionByRange("doc_id", "place").sortWithinPartitions("doc_id", "place").select("doc_id", "text").mapInArrow(encode, "part int, seg int, n_docs long, n_ids long, image binary")
     files.write.option("compression", "zstd").parquet(folder)
 
 
@@ -238,8 +238,9 @@ def read_token_files(files: DataFrame) -> DataFrame:
 def round_trip(docs: DataFrame, path: str, end_id: int = 0) -> DataFrame:
     """Writes all ``docs`` to token files in the shared folder and returns what the files hold.
 
-    Null text is empty (one id, the end), repeated rows are encoded each, an empty table gives no rows; ids that are
-    equal stand in any order among themselves.
+    Null text is empty (one id, the end), repeated rows are encoded each, an empty table gives no rows; null ids come
+    first; ids that are equal stand in the order of the table; texts of any length are encoded whole.  Other columns of
+    ``docs`` are not read, so their names cannot clash.
     """
     spark = docs.sparkSession
     folder = new_folder(spark, "token-files")

@@ -78,8 +78,10 @@ def test_token_files(spark, docs, tok, monkeypatch):
     assert tokenbin.round_trip(docs.limit(0), PATH).count() == 0
 
 
-def test_packing(spark, docs, tok):
+@pytest.mark.parametrize("share", [packing.SHARE, 2])
+def test_packing(spark, docs, tok, monkeypatch, share):
     size = 64
+    monkeypatch.setattr(packing, "SHARE", share)
     rows = packing.pack_documents(docs, PATH, size, with_ids=False).collect()
     want = {}
     for r in docs.collect():
@@ -147,3 +149,38 @@ def test_dominance_keeps_the_optimum():
         fixed, left = packing.reduce_by_dominance(dict(Counter(items)), size)
         rest = sorted((s for s, n in left.items() for _ in range(n)), reverse=True)
         assert sum(n for _, n in fixed) + (best(rest, size) if rest else 0) == best(items, size)
+
+
+def test_other_tokenizer_files_encode_whole_texts(tok):
+    import json
+
+    spec = json.loads(bpe.read_spec(PATH))
+    assert bpe.chunkable(json.dumps(spec))
+    spec["pre_tokenizer"]["add_prefix_space"] = True
+    other = json.dumps(spec)
+    assert not bpe.chunkable(other)
+    want = Tokenizer.from_str(other)
+    got = bpe.ChunkEncoder(other).encode(TEXTS)
+    assert [a.tolist() for a in got] == [want.encode(t or "", add_special_tokens=False).ids for t in TEXTS]
+    counter = tokencount.Counter(other, tokencount.whole_tokens(other))
+    assert [counter.count(t) for t in TEXTS] == [len(a) for a in got]
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.text(st.sampled_from("ab'st .,!\n\t\r  é1½漢\x1c　<|>ƛ'"), max_size=40))
+def test_pre_tokens_count_like_the_library(text):
+    tok = Tokenizer.from_file(PATH)
+    spec = bpe.read_spec(PATH)
+    _COUNTER.setdefault(0, tokencount.Counter(spec, tokencount.whole_tokens(spec)))
+    assert _COUNTER[0].count(text) == len(ids(tok, text))
+    assert _COUNTER[0].count(text + "<|endoftext|>'ll" + text) == len(ids(tok, text + "<|endoftext|>'ll" + text))
+
+
+_COUNTER = {}
+
+
+def test_equal_ids_are_dealt_apart(spark):
+    docs = spark.createDataFrame([(5, f"text {i % 7}") for i in range(400)] + [(None, "x")] * 300, "doc_id long, text string").repartition(6)
+    got = sorted(tokenbin.round_trip(docs, PATH).collect(), key=lambda r: r["start"])
+    assert [r["doc_id"] for r in got] == [None] * 300 + [5] * 400
+    assert all(a["start"] + a["n_tokens"] == b["start"] for a, b in zip(got, got[1:], strict=False))
