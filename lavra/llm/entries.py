@@ -74,8 +74,8 @@ SQL: dict[str, str] = {
 with docs as (select doc_id, string_split(coalesce(text, ''), chr(10)) as lines, text is null as none from documents),
 l as (select doc_id * 1000000 + i as ord, doc_id, i, lines[i] as line from (select doc_id, lines, unnest(range(1, len(lines) + 1)) as i from docs where not none)),
 u as (select ord, doc_id, i, line from l where replace(line, ' ', '') <> '' qualify row_number() over (partition by line order by ord) = 1),
-w as (select ord, md5(line) as v from u where length(line) >= 20),
-d as (select ord, pos, md5(left(line, pos) || substr(line, pos + 2)) as v from (select ord, line, unnest(range(0, length(line))) as pos from u where length(line) >= 20)),
+w as (select ord, md5(line) as v from u),
+d as (select ord, pos, md5(left(line, pos) || substr(line, pos + 2)) as v from (select ord, line, unnest(range(0, length(line))) as pos from u)),
 near as (
   select ord from (select ord, min(ord) over (partition by pos, v) as m from d) where m < ord
   union select d.ord from d join w on d.v = w.v where w.ord < d.ord
@@ -87,14 +87,22 @@ select docs.doc_id, cast(case when none then 0 else len(lines) end as bigint) as
 from docs left join joined using (doc_id)
 """,
     "op3_warc_archive": r"""
-with p as (select page_id, coalesce(html, '') as body, sha1(coalesce(html, '')) as h from pages),
-r as (select *, max(page_id) over (partition by body) as response from p)
-select page_id, cast(strlen(body) as bigint) as payload_bytes,
-       array_to_string(list_transform(range(32), lambda i:
-         substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + cast((cast('0x' || substr(h, cast(1 + 5 * (i // 4) as bigint), 5) as bigint) >> cast(15 - 5 * (i % 4) as bigint)) & 31 as bigint), 1)), '') as payload_digest,
-       case when page_id = response then 'response' else 'revisit' end as record_type,
-       case when page_id <> response then response end as refers_to
-from r
+with p as (select page_id, coalesce(url, '') as url, coalesce(html, '') as body, sha1(coalesce(html, '')) as h from pages),
+r as (
+  select *, max(page_id) over (partition by body) as response, chr(13) || chr(10) as nl,
+         array_to_string(list_transform(range(32), lambda i:
+           substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + cast((cast('0x' || substr(h, cast(1 + 5 * (i // 4) as bigint), 5) as bigint) >> cast(15 - 5 * (i % 4) as bigint)) & 31 as bigint), 1)), '') as payload_digest
+  from p),
+x as (
+  select *, page_id <> response as again,
+         'WARC/1.1' || nl || 'WARC-Type: ' || case when page_id <> response then 'revisit' else 'response' end || nl || 'WARC-Record-ID: <urn:page:' || page_id || '>' || nl
+         || 'WARC-Date: 2024-01-01T00:00:00Z' || nl || 'WARC-Target-URI: ' || url || nl || 'WARC-Payload-Digest: sha1:' || payload_digest || nl
+         || case when page_id <> response then 'WARC-Refers-To: <urn:page:' || response || '>' || nl || 'WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest' || nl else '' end
+         || 'Content-Type: text/html; charset=utf-8' || nl || 'Content-Length: ' || case when page_id <> response then 0 else strlen(body) end || nl || nl as head
+  from r)
+select page_id, cast(strlen(body) as bigint) as payload_bytes, payload_digest, case when again then 'revisit' else 'response' end as record_type,
+       case when again then response end as refers_to, sha256(head || case when again then '' else body end || nl || nl) as record_sha256
+from x
 """,
     "op10_fingerprints": r"""
 with o as (
@@ -102,23 +110,35 @@ with o as (
          coalesce(lead(coalesce(text, '')) over (order by doc_id desc), first_value(coalesce(text, '')) over (order by doc_id desc)) as nt
   from documents),
 e as (select *, left(t, length(t) - length(t) // 3) || left(nt, length(t) // 3) as ed from o),
-x as (select doc_id, 0 as kind, t as s from e union all select doc_id, 1, ed from e union all select doc_id, 2, nt from e),
-l as (select doc_id, kind, list_transform(string_split(s, chr(10)), lambda p: list_transform(regexp_extract_all(p, '(?: *[^ ]+){1,6} *| +'), lambda g: md5(g))) as leaves from x),
+xs as (select doc_id, 0 as kind, t as s from e union all select doc_id, 1, ed from e union all select doc_id, 2, nt from e),
+l as (select doc_id, kind, list_transform(string_split(s, chr(10)), lambda p: list_transform(regexp_extract_all(p, '(?: *[^ ]+){1,6} *| +'), lambda g: md5(g))) as leaves from xs),
 q as (
   select doc_id, kind, list_filter(string_split(array_to_string(list_transform(leaves, lambda p:
            md5(coalesce(array_to_string(p, ''), '')) || '=' || coalesce(array_to_string(list_transform(p, lambda g: substr(g, 1, 6)), ''), '')
-           || case when substr(md5(coalesce(array_to_string(p, ''), '')), 1, 1) in ('0', '1') then ';' else ',' end), ''), ';'), lambda s: s <> '') as sections,
-         list_distinct(list_transform(flatten(leaves), lambda g: substr(g, 1, 6))) as own
+           || case when substr(md5(coalesce(array_to_string(p, ''), '')), 1, 1) in ('0', '1') then ';' else ',' end), ''), ';'), lambda s: s <> '') as sections
   from l),
 f as (
-  select doc_id, kind, own,
-         sha256(array_to_string(list_transform(sections, lambda s: md5(regexp_replace(s, '=[0-9a-f]*', '', 'g'))), '')) || '|' ||
-         array_to_string(list_transform(sections, lambda s: substr(md5(regexp_replace(s, '=[0-9a-f]*', '', 'g')), 1, 8) || ':' || regexp_replace(s, '[0-9a-f]{32}=', '', 'g')), ';') as fp
-  from q)
-select e.doc_id, cast(length(t) as bigint) as n_chars, sha256(ed) as edited_sha256, a.fp as fingerprint, b.fp as edited_fingerprint,
-       case when left(a.fp, 64) = left(b.fp, 64) then 1.0::double else 2.0::double * len(list_intersect(a.own, b.own)) / greatest(len(a.own) + len(b.own), 1) end as near_edited,
-       case when left(a.fp, 64) = left(c.fp, 64) then 1.0::double else 2.0::double * len(list_intersect(a.own, c.own)) / greatest(len(a.own) + len(c.own), 1) end as near_next
-from e join f a on a.doc_id = e.doc_id and a.kind = 0 join f b on b.doc_id = e.doc_id and b.kind = 1 join f c on c.doc_id = e.doc_id and c.kind = 2
+  select doc_id, kind, list_transform(sections, lambda s: substr(md5(regexp_replace(s, '=[0-9a-f]*', '', 'g')), 1, 8) || ':' || regexp_replace(s, '[0-9a-f]{32}=', '', 'g')) as secs,
+         sha256(array_to_string(list_transform(sections, lambda s: md5(regexp_replace(s, '=[0-9a-f]*', '', 'g'))), '')) as root
+  from q),
+g as (
+  select doc_id, kind, root, list_distinct(secs) as secs, root || '|' || array_to_string(secs, ';') as fp,
+         string_split(replace(regexp_replace(regexp_replace(array_to_string(secs, ';'), '[0-9a-f]{8}:', '', 'g'), ',$', ''), ';', ','), ',') as paras
+  from f),
+p as (
+  select a.doc_id, b.kind, a.root = b.root as same, list_filter(a.secs, lambda s: list_contains(b.secs, s)) as both_,
+         list_filter(a.secs, lambda s: not list_contains(b.secs, s)) as ra, list_filter(b.secs, lambda s: not list_contains(a.secs, s)) as rb,
+         list_filter(range(greatest(len(a.paras), len(b.paras))), lambda i: a.paras[i + 1] is distinct from b.paras[i + 1])[1] as spot
+  from g a join g b on a.doc_id = b.doc_id and a.kind = 0 and b.kind > 0),
+v as (
+  select doc_id, kind, same, spot, len(regexp_extract_all(regexp_replace(array_to_string(both_, ''), '[0-9a-f]{8}:', '', 'g'), '[0-9a-f]{6}')) as n,
+         list_distinct(regexp_extract_all(regexp_replace(array_to_string(ra, ''), '[0-9a-f]{8}:', '', 'g'), '[0-9a-f]{6}')) as la,
+         list_distinct(regexp_extract_all(regexp_replace(array_to_string(rb, ''), '[0-9a-f]{8}:', '', 'g'), '[0-9a-f]{6}')) as lb
+  from p),
+z as (select doc_id, kind, case when same then 1.0::double else 2.0::double * (n + len(list_intersect(la, lb))) / greatest(2 * n + len(la) + len(lb), 1) end as near, case when not same then cast(spot as int) end as spot from v)
+select e.doc_id, cast(length(t) as bigint) as n_chars, sha256(ed) as edited_sha256, a.fp as fingerprint, b.fp as edited_fingerprint, y.near as near_edited, x.near as near_next, y.spot as first_edit
+from e join g a on a.doc_id = e.doc_id and a.kind = 0 join g b on b.doc_id = e.doc_id and b.kind = 1
+join z y on y.doc_id = e.doc_id and y.kind = 1 join z x on x.doc_id = e.doc_id and x.kind = 2
 """,
     "op4_minhash_dedup": r"""
 with recursive w as (

@@ -12,16 +12,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lavra.llm.common import materialized
-
-#: Lines of fewer characters go only if an earlier line is equal: one edit makes another word of them.
-MIN_CHARS = 20
+from lavra.llm.common import materialized, real_id, row_key
 
 
 def _lines(docs: DataFrame, id_col: str, text_col: str, *more: Column) -> DataFrame:
     """``ord, tie`` of each row, and its text; rows with equal ids stand by a hash of their texts."""
-    lowest = F.lit(-(1 << 63)).cast("long")
-    return docs.select(F.coalesce(F.col(id_col).cast("long"), lowest).alias("ord"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("tie"), F.col(text_col).alias("text"), *more)
+    return docs.select(*row_key(id_col, text_col), F.col(text_col).alias("text"), *more)
 
 
 def _split(text: Column) -> Column:
@@ -45,7 +41,7 @@ def _half_keys(line: Column, length: Column) -> list[Column]:
     return out
 
 
-def first_lines(docs: DataFrame, min_chars: int = MIN_CHARS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def first_lines(docs: DataFrame, min_chars: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each distinct line that is not blank: where it stands first, and its halves' keys if long enough.
 
     Lines are told apart by 128 bits of hash.  Copies meet in a partial aggregate before the shuffle, so a line that
@@ -99,22 +95,22 @@ def near_lines(firsts: DataFrame, docs: DataFrame, id_col: str = "doc_id", text_
     swap = F.transform(places, lambda i: F.struct(F.lit(1).alias("role"), F.xxhash64("k1", "k2", i, deleted(i)).alias("v")))
     less = F.transform(places, lambda i: F.struct(F.lit(2).alias("role"), F.xxhash64("k1", "k2", F.lit(-1), deleted(i)).alias("v")))
     variants = live.select("at", "k1", "k2", "middle", F.explode(F.when(F.col("longer"), less).otherwise(F.concat(own, swap))).alias("x")).select("x.v", "x.role", F.struct("at", "k1", "k2", "middle").alias("me"))
-    by_key = Window.partitionBy("v")
+    # 192 bits of hash tell variants apart, so a foreign line cannot stand in a partner's place
+    by_key = Window.partitionBy("me.k1", "me.k2", "v")
     first_of = lambda test: F.min(F.when(test, F.col("me"))).over(by_key)
-    met = variants.select("v", "role", "me", first_of(F.col("role") < 2).alias("plain"), first_of(F.col("role") == 2).alias("long"))
+    met = variants.select("role", "me", first_of(F.col("role") < 2).alias("plain"), first_of(F.col("role") == 2).alias("long"))
     partner = F.when(F.col("role") == 0, F.col("long")).otherwise(F.col("plain"))
     pairs = met.select("me", partner.alias("other")).filter(F.col("other.at") < F.col("me.at"))
-    same = (F.col("me.k1") == F.col("other.k1")) & (F.col("me.k2") == F.col("other.k2"))
-    verified = pairs.filter(same & (F.levenshtein(F.col("me.middle"), F.col("other.middle"), 1) == 1))
+    verified = pairs.filter(F.levenshtein(F.col("me.middle"), F.col("other.middle"), 1) == 1)
     return verified.select("me.at.*").distinct()
 
 
-def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, near: bool = True, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def dedup_lines(docs: DataFrame, min_chars: int = 0, near: bool = True, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with ``text`` holding only each line's earliest copy, and ``n_lines, n_kept`` added.
 
     Earliest: least id (null first), then line number.  A line goes if an earlier line of the corpus is equal or, with
-    ``near`` and both of at least ``min_chars`` characters, one edit (a character put in, left out or changed) away,
-    whether or not that line itself stays.  Blank lines stay.  Null text stays null with no lines; equal rows count as
+    ``near``, one edit (a character put in, left out or changed) away, whether or not that line itself stays.  This holds
+    for lines of any length; a caller may except lines of fewer than ``min_chars`` characters.  Blank lines stay.  Null text stays null with no lines; equal rows count as
     one document, each returned; rows with equal ids but other texts stand by a hash; an empty table gives no rows.
     Columns of ``docs`` named ``n_lines`` or ``n_kept`` are replaced.
     """
@@ -138,7 +134,7 @@ def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, near: bool = True,
     stays = F.when(F.col("text").isNotNull(), once(_split(F.col("text")), lambda lines: once(kept_at, lambda kept: once(flags(kept, lines), lambda f: staying(lines, f)))))
     out = joined.withColumn("_stays", stays)
     kind = docs.schema[id_col].dataType
-    values = {text_col: F.array_join("_stays", "\n"), id_col: F.when(F.col("ord") != -(1 << 63), F.col("ord")).cast(kind)}
+    values = {text_col: F.array_join("_stays", "\n"), id_col: real_id(F.col("ord")).cast(kind)}
     return out.select(*(values.get(c, F.col(renamed.get(c, c))).alias(c) for c in own), F.coalesce(F.size(_split(F.col("text"))), F.lit(0)).cast("long").alias("n_lines"), F.coalesce(F.size("_stays"), F.lit(0)).cast("long").alias("n_kept"))
 
 

@@ -15,12 +15,10 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lavra.llm.common import materialized, real_id, row_key
+
 WORDS = 6
 LEAF = 6
-#: Quantiles of the ids that the order of documents is cut at, and documents of a bucket between two cuts.
-CUTS, BUCKET = 64, 4_000
-#: So many buckets' first documents are broadcast at most.
-HEADS = 4_096
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -47,89 +45,100 @@ def fingerprint(text: Column) -> Column:
     return let(sections, tree)
 
 
-def leaves_of(print_: Column) -> Column:
-    """The distinct leaves of a fingerprint."""
-    return F.array_distinct(F.regexp_extract_all(F.regexp_replace(F.substring_index(print_, "|", -1), "[0-9a-f]{8}:", ""), F.lit(f"[0-9a-f]{{{LEAF}}}"), F.lit(0)))
+def _sections(print_: Column) -> Column:
+    return F.split(F.substring_index(print_, "|", -1), ";", -1)
+
+
+def _leaves(sections: Column) -> Column:
+    """All leaves of some sections."""
+    return F.regexp_extract_all(F.regexp_replace(F.array_join(sections, ""), "[0-9a-f]{8}:", ""), F.lit(f"[0-9a-f]{{{LEAF}}}"), F.lit(0))
 
 
 def likeness(a: Column, b: Column) -> Column:
-    """Dice's coefficient of two fingerprints' leaves; 1 for equal roots."""
-    dice = let(leaves_of(a), lambda x: let(leaves_of(b), lambda y: 2.0 * F.size(F.array_intersect(x, y)) / F.greatest(F.size(x) + F.size(y), F.lit(1))))
-    return F.when(F.substring(a, 1, 64) == F.substring(b, 1, 64), 1.0).otherwise(dice)
+    """Dice's coefficient of two fingerprints' leaves, branch by branch; 1 for equal roots.
+
+    A section that both trees hold counts with all its leaves and is not opened; of the other sections the distinct leaves
+    are compared.  Two empty texts have equal roots.
+    """
+
+    def dice(x: Column, y: Column) -> Column:
+        same = F.size(_leaves(F.array_intersect(x, y)))
+        mine = lambda p, q: F.array_distinct(_leaves(F.array_except(p, q)))
+        opened = lambda p, q: 2.0 * (same + F.size(F.array_intersect(p, q))) / F.greatest(2 * same + F.size(p) + F.size(q), F.lit(1))
+        return let(mine(x, y), lambda p: let(mine(y, x), lambda q: opened(p, q)))
+
+    return F.when(F.substring(a, 1, 64) == F.substring(b, 1, 64), 1.0).otherwise(let(_sections(a), lambda x: let(_sections(b), lambda y: dice(x, y))))
+
+
+def _paragraphs(print_: Column) -> Column:
+    """The paragraphs' leaves, in order."""
+    return F.split(F.regexp_replace(F.regexp_replace(F.substring_index(print_, "|", -1), "[0-9a-f]{8}:", ""), ",$", ""), "[,;]", -1)
+
+
+def first_edit(a: Column, b: Column) -> Column:
+    """Number (from 0) of the first paragraph whose branches differ; null for equal roots."""
+    differing = lambda p, q: F.get(F.filter(F.transform(F.zip_with(p, q, lambda x, y: x.eqNullSafe(y)), lambda same, i: F.when(~same, i)), lambda i: i.isNotNull()), 0)
+    return F.when(F.substring(a, 1, 64) != F.substring(b, 1, 64), differing(_paragraphs(a), _paragraphs(b)))
 
 
 def edits(a: Column, b: Column) -> Column:
-    """Numbers (from 0) of the paragraphs of ``a`` that no equal branch of ``b`` holds."""
-    sections = lambda p: F.split(F.substring_index(p, "|", -1), ";", -1)
-    paragraphs = lambda s: F.filter(F.split(F.regexp_replace(s, "^[0-9a-f]{8}:", ""), ",", -1), lambda x: x.isNotNull())
-    known = let(F.flatten(F.transform(sections(b), paragraphs)), lambda x: x)
-    whole = sections(b)
-    #: One entry per paragraph of ``a``: null in a section that ``b`` holds too, else the paragraph.
-    listed = F.flatten(F.transform(sections(a), lambda s: F.transform(F.slice(paragraphs(s), 1, F.greatest(F.size(paragraphs(s)) - F.when(s.endswith(","), 1).otherwise(0), F.lit(0))), lambda p: F.when(~F.array_contains(whole, s), p))))
-    marked = F.transform(listed, lambda p, i: F.when(p.isNotNull() & ~F.array_contains(known, p), i))
-    return F.when(F.substring(a, 1, 64) == F.substring(b, 1, 64), F.array().cast("array<int>")).otherwise(F.filter(marked, lambda i: i.isNotNull()))
-
-
-def _bucket(rows: DataFrame) -> tuple[DataFrame, int]:
-    """Adds ``bucket``: runs of neighbours in the order of ``ord``, of about ``BUCKET`` documents, and their number.
-
-    The cuts are ``CUTS`` quantiles of the ids; between two cuts buckets are equally wide.  To the driver come the
-    number of rows and the cuts.
-    """
-    share = [i / CUTS for i in range(1, CUTS)]
-    r = rows.agg(F.count("*").alias("n"), F.percentile_approx("ord", share, 10_000).alias("q"), F.min("ord").alias("lo"), F.max("ord").alias("hi")).first()
-    if not r["n"]:
-        return rows.withColumn("bucket", F.lit(0).cast("long")), 1
-    edges = sorted({r["lo"], *r["q"]})
-    ends = [*edges[1:], r["hi"] + 1 if r["hi"] < (1 << 63) - 1 else r["hi"]]
-    each = max(1, -(-r["n"] // (BUCKET * len(edges))))
-
-    def find(lo: int, hi: int) -> Column:
-        if hi - lo == 1:
-            step = max(1, -(-(ends[lo] - edges[lo]) // each))
-            if ends[lo] - edges[lo] > 1 << 62:  # only if ids span nearly all integers
-                return F.lit(lo * each).cast("long")
-            return F.least(F.floor((F.col("ord") - F.lit(edges[lo])) / F.lit(step)).cast("long"), F.lit(each - 1)) + F.lit(lo * each)
-        mid = (lo + hi) // 2
-        return F.when(F.col("ord") < F.lit(edges[mid]), find(lo, mid)).otherwise(find(mid, hi))
-
-    return rows.withColumn("bucket", find(0, len(edges)).cast("long")), each * len(edges)
-
-
-def with_next(docs: DataFrame, columns: list[str], id_col: str = "doc_id") -> DataFrame:
-    """Adds ``next_<column>`` of the next row in descending order of ids; after the last comes the first.
-
-    Rows with null ids come last, rows with equal ids stand by a hash of their text; ``columns`` must have ``text``.
-    Each bucket of neighbours is one window; the first row of the bucket that follows stands in as its last guest.
+    """Numbers (from 0) of the paragraphs of ``a`` whose branch ``b`` does not hold anywhere."""
+    foreign = lambda p, q: let(F.array_except(p, q), lambda lost: F.filter(F.transform(p, lambda x, i: F.when(F.array_contains(lost, x), i)), lambda i: i.isNotNull()))
+    return F.when(F.substring(a, 1, 64) == F.substring(b, 1, 64), F.array().cast("array<int>")).otherwise(foreign(_paragraphs(a), _paragraphs(b)))
+
+
+def following(docs: DataFrame) -> DataFrame:
+    """``ord, tie, n, times, next_ord, next_tie, prev_n`` for each distinct ``ord, tie`` of ``docs`` (with ``n``), in descending order.
+
+    After the last comes the first; ``prev_n`` is the ``n`` of the row that this one follows.  Only keys move.  Spark deals
+    them by measured ranges of the whole key, which is distinct, so no id is hot and a far id takes no room; each range
+    is one window, and the ranges' ends, a few numbers each, are put in order by one more.
     """
-    lowest = F.lit(-(1 << 63)).cast("long")
-    keyed = docs.select(F.coalesce(F.col(id_col).cast("long"), lowest).alias("ord"), F.xxhash64("text").alias("tie"), *docs.columns)
-    rows, n_buckets = _bucket(keyed)
-    heads = rows.groupBy("bucket").agg(F.max(F.struct("ord", "tie")).alias("top"))
-    down = Window.orderBy(F.col("bucket").desc())  # a row for each bucket
-    linked = heads.select(F.col("top.ord").alias("ord"), F.col("top.tie").alias("tie"), F.coalesce(F.lag("bucket").over(down), F.min("bucket").over(Window.partitionBy())).alias("host"))
-    if n_buckets <= HEADS:
-        linked = F.broadcast(linked)
-    guests = rows.select("ord", "tie", *columns).join(linked, ["ord", "tie"]).dropDuplicates(["host"]).select(F.col("host").alias("bucket"), F.lit(True).alias("guest"), "ord", "tie", *columns)
-    own = rows.select("bucket", F.lit(False).alias("guest"), "ord", "tie", *docs.columns)
-    order = Window.partitionBy("bucket").orderBy("guest", F.col("ord").desc(), F.col("tie").desc())
-    both = own.unionByName(guests, allowMissingColumns=True)
-    led = both.select("guest", *docs.columns, *(F.lead(c).over(order).alias(f"next_{c}") for c in columns))
-    return led.filter(~F.col("guest")).drop("guest")
+    keys = docs.groupBy("ord", "tie").agg(F.min("n").alias("n"), F.count("*").alias("times"))
+    key = [F.col("ord").desc(), F.col("tie").desc()]
+    dealt = materialized(keys.repartitionByRange(*key).withColumn("part", F.spark_partition_id()), "order")
+    inside = Window.partitionBy("part").orderBy(*key)
+    me = F.struct("ord", "tie", "n")
+    ends = dealt.groupBy("part").agg(F.max(me).alias("first"), F.min(me).alias("last"))
+    across = Window.orderBy("part")  # a row for each range
+    whole = Window.partitionBy()
+    ends = ends.select(
+        "part",
+        F.coalesce(F.lead("first").over(across), F.max("first").over(whole)).alias("after"),
+        F.coalesce(F.lag("last").over(across), F.min("last").over(whole)).alias("before"),
+    )
+    seen = dealt.withColumn("next", F.lead(me).over(inside)).withColumn("prev", F.lag(me).over(inside)).join(ends, "part")
+    after, before = F.coalesce("next", "after"), F.coalesce("prev", "before")
+    return seen.select("ord", "tie", "n", "times", after["ord"].alias("next_ord"), after["tie"].alias("next_tie"), before["ord"].alias("prev_ord"), before["tie"].alias("prev_tie"), before["n"].alias("prev_n"))
 
 
 def compare_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Fingerprints of every whole text, of its edited text, and how like they and the next document's are.
 
-    The edited text has its last third of code points replaced by the first as many of the next document.  Null text is
-    empty, whose likeness to another empty text is 1; a single row is its own next; repeated rows follow one another.
+    The edited text has its last third of code points replaced by the first as many of the next document, by descending
+    id (rows without an id last, rows with equal ids by a hash of their texts; after the last comes the first).
+    ``first_edit`` is the first paragraph whose branches differ.  Null text is empty, whose likeness to another empty text
+    is 1; a single row is its own next; repeated rows follow one another; texts of any length are one tree; an empty table
+    gives no rows.  Columns other than id and text are not read, so their names cannot clash.
     """
-    slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    printed = slim.select("doc_id", "text", fingerprint(F.col("text")).alias("fingerprint"))
-    led = with_next(printed, ["text", "fingerprint"])
-    n = F.char_length("text").cast("long")
-    third = F.floor(n / 3).cast("int")
-    edited = F.concat(F.substring(F.col("text"), F.lit(1), (n - third).cast("int")), F.substring(F.col("next_text"), F.lit(1), third))
-    shown = led.select("doc_id", n.alias("n_chars"), edited.alias("edited"), "fingerprint", "next_fingerprint")
-    both = shown.select("doc_id", "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), "fingerprint", fingerprint(F.col("edited")).alias("edited_fingerprint"), "next_fingerprint")
-    return both.select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", likeness(F.col("fingerprint"), F.col("edited_fingerprint")).alias("near_edited"), likeness(F.col("fingerprint"), F.col("next_fingerprint")).alias("near_next"))
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    slim = docs.select(*row_key(id_col, text_col), text.alias("text"))
+    order = materialized(following(slim.select("ord", "tie", F.char_length("text").cast("long").alias("n"))), "neighbours")
+    # one row for each distinct document: copies meet before the shuffle
+    texts = slim.groupBy("ord", "tie").agg(F.first("text").alias("text"))
+    third = lambda n: F.floor(n / 3).cast("int")
+    # what a document gives to the one before it
+    given = texts.join(order, ["ord", "tie"]).select("ord", "tie", "prev_ord", "prev_tie", F.substring("text", F.lit(1), third(F.col("prev_n"))).alias("head"), fingerprint(F.col("text")).alias("fingerprint"))
+    given = materialized(given, "fingerprints")
+    own = given.select("ord", "tie", "fingerprint")
+    after = given.select(F.col("prev_ord").alias("ord"), F.col("prev_tie").alias("tie"), "head", F.col("fingerprint").alias("next_fingerprint"))
+    met = texts.join(order.select("ord", "tie", "n", "times"), ["ord", "tie"]).join(own, ["ord", "tie"]).join(after, ["ord", "tie"])
+    # all copies of a document but one are followed by a copy
+    copy = F.struct((F.col("times") - 1).alias("times"), F.substring("text", F.lit(1), third(F.col("n"))).alias("head"), F.col("fingerprint").alias("next_fingerprint"))
+    last = F.struct(F.lit(1).cast("long").alias("times"), "head", "next_fingerprint")
+    each = met.select("ord", "n", "text", "fingerprint", F.explode(F.filter(F.array(copy, last), lambda x: x["times"] > 0)).alias("x"))
+    edited = F.concat(F.substring("text", F.lit(1), (F.col("n") - third(F.col("n"))).cast("int")), F.col("x.head"))
+    shown = each.select(real_id(F.col("ord")).alias("doc_id"), F.col("n").alias("n_chars"), edited.alias("edited"), "fingerprint", "x.next_fingerprint", "x.times")
+    both = shown.select("doc_id", "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), "fingerprint", fingerprint(F.col("edited")).alias("edited_fingerprint"), "next_fingerprint", "times")
+    like = both.select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", likeness(F.col("fingerprint"), F.col("edited_fingerprint")).alias("near_edited"), likeness(F.col("fingerprint"), F.col("next_fingerprint")).alias("near_next"), first_edit(F.col("fingerprint"), F.col("edited_fingerprint")).alias("first_edit"), "times")
+    return like.withColumn("times", F.explode(F.sequence(F.lit(1).cast("long"), F.col("times")))).drop("times")

@@ -34,7 +34,11 @@ def _record_id(page: Column) -> Column:
 
 
 def _header(page: Column, url: Column, sha1: Column, n: Column, response: Column) -> Column:
-    """A record's header, its closing empty line included.  Line ends inside an address are percent-encoded."""
+    """A record's header, its closing empty line included.
+
+    Line ends inside an address are percent-encoded; such an address also stands in a field of its own, in base64.
+    """
+    exact = F.when(F.coalesce(url, F.lit("")).rlike("[\r\n]"), F.concat(F.lit("X-Exact-URI: "), F.base64(url.cast("binary"))))
     uri = F.replace(F.replace(F.coalesce(url, F.lit("")), F.lit("\r"), F.lit("%0D")), F.lit("\n"), F.lit("%0A"))
     revisit = ~page.eqNullSafe(response)
     lines = [
@@ -43,6 +47,7 @@ def _header(page: Column, url: Column, sha1: Column, n: Column, response: Column
         F.concat(F.lit("WARC-Record-ID: "), _record_id(page)),
         F.lit(f"WARC-Date: {DATE}"),
         F.concat(F.lit("WARC-Target-URI: "), uri),
+        F.regexp_replace(exact, "[\r\n]+", ""),
         F.concat(F.lit("WARC-Payload-Digest: sha1:"), sha1),
         F.when(revisit, F.concat(F.lit("WARC-Refers-To: "), _record_id(response))),
         F.when(revisit, F.lit(f"WARC-Profile: {PROFILE}")),
@@ -67,10 +72,10 @@ def write_archive(pages: DataFrame, folder: str, id_col: str = "page_id", url_co
     def deflate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             body = pa.array([zlib.compress(x.as_py(), 4) for x in b.column(2)], pa.binary())
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), body], ["digest", "page_id", "body"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), body], ["digest", "response", "body"])
 
-    packed = hashed.select("digest", "page_id", "payload").mapInArrow(deflate, "digest binary, page_id long, body binary")
-    stored = packed.groupBy("digest").agg(F.max("page_id").alias("response"), F.first("body").alias("body"))
+    single = hashed.groupBy("digest").agg(F.max("page_id").alias("response"), F.first("payload").alias("payload"))
+    stored = single.select("digest", "response", "payload").mapInArrow(deflate, "digest binary, response long, body binary")
     stored.write.option("compression", "none").parquet(f"{folder}/payloads")
     owners = spark.read.schema("digest binary, response long").parquet(f"{folder}/payloads")
     facts = hashed.select("page_id", "url", "digest", base32_sha1(F.col("payload")).alias("sha1"), F.octet_length("payload").cast("long").alias("n"))
@@ -79,7 +84,7 @@ def write_archive(pages: DataFrame, folder: str, id_col: str = "page_id", url_co
 
 
 def read_archive(spark: SparkSession, folder: str) -> DataFrame:
-    """All records: ``page_id, url, record_type, refers_to, payload_digest, record_header, payload``.
+    """All records: ``page_id, url, record_type, refers_to, payload_digest, record_header, payload``; a null address is empty.
 
     Each payload's SHA-256 is computed again and must be its address; a damaged one stops the read.
     """
@@ -105,7 +110,7 @@ def read_archive(spark: SparkSession, folder: str) -> DataFrame:
     number = lambda c: F.when(c != "", c).cast("long")
     return joined.select(
         number(page("WARC-Record-ID")).alias("page_id"),
-        field("WARC-Target-URI").alias("url"),
+        F.when(field("X-Exact-URI") != "", F.unbase64(field("X-Exact-URI")).cast("string")).otherwise(field("WARC-Target-URI")).alias("url"),
         field("WARC-Type").alias("record_type"),
         number(page("WARC-Refers-To")).alias("refers_to"),
         F.regexp_extract("header", "(?md)^WARC-Payload-Digest: sha1:([A-Z2-7]+)\r$", 1).alias("payload_digest"),
@@ -117,13 +122,19 @@ def read_archive(spark: SparkSession, folder: str) -> DataFrame:
 def records(archive: DataFrame) -> DataFrame:
     """The records as a WARC file has them: header, block (none for a revisit), two line ends."""
     block = F.when(F.col("record_type") == "response", F.col("payload")).otherwise(F.lit(b""))
-    return archive.select("page_id", F.concat(F.col("record_header").cast("binary"), block, F.lit(b"\r\n\r\n")).alias("record"))
+    return archive.select("*", F.concat(F.col("record_header").cast("binary"), block, F.lit(b"\r\n\r\n")).alias("record"))
 
 
 def round_trip(pages: DataFrame) -> DataFrame:
-    """Archives all pages and returns per page what the archive says; digest and size come from the payload read back."""
+    """Archives all pages and returns per page what the archive says; digest and size come from the payload read back.
+
+    ``record_sha256`` is the digest of the rebuilt record's bytes.  Null payload or address is empty; a null id counts as
+    smaller than any other; rows with equal ids and payloads are one record written twice; payloads may be of any length;
+    an empty table gives no rows.  Other columns are not read, so their names cannot clash.
+    """
     spark = pages.sparkSession
     folder = new_folder(spark, "warc")
     write_archive(pages, folder)
-    back = read_archive(spark, folder)
-    return back.select("page_id", F.octet_length("payload").cast("long").alias("payload_bytes"), base32_sha1(F.col("payload")).alias("payload_digest"), "record_type", "refers_to")
+    back = records(read_archive(spark, folder))
+    digest, size = base32_sha1(F.col("payload")).alias("payload_digest"), F.octet_length("payload").cast("long").alias("payload_bytes")
+    return back.select("page_id", size, digest, "record_type", "refers_to", F.sha2("record", 256).alias("record_sha256"))
