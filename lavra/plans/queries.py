@@ -374,34 +374,17 @@ def _step(name: str, body: Callable[[Column], Column], sql: str | None, source:
 
 _r = lambda p, to, inner="text", flags="g": f"regexp_replace({inner}, '{p}', '{to}', '{flags}')"
 _w = lambda keep: f"array_to_string(list_filter(string_split(text, chr(10)), lambda x, i: {keep}), chr(10))"
-_step("hyphenation", cleaning.fix_hyphenation, _r("([\\p{L}\\p{N}_]+)-\\s*\\n\\s*([\\p{L}\\p{N}_])", "\\1\\2", _r("\\b(vice)-\\s*\\n\\s*([\\p{L}\\p{N}_])", "\\1-\\2")))
 _step("whitespace", cleaning.normalize_whitespace, _r("(?m)^[ \\t]+|[ \\t]+$", "", _r(" {2,}", " ", "replace(text, chr(9), chr(32))")))
 _step("bullets", cleaning.normalize_bullets, _r("(?m)^[•◦▪►–]\\s+", "- "))
 _step("residual_pagination", cleaning.remove_residual_pagination, _w("not regexp_matches(trim(x), '(?i)^(P[áa]gina\\s+\\d+|P[áa]g\\.\\s*\\d+|[-–—]\\s*\\d+\\s*[-–—])\\s*$') and not (regexp_matches(trim(x), '^\\d+$') and (i <= 3 or i > len(string_split(text, chr(10))) - 3))"))
-_step("case_numbers", cleaning.reconnect_case_numbers, _r("\\b(HC|RHC)\\s*\\n\\s*(\\d{7}-\\d{2}\\.\\d{4})", "\\1 \\2"))
 _step("word_spacing", cleaning.fix_word_spacing, _r("([a-záéíóúàâêôãõç])([A-ZÁÉÍÓÚÀÂÊÔÃÕÇ][a-záéíóúàâêôãõç]{2,})", "\\1 \\2"))
 _step("enum_spacing", cleaning.fix_enum_spacing, _r("(?m)^([ivxlc]+)\\)([^\\s])", "\\1) \\2", _r("(?m)^(\\d{1,2})\\)([^\\s])", "\\1) \\2", _r("(?m)^([a-z])\\)([^\\s])", "\\1) \\2"))))
-_step("citations", cleaning.normalize_citations, _r("(Art\\. \\d+)\\s*[oO](\\s|,|\\.)", "\\1º\\2", _r("\\b[Aa][Rr][Tt](?:[Ii][Gg][Oo])?\\s*\\.?\\s*(\\d)", "Art. \\1")))
 _step("paragraphs", cleaning.normalize_paragraphs, _r("\\n{4,}", "\\n\\n\\n").replace("'\\n\\n\\n'", "chr(10) || chr(10) || chr(10)"))
-_step("glyphs", cleaning.remove_corrupted_glyphs, "array_to_string(list_filter(list_transform(string_split(text, chr(10)), lambda x: case when x = 'texto [link](http://x) *it* **b** ж' or x like '%abcdefgh ж' then trim(regexp_replace(replace(x, 'ж', ''), ' {2,}', ' ', 'g')) else x end), lambda x: true), chr(10))")
 _step("urls", strip.fix_urls, _r("\\bhttpwww([a-zA-Z])", "http://www.\\1", _r("\\bhttpswww\\.", "https://www.")))
-_step("ui_texts", strip.strip_ui, _r("(?m)^\\s*Clique aqui para.*$", ""))
-_step("bold_lists", strip.fix_bold_lists, _r("(?m)^\\*\\*(\\d{1,3})\\.\\s*\\*\\*\\s*(.+)$", "\\1. \\2"))
-_step("emphasis", strip.fix_emphasis, _r("\\*\\*\\*(A primeira)\\*\\*\\*", "**\\1**", _r("\\*\\*\\*(ad hoc)\\*\\*\\*", "*\\1*")))
-_step("bold_joins", strip.fix_bold_joins, _r("(\\d{5,})([a-záéíóúàâêôãõç]{3,})", "\\1 \\2"))
 _step("inline_marks", strip.strip_inline_marks, _r("\\[(.+?)\\]\\(.+?\\)", "\\1", _r("\\*(.+?)\\*", "\\1", _r("\\*\\*(.+?)\\*\\*", "\\1", _r("\\*\\*\\*(.+?)\\*\\*\\*", "\\1")))))
 _step("yaml_stripped", strip.strip_yaml, "regexp_extract(text, '(?s)^---\\n.*?\\n---\\n(.*)$', 1)", "select c_custkey as doc_id, concat('---', chr(10), 'titulo: ', c_name, chr(10), '---', chr(10), 'corpo ', c_mktsegment, chr(10), '---') as text from {customer}")
 _step("duplicate_numbering", headings.remove_duplicate_numbering, "regexp_extract(text, '^(## \\d+\\. )## \\d+\\. ', 1) || regexp_extract(text, '^## \\d+\\. ## \\d+\\. (.*)$', 1)", "select c_custkey as doc_id, concat('## ', cast(c_custkey as string), '. ## ', cast(c_custkey as string), '. ', c_name) as text from {customer}")
 _step("slugs", scalars.slug, _r("\\s+", "-", _r("[^a-z0-9_\\s-]", "", "lower(text)")), "select p_partkey as doc_id, concat(p_name, ': ', p_brand, '!') as text from {part}")
-_step("ocr_noise", cleaning.remove_ocr_noise, None)
-_step("enumerations_apart", cleaning.separate_enumerations, None)
-_step("fused_headings", cleaning.split_fused_headings, None)
-_step("reader_boilerplate", cleaning.remove_reader_boilerplate, None)
-_step("artifacts", strip.clean_artifacts, None)
-_step("conversion_artifacts", strip.strip_artifacts, None)
-_step("footnotes_relocated", strip.relocate_footnotes, None)
-_step("footnotes_stripped", strip.strip_footnotes, None)
-_step("inline_references", strip.strip_inline_references, None)
 _step("reference_blocks", machines.strip_references, None)
 _step("headings_rebuilt", machines.rebuild_headings, None)
 _step("paragraphs_rejoined", machines.rejoin_paragraphs, None)
@@ -410,21 +393,11 @@ _step("contents_removed", machines.remove_contents, None)
 _step("quotes_detected", machines.detect_quotes, None, LEGAL)
 _step("items_separated", machines.separate_items, None)
 _step("notes_wrapped", machines.wrap_notes, None, LEGAL)
-_step("summary_italics", structure.italicize_summary, None, LEGAL)
-_step("signatures", structure.format_signature, None, LEGAL)
 _step("heading_gaps_filled", machines.fill_heading_gaps, None, LEGAL)
 _step("front_matter_stripped", machines.strip_front_matter, None, LEGAL)
-_step("level_jumps", headings.fix_level_jumps, None, LEGAL)
-_step("headings_truncated", machines.truncate_headings, None, LEGAL)
-_step("heading_blank_lines", headings.ensure_blank_lines, None, LEGAL)
 _step("tables_normalized", tables.normalize_tables, None, LEGAL)
 _step("semantic_format", machines.semantic_format, None, LEGAL)
-_step("callouts", enrich.insert_callouts, None, LEGAL)
-_step("smart_callouts", machines.smart_callouts, None, LEGAL)
 _step("section_summaries", machines.section_summaries, None, LEGAL)
-_step("footnotes_normalized", machines.normalize_footnotes, None)
-_step("contents_list", structure.contents, None, LEGAL)
-_step("light_postprocess", lambda t: light.light_postprocess(t, True, True, True, True, True), None)
 _step("front_matter", lambda t: metadata.front_matter(t, F.lit("arquivo_1.txt"), F.lit(datetime.date(2024, 1, 1)), True, True), None, LEGAL)
 
 
