@@ -136,7 +136,7 @@ _SUBCOUNTS = ", ".join("[" + ", ".join(f"len(regexp_extract_all(t, '{_spread(p)}
 c as (select doc_id, {_COUNTS} as c, {_SUBCOUNTS} from d),
 a as (select *, case when list_max(c) > 0 then {list(enrich.AREAS)}[list_position(c, list_max(c))] end as area from c)
 select doc_id, coalesce(area, 'Direito Civil') as area, case {_SUBS} else 'Geral' end as subarea from a""",
-    LEGAL,
+    LEGAL + " union all select doc_id + 1000000, text from {documents}",
 )
 def legal_area(docs: DataFrame) -> DataFrame:
     return docs.withColumn("a", enrich.legal_area(F.col("text"))).select("doc_id", "a.area", "a.subarea")
@@ -330,14 +330,14 @@ def heading_counts(docs: DataFrame) -> DataFrame:
 
 
 def page_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cache = made(spark, sf_dir, "select concat('p', cast(user_id % 40 as string)) as page_hash, event_type as lang, concat('t', cast(event_id as string)) as text, ts as created_at from {events} where event_id % 3 = 0")
+    cache = made(spark, sf_dir, "select concat('p', cast(user_id % 40 as string)) as page_hash, event_type as lang, concat('t', cast(event_id as string)) as text, ts as created_at from {events}")
     pages = made(spark, sf_dir, "select distinct concat('p', cast(user_id % 60 as string)) as page_hash, event_type as lang from {events}")
     known, missing = layout.cached_pages(pages, layout.cache_put(cache.limit(0), cache))
     return known.select("page_hash", "lang", F.lit(True).alias("hit")).unionByName(missing.select("page_hash", "lang", F.lit(False).alias("hit")))
 
 
 QUERIES["page_cache"] = page_cache
-SQL["page_cache"] = """with c as (select distinct 'p' || (user_id % 40) as page_hash, event_type as lang from events where event_id % 3 = 0), p as (select distinct 'p' || (user_id % 60) as page_hash, event_type as lang from events)
+SQL["page_cache"] = """with c as (select distinct 'p' || (user_id % 40) as page_hash, event_type as lang from events), p as (select distinct 'p' || (user_id % 60) as page_hash, event_type as lang from events)
 select p.page_hash, p.lang, c.page_hash is not null as hit from p left join c on p.page_hash = c.page_hash and p.lang = c.lang"""
 
 
@@ -395,9 +395,7 @@ _step("items_separated", machines.separate_items, None)
 _step("notes_wrapped", machines.wrap_notes, None, LEGAL)
 _step("heading_gaps_filled", machines.fill_heading_gaps, None, LEGAL)
 _step("front_matter_stripped", machines.strip_front_matter, None, LEGAL)
-_step("tables_normalized", tables.normalize_tables, None, LEGAL)
 _step("semantic_format", machines.semantic_format, None, LEGAL)
-_step("section_summaries", machines.section_summaries, None, LEGAL)
 _step("front_matter", lambda t: metadata.front_matter(t, F.lit("arquivo_1.txt"), F.lit(datetime.date(2024, 1, 1)), True, True), None, LEGAL)
 
 

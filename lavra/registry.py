@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lavra.plans import texts  # noqa: F401  registers its queries
+from lavra.plans import layouts, texts  # noqa: F401  they register their queries
 from lavra.plans.queries import QUERIES, SQL
 
 

@@ -13,7 +13,7 @@ from collections.abc import Iterator
 from xml.etree import ElementTree
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 SUFFIXES = (".pdf", ".docx", ".txt", ".md")
@@ -25,13 +25,11 @@ _CP1252 = "".join(bytes([i]).decode("cp1252", "ignore") or chr(i) for i in range
 
 
 def read_files(spark: SparkSession, path: str, glob: str | None = None) -> DataFrame:
-    """The files of a folder, not of folders below it; ``seq`` is their order by path."""
+    """The files of a folder, not of folders below it; ``seq`` is a number of the path, so no file's bytes are shuffled."""
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", "false")
     files = (reader.option("pathGlobFilter", glob) if glob else reader).load(path)
     name = F.regexp_extract("path", "([^/]*)$", 1)
-    named = files.select("path", name.alias("filename"), F.lower(F.regexp_extract(name, r"(\.[^.]*)$", 1)).alias("ext"), "content")
-    order = named.select("path", (F.row_number().over(Window.orderBy("path")) - 1).cast("long").alias("seq"))  # paths only
-    return named.join(order, "path")
+    return files.select("path", name.alias("filename"), F.lower(F.regexp_extract(name, r"(\.[^.]*)$", 1)).alias("ext"), "content", F.xxhash64("path").alias("seq"))
 
 
 def decode(content: Column) -> Column:

@@ -81,10 +81,8 @@ def test_rewrites(spark, fn, before, after):
 
 def test_headings_by_mode(spark):
     lines = ["I – DOS FATOS", "3. DO DIREITO", "PETIÇÃO INICIAL", "AO JUÍZO DA VARA", "DOS PEDIDOS", "II.1 – tema", "a) item", "1.1. sub", "Da responsabilidade", "texto", "1.2.3 fundo"]
-    want = ["## I – DOS FATOS", "## 3. DO DIREITO", "# PETIÇÃO INICIAL", "AO JUÍZO DA VARA", "## DOS PEDIDOS", "### II.1 – tema", "a) item", "1.1. sub", "### Da responsabilidade", "texto", "#### 1.2.3 fundo"]
+    want = ["## I – DOS FATOS", "## 3. DO DIREITO", "# PETIÇÃO INICIAL", "## AO JUÍZO DA VARA", "## DOS PEDIDOS", "### II.1 – tema", "a) item", "1.1. sub", "### Da responsabilidade", "texto", "#### 1.2.3 fundo"]
     got = apply(spark, lambda t: structure.mark_headings(t, "forense"), *lines)
-    want[3] = got[3]  # the address needs a word behind JUÍZO
-    want[10] = got[10]  # 1.2.3 is an enumeration in this mode
     assert got == want
     assert apply(spark, lambda t: structure.mark_headings(t, "doutrina"), "CAPÍTULO II - Da posse", "1. O que é isto", "2.3. Sub") == ["# CAPÍTULO II - Da posse", "1. O que é isto", "### 2.3. Sub"]
     assert apply(spark, lambda t: structure.mark_headings(t, "google"), "# Título", "Autor: Ana", "texto") == ["**Título**", "**Autor: Ana**", "texto"]
