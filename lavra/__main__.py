@@ -9,7 +9,7 @@ from pyspark.sql import SparkSession
 
 from lavra.plans.options import Options, load
 from lavra.plans.pipeline import convert_folder, rollup
-from lavra.sources.sinks import write_results
+from lavra.sources.sinks import write_files, write_results
 
 
 def parser() -> argparse.ArgumentParser:
@@ -18,6 +18,7 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("path", help="a folder of .txt, .md, .docx and .pdf files")
     p.add_argument("out", help="where the results go")
     p.add_argument("--glob", help="names to read, such as *.docx")
+    p.add_argument("--files", help="a folder that gets each document as a file of its own, such as file:///data/out")
     p.add_argument("--config", help="a JSON or YAML file of options")
     for f in fields(Options):
         name = "--" + f.name.replace("_", "-")
@@ -32,8 +33,11 @@ def main(argv: list[str] | None = None) -> int:
     a = parser().parse_args(argv)
     spark = SparkSession.builder.appName("lavra").getOrCreate()
     results = convert_folder(spark, a.path, load(a.config, vars(a)), a.glob)
-    write_results(results, a.out, "markdown")
-    done = rollup(spark.read.parquet(a.out)).first()
+    write_results(results, a.out)
+    written = spark.read.parquet(a.out)
+    if a.files:
+        write_files(written, a.files)
+    done = rollup(written).first()
     print(f"{done['total']} documents: {done['converted']} converted, {done['failed']} failed")
     return int(done["failed"] > 0)
 

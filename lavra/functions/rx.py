@@ -35,13 +35,17 @@ def all_of(text: Column, pattern: str, group: int = 0, flags: str = "") -> Colum
     return F.regexp_extract_all(text, F.lit(rx(pattern, flags)), F.lit(group))
 
 
+#: Unicode's white space.
+BLANKS = "\t\n\x0b\x0c\r \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
+
+
 def strip(text: Column) -> Column:
-    """Without white space (Unicode's) at both ends."""
-    return F.regexp_replace(text, r"(?U)\A\s+|\s+\z", "")
+    """Without white space at both ends.  No regular expression: that would search the whole text for its end."""
+    return F.btrim(text, F.lit(BLANKS))
 
 
 def rstrip(text: Column) -> Column:
-    return F.regexp_replace(text, r"(?U)\s+\z", "")
+    return F.rtrim(text, F.lit(BLANKS))
 
 
 def blank(text: Column) -> Column:

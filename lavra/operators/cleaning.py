@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import unicodedata
 from functools import partial
 
@@ -36,11 +37,12 @@ def plain_spaces(text: Column) -> Column:
 
 def fix_hyphenation(text: Column) -> Column:
     """Joins words broken at a line end; the hyphen stays after a compound's prefix."""
-    keep = rf"\b({'|'.join(COMPOUND_PREFIXES)})-"
+    broken = rx.has(text, r"-\s*\n|-\s{2}")  # else no rule holds; this is far cheaper than they are
+    whole, keep = text, rf"\b({'|'.join(COMPOUND_PREFIXES)})-"
     for gap in (r"\s*\n\s*", r"\s{2,}"):
         text = rx.sub(text, rf"{keep}{gap}(\w)", "$1-$2", "i")
         text = rx.sub(text, rf"(\w+)-{gap}(\w)", "$1$2")
-    return text
+    return F.when(broken, text).otherwise(whole)
 
 
 def normalize_whitespace(text: Column) -> Column:
@@ -71,11 +73,11 @@ def remove_corrupted_glyphs(text: Column) -> Column:
         fixed = rx.strip(F.regexp_replace(F.regexp_replace(line, r"[\p{L}&&[^\x{0}-\x{24F}]]", ""), " {2,}", " "))
         return F.when((F.char_length(s) < 3) | (beyond(s) == 0), one(line)).when(beyond(s) / letters(s) > 0.3, none()).otherwise(one(fixed))
 
-    return flat_map_lines(text, body)
+    return F.when(text.rlike(r"[\p{L}&&[^\x{0}-\x{24F}]]"), flat_map_lines(text, body)).otherwise(text)
 
 
-def _has_reader_word(line: Column) -> Column:
-    return F.lower(line).rlike("|".join(READER_WORDS))
+def _has_reader_word(text: Column) -> Column:
+    return let(F.lower(text), lambda low: functools.reduce(lambda a, b: a | b, (low.contains(w) for w in READER_WORDS)))
 
 
 def remove_reader_boilerplate(text: Column, scanned: int = 150) -> Column:
@@ -95,7 +97,7 @@ def remove_reader_boilerplate(text: Column, scanned: int = 150) -> Column:
 
         return let(hits, at)
 
-    return let(split(text), cut)
+    return F.when(_has_reader_word(text), let(split(text), cut)).otherwise(text)
 
 
 def repeated_line_key(line: Column) -> Column:
@@ -161,7 +163,8 @@ def split_fused_headings(text: Column) -> Column:
             out = F.when(rx.has(content, pattern, flags) & (F.char_length(a) > 5), F.array(F.concat(mark, a), F.lit(""), F.concat(mark, b))).otherwise(out)
         return out
 
-    return flat_map_lines(text, body)
+    some = rx.has(text, r"cap[íi]tulo\s+\d|quadro\s+mnem|parte\s+[ivxlc]|se[çc][ãa]o\s+[ivxlc\d]", "i")
+    return F.when(some, flat_map_lines(text, body)).otherwise(text)
 
 
 def fix_word_spacing(text: Column) -> Column:

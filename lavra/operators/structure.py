@@ -60,14 +60,13 @@ def bare(line: Column) -> Column:
 def is_roman_heading(line: Column) -> Column:
     s = rx.strip(line)
     s = bare(F.when(s.startswith("**") & s.endswith("**") & (F.char_length(s) > 3), rx.strip(F.substring(s, 3, F.char_length(s) - 4))).otherwise(s))
-    rest = F.regexp_extract(s, rx.rx(r"^[IVXLC]+ *[-–—.] *(.{2,})$", "s"), 1)
-    return F.coalesce((F.char_length(s) >= 4) & (rest != "") & (rx.upper_share(rest) >= 0.6), F.lit(False))
+    title = lambda t: let(F.regexp_extract(t, rx.rx(r"^[IVXLC]+ *[-–—.] *(.{2,})$", "s"), 1), lambda rest: (F.char_length(t) >= 4) & (rest != "") & (rx.upper_share(rest) >= 0.6))
+    return F.coalesce(let(s, title), F.lit(False))
 
 
 def is_numbered_heading(line: Column) -> Column:
-    s = bare(line)
-    rest = F.regexp_extract(s, rx.rx(r"^\d+\. *(\p{Lu}.+)$", "s"), 1)
-    return F.coalesce((F.char_length(s) >= 5) & (rest != "") & (rx.upper_share(rest) >= 0.6), F.lit(False))
+    title = lambda t: let(F.regexp_extract(t, rx.rx(r"^\d+\. *(\p{Lu}.+)$", "s"), 1), lambda rest: (F.char_length(t) >= 5) & (rest != "") & (rx.upper_share(rest) >= 0.6))
+    return F.coalesce(let(bare(line), title), F.lit(False))
 
 
 def loud(line: Column) -> Column:
@@ -93,49 +92,60 @@ def _marked(marks: str | Column, line: Column) -> Column:
 
 
 def forensic_heading(raw: Column) -> Column:
-    """A line of a pleading, as a heading if it is one."""
-    line = bare(raw)
-    upper, short = rx.strip(F.upper(line)), F.char_length(line) < 100
-    roman_title = rx.has(line, rf"^[IVXLC]+\s*[-–—.]\s+[{CAPITAL}][{TITLE_CHARS}]{{2,}}$") & loud(line)
-    unbold = F.when(line.startswith("**") & line.endswith("**") & (F.char_length(line) > 3), rx.strip(F.substring(line, 3, F.char_length(line) - 4))).otherwise(line)
-    return (
-        F.when(is_roman_heading(line), _marked("##", unbold))
-        .when(is_numbered_heading(line), _marked("##", line))
-        .when(rx.has(upper, _start(PIECES_H1), "i"), _marked("#", line))
-        .when(rx.has(upper, _start(ADDRESSES), "i"), _marked("##", line))
-        .when(rx.has(upper, _start(SECTIONS_H2), "i"), _marked("##", line))
-        .when(roman_title, _marked("##", line))
-        .when(short & rx.has(line, r"^[IVXLC]+\.\d+\s*[-–—.]\s+\S"), _marked("###", line))
-        .when(is_enumeration(line), line)
-        .when(rx.has(line, rf"^\d+\.\s+[{CAPITAL}][{TITLE_CHARS}]{{2,}}$"), _marked("##", line))
-        .when(short & _depth(line).isNotNull(), _marked(_depth(line), line))
-        .when(short & rx.has(line, _start(SUBSECTIONS_H3)), _marked("###", line))
-        .otherwise(line)
-    )
-
-
-def book_heading(line: Column) -> Column:
+    """A line of a pleading, as a heading if it is one.  What several rules look at is computed once."""
+
+    def judge(line: Column, upper: Column) -> Column:
+        short = F.char_length(line) < 100
+        roman_title = rx.has(line, rf"^[IVXLC]+\s*[-–—.]\s+[{CAPITAL}][{TITLE_CHARS}]{{2,}}$") & loud(line)
+        unbold = F.when(line.startswith("**") & line.endswith("**") & (F.char_length(line) > 3), rx.strip(F.substring(line, 3, F.char_length(line) - 4))).otherwise(line)
+        return (
+            F.when(is_roman_heading(line), _marked("##", unbold))
+            .when(is_numbered_heading(line), _marked("##", line))
+            .when(rx.has(upper, _start(PIECES_H1), "i"), _marked("#", line))
+            .when(rx.has(upper, _start(ADDRESSES), "i"), _marked("##", line))
+            .when(rx.has(upper, _start(SECTIONS_H2), "i"), _marked("##", line))
+            .when(roman_title, _marked("##", line))
+            .when(short & rx.has(line, r"^[IVXLC]+\.\d+\s*[-–—.]\s+\S"), _marked("###", line))
+            .when(is_enumeration(line), line)
+            .when(rx.has(line, rf"^\d+\.\s+[{CAPITAL}][{TITLE_CHARS}]{{2,}}$"), _marked("##", line))
+            .when(short & _depth(line).isNotNull(), _marked(_depth(line), line))
+            .when(short & rx.has(line, _start(SUBSECTIONS_H3)), _marked("###", line))
+            .otherwise(line)
+        )
+
+    return let(bare(raw), lambda line: let(rx.strip(F.upper(line)), lambda upper: judge(line, upper)))
+
+
+def book_heading(raw: Column) -> Column:
     """A line of a book, as a heading if it is one; long lines, and sentences in lower case, are text."""
-    upper, n = rx.strip(F.upper(line)), F.char_length(line)
-    sentence = (F.coalesce(rx.upper_share(line), F.lit(1.0)) < 0.5) & rx.has(line, rf"\b(?:{'|'.join(BODY_VERBS)})\b", "i")
-    return (
-        F.when(rx.has(upper, _start(BOOK_H1), "i"), _marked("#", line))
-        .when(rx.has(upper, _start(BOOK_H2), "i"), F.when((n > 120) | sentence, line).otherwise(_marked("##", line)))
-        .when((n < 100) & _depth(line).isNotNull(), _marked(_depth(line), line))
-        .when(rx.has(line, r"^\d+\.\d+\.?\s+") | rx.has(line, r"^\d+\.\d+\.\d+\.?\s+"), F.when(n > 200, line).otherwise(_marked("###", line)))
-        .otherwise(line)
-    )
-
-
-def bold_heading(line: Column) -> Column:
+
+    def judge(line: Column, upper: Column) -> Column:
+        n = F.char_length(line)
+        sentence = (F.coalesce(rx.upper_share(line), F.lit(1.0)) < 0.5) & rx.has(line, rf"\b(?:{'|'.join(BODY_VERBS)})\b", "i")
+        return (
+            F.when(rx.has(upper, _start(BOOK_H1), "i"), _marked("#", line))
+            .when(rx.has(upper, _start(BOOK_H2), "i"), F.when((n > 120) | sentence, line).otherwise(_marked("##", line)))
+            .when((n < 100) & _depth(line).isNotNull(), _marked(_depth(line), line))
+            .when(rx.has(line, r"^\d+\.\d+\.?\s+") | rx.has(line, r"^\d+\.\d+\.\d+\.?\s+"), F.when(n > 200, line).otherwise(_marked("###", line)))
+            .otherwise(line)
+        )
+
+    return let(raw, lambda line: let(rx.strip(F.upper(line)), lambda upper: judge(line, upper)))
+
+
+def bold_heading(raw: Column) -> Column:
     """The same kinds of lines in bold instead of as headings."""
-    s, upper, short = rx.strip(line), rx.strip(F.upper(line)), F.char_length(line) < 100
-    title = (
-        is_roman_heading(line) | rx.has(upper, _start(PIECES_H1), "i") | rx.has(s, _start(BOLD_STARTS), "i") | rx.has(upper, _start(SECTIONS_H2), "i")
-        | (rx.has(s, rf"^[IVXLC]+\s*[-–—.]\s+[{CAPITAL}][{TITLE_CHARS}]{{2,}}$") & loud(s)) | rx.has(s, r"^\d+\.\s+[A-ZÀ-Ú]")
-        | (short & (rx.has(s, r"^\d+\.\d+\.?\s+") | rx.has(s, r"^[IVXLC]+\.\d+\s*[-–—.]\s+\S") | rx.has(line, _start(SUBSECTIONS_H3))))
-    )
-    return F.when(title, F.concat(F.lit("**"), line, F.lit("**"))).otherwise(line)
+
+    def judge(line: Column, s: Column, upper: Column) -> Column:
+        short = F.char_length(line) < 100
+        title = (
+            is_roman_heading(line) | rx.has(upper, _start(PIECES_H1), "i") | rx.has(s, _start(BOLD_STARTS), "i") | rx.has(upper, _start(SECTIONS_H2), "i")
+            | (rx.has(s, rf"^[IVXLC]+\s*[-–—.]\s+[{CAPITAL}][{TITLE_CHARS}]{{2,}}$") & loud(s)) | rx.has(s, r"^\d+\.\s+[A-ZÀ-Ú]")
+            | (short & (rx.has(s, r"^\d+\.\d+\.?\s+") | rx.has(s, r"^[IVXLC]+\.\d+\s*[-–—.]\s+\S") | rx.has(line, _start(SUBSECTIONS_H3))))
+        )
+        return F.when(title, F.concat(F.lit("**"), line, F.lit("**"))).otherwise(line)
+
+    return let(raw, lambda line: let(rx.strip(line), lambda s: let(rx.strip(F.upper(line)), lambda upper: judge(line, s, upper))))
 
 
 MODES = {"forense": forensic_heading, "doutrina": book_heading, "google": bold_heading}

@@ -20,6 +20,8 @@ class Options:
     separate_enums: bool = False
     wrap_notes: bool = False
     preserve_inline_formatting: bool = True
+    page_range: str = ""
+    detect_columns: bool = True
     generate_toc: bool = False
     rag_optimize: bool = False
     strip_footnotes: bool = True

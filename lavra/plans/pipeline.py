@@ -70,7 +70,7 @@ def convert(docs: DataFrame, options: Options | None = None, today: datetime.dat
 def convert_folder(spark: SparkSession, path: str, options: Options | None = None, glob: str | None = None, today: datetime.date | None = None) -> DataFrame:
     """All files of a folder; ``doc_id`` is a number of the path, which is carried as ``filename`` by its last part."""
     o = options or Options()
-    found = sources.extract(sources.read_files(spark, path, glob), o.preserve_inline_formatting)
+    found = sources.extract(sources.read_files(spark, path, glob), o.preserve_inline_formatting, o.page_range, o.detect_columns)
     return convert(found.withColumnRenamed("seq", "doc_id"), o, today)
 
 

@@ -13,9 +13,12 @@ from collections.abc import Iterator
 from xml.etree import ElementTree
 
 import pandas as pd
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lavra.operators import layout
+
 SUFFIXES = (".pdf", ".docx", ".txt", ".md")
 W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
 
@@ -88,25 +91,78 @@ def docx_text(content: bytes, marks: bool = True) -> str:
     return "\n".join(out)
 
 
-def pdf_text(content: bytes) -> str:
+#: Rows that ``pdf_parts`` makes of a PDF: its pages, their text blocks, their tables, or what went wrong.
+PARTS = "seq long, kind string, page_idx int, idx int, type int, width double, height double, x0 double, y0 double, x1 double, y1 double, text string"
+
+
+def pdf_rows(seq: int, content: bytes) -> list[tuple]:
+    """The rows of one PDF."""
     try:
         import fitz
     except ImportError as e:
         raise RuntimeError("reading PDF needs the library PyMuPDF") from e
+    out: list[tuple] = []
     with fitz.open(stream=content, filetype="pdf") as doc:
-        return "\n".join(page.get_text("text") for page in doc)
+        for n, page in enumerate(doc):
+            width, height = float(page.rect.width), float(page.rect.height)
+            out.append((seq, "page", n, 0, 0, width, height, 0.0, 0.0, width, height, ""))
+            for i, b in enumerate(page.get_text("dict")["blocks"]):
+                text = "\n".join("".join(span["text"] for span in line["spans"]) for line in b.get("lines", ()))
+                out.append((seq, "block", n, i, int(b.get("type", 0)), width, height, *map(float, b["bbox"]), text))
+            found = page.find_tables() if hasattr(page, "find_tables") else None
+            for i, t in enumerate(found.tables if found is not None else ()):
+                rows = [[" ".join((c or "").split()) for c in r] for r in t.extract()]
+                out.append((seq, "table", n, i, 0, width, height, *map(float, t.bbox), pipe_table(rows)))
+    return out
+
+
+def pdf_parts(files: DataFrame) -> DataFrame:
+    """``PARTS`` of PDF files (``seq, content``); a file that cannot be read is one row of the kind ``error``."""
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        names = [x.split()[0] for x in PARTS.split(", ")]
+        for part in parts:
+            for seq, content in zip(part["seq"], part["content"], strict=True):
+                try:
+                    rows = pdf_rows(int(seq), content)
+                except Exception as e:  # noqa: BLE001  a file's failure is its row's error
+                    rows = [(int(seq), "error", 0, 0, 0, *[0.0] * 6, f"{type(e).__name__}: {e}")]
+                yield pd.DataFrame(rows, columns=names)
+
+    return files.select("seq", "content").mapInPandas(run, PARTS)
+
+
+def pdf_texts(parts: DataFrame, page_range: str = "", columns: bool = True) -> DataFrame:
+    """``seq, text, error`` of PDF files: pages without headers and footers, in reading order, with their tables as Markdown.
+
+    Only the pages of ``page_range`` (as in ``page_list``) are kept; headers and footers are sought on all.
+    """
+    of = lambda kind: parts.filter(F.col("kind") == kind).withColumnRenamed("seq", "doc_id")
+    pages = of("page").select("doc_id", "page_idx", "width", "height")
+    blocks = of("block").select("doc_id", "page_idx", F.col("idx").alias("blk_idx"), "type", "x0", "y0", "x1", "y1", "text")
+    tables = of("table")
+    texts = layout.page_texts(blocks, pages, tables.select("doc_id", "page_idx", "x0", "y0", "x1", "y1"), tables.select("doc_id", "page_idx", F.col("idx").alias("tbl_idx"), F.col("text").alias("markdown")), columns)
+    if page_range.strip():
+        total = pages.groupBy("doc_id").agg(F.count("*").cast("int").alias("total"))
+        texts = texts.join(total, "doc_id").filter(F.array_contains(layout.page_list(F.lit(page_range), F.col("total")), F.col("page_idx")))
+    whole = texts.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("page_idx", "text"))).alias("r"))
+    made = whole.select(F.col("doc_id").alias("seq"), F.array_join("r.text", "\n").alias("text"), F.lit(None).cast("string").alias("error"))
+    return made.unionByName(of("error").select(F.col("doc_id").alias("seq"), F.lit(None).cast("string").alias("text"), F.col("text").alias("error")))
+
 
+def extract(files: DataFrame, marks: bool = True, page_range: str = "", columns: bool = True) -> DataFrame:
+    """Adds ``text`` and ``error`` by suffix.  Text files decode natively; only DOCX and PDF bytes reach Python.
 
-def extract(files: DataFrame, marks: bool = True) -> DataFrame:
-    """Adds ``text`` and ``error`` by suffix.  Text files decode natively; only DOCX and PDF bytes reach Python."""
+    A PDF's parts are kept on disk while its pages are put together; parts lost with an executor are read again.
+    """
     plain = F.col("ext").isin(".txt", ".md")
 
     def binary(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
             text, error = [], []
-            for ext, content in zip(part["ext"], part["content"], strict=True):
+            for content in part["content"]:
                 try:
-                    text.append(docx_text(content, marks) if ext == ".docx" else pdf_text(content))
+                    text.append(docx_text(content, marks))
                     error.append(None)
                 except Exception as e:  # noqa: BLE001  a file's failure is its row's error
                     text.append(None)
@@ -114,11 +170,15 @@ def extract(files: DataFrame, marks: bool = True) -> DataFrame:
             yield part.assign(text=text, error=error)
 
     texts = files.filter(plain).select("*", decode(F.col("content")).alias("text"), F.lit(None).cast("string").alias("error"))
-    docs = files.filter(F.col("ext").isin(".docx", ".pdf"))
-    made = docs.mapInPandas(binary, schema=f"{', '.join(f'`{n}` {t}' for n, t in files.dtypes)}, text string, error string")
+    made = files.filter("ext = '.docx'").mapInPandas(binary, schema=f"{', '.join(f'`{n}` {t}' for n, t in files.dtypes)}, text string, error string")
     known = F.coalesce(F.col("ext").isin(*SUFFIXES), F.lit(False))
     others = files.filter(~known).select("*", F.lit(None).cast("string").alias("text"), F.concat(F.lit("unknown suffix: "), F.coalesce("ext", F.lit(""))).alias("error"))
-    return texts.unionByName(made).unionByName(others)
+    out = texts.unionByName(made).unionByName(others)
+    pdf = files.filter("ext = '.pdf'")
+    if pdf.select("ext").isEmpty():
+        return out
+    parts = pdf_parts(pdf).persist(StorageLevel.DISK_ONLY)
+    return out.unionByName(pdf.join(pdf_texts(parts, page_range, columns), "seq", "left").select(*files.columns, "text", "error"))
 
 
 def zip_members(files: DataFrame, suffixes: tuple[str, ...] = (".md", ".txt")) -> DataFrame:

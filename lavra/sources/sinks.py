@@ -9,6 +9,7 @@ import zipfile
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -172,18 +173,55 @@ def docx_column(text: Column) -> Column:
     return _column(to_docx, "binary", text)
 
 
-def write_results(results: DataFrame, path: str, column: str = "markdown") -> None:
-    """One row a document as Parquet, split by output format; any store, any number of executors."""
-    results.select("filename", "output_format", column, "success", "error").write.mode("overwrite").partitionBy("output_format").parquet(path)
+#: The column that holds a document in each output format.
+FORMATS = {"md": "markdown", "html": "html", "docx": "docx"}
+
+
+def write_results(results: DataFrame, path: str) -> None:
+    """One row a document as Parquet, with the column of its output format; any store, any number of executors."""
+    results.select("doc_id", "filename", "output_format", *FORMATS.values(), "success", "error").write.mode("overwrite").partitionBy("output_format").parquet(path)
+
+
+def _named(results: DataFrame) -> DataFrame:
+    """``name, body`` of the successful documents; where files differ in the suffix only, ``doc_id`` tells them apart."""
+    stem = F.regexp_replace("filename", r"\.[^.]*$", "")
+    body = F.when(F.col("output_format") == "docx", F.col("docx"))
+    for fmt in ("md", "html"):
+        body = F.when(F.col("output_format") == fmt, F.encode(FORMATS[fmt], "UTF-8")).otherwise(body)
+    good = results.filter("success").select("doc_id", stem.alias("stem"), "output_format", body.alias("body"))
+    twice = results.filter("success").select(stem.alias("stem")).groupBy("stem").agg(F.count("*").alias("n")).filter("n > 1")
+    name = F.concat("stem", F.when(F.col("n").isNotNull(), F.concat(F.lit("-"), F.col("doc_id").cast("string"))).otherwise(F.lit("")), F.lit("."), "output_format")
+    return good.join(twice, "stem", "left").select(name.alias("name"), "body")
+
+
+def write_files(results: DataFrame, uri: str) -> int:
+    """Writes each successful document as a ``.md``, ``.html`` or ``.docx`` file below ``uri``; returns how many.
+
+    Tasks write what they hold, to any store that pyarrow's file systems reach and all executors share; a task that runs
+    again writes the same files.
+    """
+
+    def put(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs
+
+        store, base = fs.FileSystem.from_uri(uri)
+        store.create_dir(base, recursive=True)
+        for b in batches:
+            for name, body in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                with store.open_output_stream(f"{base}/{name}") as f:
+                    f.write(body.as_py())
+            yield pa.RecordBatch.from_arrays([b.column(0)], ["name"])
+
+    return _named(results).mapInArrow(put, "name string").count()
 
 
 def bundle(results: DataFrame, limit: int = 10_000) -> bytes:
-    """A ZIP of the successful documents, on the driver: at most ``limit`` of them, counted first."""
-    rows = results.filter("success").select("filename", "markdown")
+    """A ZIP of the successful documents in their output format, on the driver: at most ``limit``, counted first."""
+    rows = _named(results)
     if (n := rows.count()) > limit:
-        raise ValueError(f"{n} documents are too many for one ZIP file; write_results takes any number")
+        raise ValueError(f"{n} documents are too many for one ZIP file; write_files and write_results take any number")
     out = io.BytesIO()
     with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
         for r in rows.toLocalIterator():
-            z.writestr(re.sub(r"\.[^.]*$", "", r["filename"]) + ".md", r["markdown"])
+            z.writestr(r["name"], bytes(r["body"]))
     return out.getvalue()
