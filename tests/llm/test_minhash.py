@@ -61,11 +61,13 @@ def test_components_are_brute_force(spark, monkeypatch, share, of, block):
 
 
 def test_empty_and_deduplicated(spark):
-    docs = spark.createDataFrame([(*r, "s") for r in corpus(4) + EXTRA], "doc_id long, text string, root string")
+    docs = spark.createDataFrame([(*r, "s") for r in corpus(4) + EXTRA], "doc_id long, text string, _ord string")
     assert minhash.near_duplicates(docs.limit(0)).count() == 0
     kept = minhash.deduplicated(docs)
     assert kept.columns == docs.columns
-    assert sorted((r["doc_id"] for r in kept.collect()), key=str) == sorted({r[0] for r in brute(corpus(4) + EXTRA, 4, 5) if r[3]}, key=str)
+    rows = kept.collect()
+    assert {r["_ord"] for r in rows} == {"s"}
+    assert sorted((r["doc_id"] for r in rows), key=str) == sorted({r[0] for r in brute(corpus(4) + EXTRA, 4, 5) if r[3]}, key=str)
 
 
 def test_rows_without_an_id_are_apart(spark):

@@ -26,7 +26,8 @@ def test_quality_of_documents_that_were_not_learned_from(spark):
 
 
 def test_quality_of_odd_rows(spark):
-    docs = spark.createDataFrame([(1, None, None, None, 2), (1, None, None, None, 2), (None, "a b", "s", "en", None), (3, "x" * 2_000_000, "s", "", 7), (4, "", "s", "en", 0)], "doc_id long, text string, source string, lang string, n_chars long")
+    rows = [(1, None, None, None, 2), (1, None, None, None, 2), (None, "a b", "s", "en", None), (3, "x" * 2_000_000, "s", "", 7), (4, "", "s", "en", 0)]
+    docs = spark.createDataFrame([(*r, "y", 0.5) for r in rows], "doc_id long, text string, source string, lang string, id long, y string, keep double")
     labels = spark.createDataFrame([(1, 1), (1, 0), (3, 1), (None, 1), (4, None)], "doc_id long, quality int")
     for known in (labels, labels.limit(0)):
         got = quality.scores(docs, known).collect()
@@ -82,6 +83,20 @@ def corpus(seed=9):
     return [(d, t, lang, "s", len(t or "")) for d, t, lang in rows], bench
 
 
+def test_stages_keep_odd_rows_apart(spark, tmp_path):
+    """Rows without an id, or with one that others share, are documents of their own in every stage; an empty table passes."""
+    line = lambda w, n: " ".join(f"{w}{chr(97 + i % 26)}{chr(97 + i // 26)} and the" for i in range(n))
+    rows = [(None, line("p", 40), "en", None, None), (None, line("q", 40), None, "s", 1), (7, line("r", 40), "en", "s", 1), (7, line("s", 40), "en", "s", 1), (8, line("r", 40), "en", "s", 1), (9, None, None, None, None), (10, "", "en", "s", 0)]
+    spark.createDataFrame([(1, "z y x w v u t")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs = spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, lang string, source string, n_chars long, _tie int")
+    kept = {(r["doc_id"], r["text"]) for r in corpus_pipeline.near_dedup(spark, docs, "").collect()}
+    assert kept == {(d, t) for d, t, *_ in rows} - {(8, rows[4][1])}
+    stay = corpus_pipeline.dedup_lines(spark, docs, "")
+    assert sorted((r["doc_id"], r["text"]) for r in stay.filter("doc_id is not null").collect()) == [(7, rows[2][1]), (7, rows[3][1])] and stay.count() == 4
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs.limit(0), str(tmp_path)).count() == 0
+
+
 def test_pipeline_is_brute_force(spark, tmp_path):
     rows, bench = corpus()
     spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
