@@ -40,7 +40,7 @@ def query(name: str, sql: str | None = None, source: str = "select doc_id, text
     def put(body: Callable[[DataFrame], DataFrame]) -> Query:
         QUERIES[name] = lambda spark, sf_dir: body(made(spark, sf_dir, source))
         if sql:
-            SQL[name] = f"with src as ({duck(source)})\n{sql}"
+            SQL[name] = f"with recursive src as ({duck(source)})\n{sql}"
         return QUERIES[name]
 
     return put
@@ -385,14 +385,11 @@ _step("inline_marks", strip.strip_inline_marks, _r("\\[(.+?)\\]\\(.+?\\)", "\\1"
 _step("yaml_stripped", strip.strip_yaml, "regexp_extract(text, '(?s)^---\\n.*?\\n---\\n(.*)$', 1)", "select c_custkey as doc_id, concat('---', chr(10), 'titulo: ', c_name, chr(10), '---', chr(10), 'corpo ', c_mktsegment, chr(10), '---') as text from {customer}")
 _step("duplicate_numbering", headings.remove_duplicate_numbering, "regexp_extract(text, '^(## \\d+\\. )## \\d+\\. ', 1) || regexp_extract(text, '^## \\d+\\. ## \\d+\\. (.*)$', 1)", "select c_custkey as doc_id, concat('## ', cast(c_custkey as string), '. ## ', cast(c_custkey as string), '. ', c_name) as text from {customer}")
 _step("slugs", scalars.slug, _r("\\s+", "-", _r("[^a-z0-9_\\s-]", "", "lower(text)")), "select p_partkey as doc_id, concat(p_name, ': ', p_brand, '!') as text from {part}")
-_step("reference_blocks", machines.strip_references, None)
 _step("headings_rebuilt", machines.rebuild_headings, None)
 _step("paragraphs_rejoined", machines.rejoin_paragraphs, None)
 _step("paragraphs_split", machines.split_long_paragraphs, None, "select doc_id, replace(text, chr(10), ' ') as text from {documents}")
-_step("contents_removed", machines.remove_contents, None)
 _step("quotes_detected", machines.detect_quotes, None, LEGAL)
 _step("items_separated", machines.separate_items, None)
-_step("notes_wrapped", machines.wrap_notes, None, LEGAL)
 _step("heading_gaps_filled", machines.fill_heading_gaps, None, LEGAL)
 _step("front_matter_stripped", machines.strip_front_matter, None, LEGAL)
 _step("semantic_format", machines.semantic_format, None, LEGAL)

@@ -289,3 +289,51 @@ query(
     r"""select doc_id, case when length(regexp_replace(text, '\s', '', 'g')) = 0 then 1.0::double else (length(regexp_replace(text, '\s', '', 'g')) - length(regexp_replace(text, '\s|[^\p{L}]|\p{Latin}', '', 'g'))) / length(regexp_replace(text, '\s', '', 'g')) end as share from src""",
     picked(["texto latino ~", "русский текст", "漢字 e kana かな", "123 + 45", "", "ação e reação", "ελληνικά"], 4, last=""),
 )(lambda docs: docs.select("doc_id", cleaning.latin_share(F.col("text")).alias("share")))
+
+
+# --- rules that depend on what came before: a walk from line to line ---------------------------------------------------
+
+
+def _walk(first: str, step: str, lines: str = "e") -> str:
+    """``st``: a state for each line of ``lines``, from the state of the line before (``p``)."""
+    return f", st as (select doc_id, 0::bigint as i, {first} from (select distinct doc_id from {lines}) union all select e.doc_id, e.i, {step} from st p join {lines} e on e.doc_id = p.doc_id and e.i = p.i + 1)"
+
+
+_ENTRY = r"(regexp_matches(e.s, '^.*\.{2,}\s*\d+\s*$') or (length(e.s) < 80 and regexp_matches(e.s, '^\d+(\.\d+)*\.?\s+\S+')))"
+_CONTENTS = r"regexp_matches(e.s, '(?i)^(SUMÁRIO|ÍNDICE|CONTEÚDO)\s*$')"
+text_query(
+    "contents_removed", machines.remove_contents,
+    LINES + _walk(
+        "false as inside, 0 as blanks, false as emit",
+        f"""case when {_CONTENTS} then true when not p.inside then false when {_ENTRY} then true when e.s = '' then p.blanks + 1 < 2 else length(e.s) <= 80 end,
+  case when {_CONTENTS} or not p.inside or {_ENTRY} then p.blanks when e.s = '' then (p.blanks + 1) % 2 else 0 end, not {_CONTENTS} and (not p.inside or (not {_ENTRY} and e.s <> '' and length(e.s) > 80))""",
+    ) + ", z as (select e.doc_id, e.i, case when emit then e.line end as x from e join st using (doc_id, i))" + _lines("x"),
+    picked(["SUMÁRIO", "Índice ", "1. Dos fatos ...... 3", "2.1 Do ~", "Capítulo longo .. 12", "", "", "texto curto", "Este é um parágrafo longo do livro, que tem mais de oitenta letras e por isso acaba com a lista ~", "conteúdo", "3 coisas", "fim ~"], 11),
+)
+_NOTE = r"regexp_matches(e.s, '(?i)^(#{1,6}\s+)?(Observa[çc][oõ]es?\s+finais?\s+de\s+uso|Nota\s+de\s+adequa[çc][aã]o|Instru[çc][oõ]es?\s+para\s+protocolo|Nota\s+interna|Observa[çc][oõ]es?\s+ao\s+advogado|Instru[çc][oõ]es?\s+ao\s+cliente)')"
+_OUT = f"(p.inside and ((e.s[1] = '#' and not {_NOTE}) or (e.s = '' and p.blanks = 2)))"
+text_query(
+    "notes_wrapped", machines.wrap_notes,
+    LINES + _walk(
+        "false as inside, 0 as blanks, '' as out_",
+        f"""case when {_OUT} then false else p.inside or {_NOTE} end, case when p.inside and e.s = '' then p.blanks + 1 else 0 end,
+  case when {_OUT} then chr(10) || e.line when p.inside and e.s = '' then null when p.inside then '> ' || e.s
+    when {_NOTE} then chr(10) || '> **Nota interna** — nao integra a peca processual.' || chr(10) || '>' || chr(10) || '> ' || e.s else e.line end""",
+    ) + ", z as (select e.doc_id, e.i, case when st.inside and e.i = e.n then coalesce(out_ || chr(10), '') else out_ end as x from e join st using (doc_id, i))" + _lines("x"),
+    picked(["Nota interna: ~", "## Observações ao advogado", "instruções para protocolo", "corpo da nota", "", "", "", "# Título", "texto ~", "Nota de adequacao", "mais corpo ^^"], 11),
+)
+_LIST = r"(?i)^(#{1,6})\s+(?:Refer[êe]ncias?\s*(?:Bibliogr[áa]ficas?|citadas?)?|Bibliografia|Obras\s+Consultadas|Leitura\s+Complementar|Leituras?\s+Recomendadas?|Notas?\s+(?:Bibliogr[áa]ficas?|de\s+Refer[êe]ncia)|Fontes?\s*(?:Consultadas|Bibliogr[áa]ficas?)?)\s*$"
+_LEVEL = r"length(regexp_extract(e.line, '^(#{1,6})\s+', 1))"
+_WORKS = r"regexp_matches(e.s, '^[A-ZÀ-Ú]{2,}[A-ZÀ-Úa-záéíóúàâêôãõç\s,]+\.\s+.*\d{4}')"
+text_query(
+    "reference_blocks", machines.strip_references,
+    LINES + _walk(
+        "0::bigint as level, false as emit",
+        f"case when p.level > 0 and ({_LEVEL} = 0 or {_LEVEL} > p.level) then p.level when p.level > 0 then 0 else length(regexp_extract(e.line, '{_LIST}', 1)) end, case when p.level > 0 then {_LEVEL} between 1 and p.level else regexp_extract(e.line, '{_LIST}', 1) = '' end",
+    ) + f""", o as (select e.doc_id, row_number() over (partition by e.doc_id order by e.i) as i, e.line, e.s, count(*) over (partition by e.doc_id) as n from e join st using (doc_id, i) where emit)"""
+    + _walk("null::bigint as start, 0 as many", f"case when {_WORKS} then coalesce(p.start, e.i) when e.s <> '' and (e.s[1] = '#' or p.many < 3) then null else p.start end, case when {_WORKS} then p.many + 1 when e.s <> '' and (e.s[1] = '#' or p.many < 3) then 0 else p.many end", "o").replace(", st as", ", w as").replace("from st p", "from w p")
+    + f""", last_ as (select w.doc_id, start, many from w join (select doc_id, max(i) as i from w group by doc_id) using (doc_id, i)),
+z as (select o.doc_id, o.i, case when o.n > 5 and many >= 3 and o.i >= start then null else o.line end as x from o join last_ using (doc_id))
+select d.doc_id, regexp_replace(coalesce(string_agg(x, chr(10) order by i), ''), '\\n{{4,}}', {THREE}, 'g') as text from (select distinct doc_id from e) d left join z using (doc_id) group by d.doc_id""",
+    picked(["## Referências", "# Bibliografia", "### Fontes consultadas", "SILVA, João. Obra de ~. São Paulo, 2010", "DE SOUZA, Ana. Livro. 1999", "COSTA, Rui. Tese. Rio, 2005.", "texto ~", "", "# Título", "## Parte", "#### Fundo", "PINTO, Eva. Outra obra, 2001"], 11, last=""),
+)
