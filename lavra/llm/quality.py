@@ -285,7 +285,8 @@ def described(docs: DataFrame, labels: DataFrame, meta_columns: tuple[str, ...],
 
     slim = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), *(F.col(c).alias(f"m_{i}") for i, c in enumerate(meta_columns)))
     rows = slim.mapInArrow(describe, f"id {docs.schema[id_col].dataType.simpleString()}, a binary, b binary, c binary")
-    return materialized(rows.join(known, "id", "left"), "features")
+    # always the same way, whatever the labels' size: features, no texts, are shuffled once
+    return materialized(rows.join(known.hint("merge"), "id", "left"), "features")
 
 
 def fit(rows: DataFrame, labelled: int = LABELLED) -> Model:
