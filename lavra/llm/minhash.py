@@ -158,10 +158,11 @@ def verified(docs: DataFrame, stars: DataFrame, share: int, of: int, words: int
     Texts move, not sets: once to their keys, once more to the centres.  The join that brings members to a centre is one
     that Spark can split, however many members a centre has.
     """
-    held = _keyed(docs, id_col, text_col).join(stars, ["ord", "tie"]).dropDuplicates(["ord", "tie"]).select("node", "centre", "text")
+    # merge joins: texts move alike whatever the size of the other side
+    held = _keyed(docs, id_col, text_col).join(stars.hint("merge"), ["ord", "tie"]).dropDuplicates(["ord", "tie"]).select("node", "centre", "text")
     members = held.filter("centre is not null")
     centres = held.select(F.col("node").alias("centre"), F.col("text").alias("centre_text"))
-    met = members.join(centres.join(stars.select("centre").distinct(), "centre", "left_semi"), "centre").select("node", "centre", "text", "centre_text")
+    met = members.join(centres.join(stars.select("centre").distinct(), "centre", "left_semi").hint("merge"), "centre").select("node", "centre", "text", "centre_text")
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, own = None, np.empty(0, np.uint64)
@@ -254,7 +255,7 @@ def links(docs: DataFrame, members: DataFrame, share: int, of: int, words: int =
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), own], ["node", "family", "tasks", "own"])
 
     kind = "node long, family long, tasks array<struct<class:int,i:int,up:boolean,j:int,side:int>>, own binary"
-    held = _keyed(docs, id_col, text_col).join(tasks, ["ord", "tie"]).dropDuplicates(["ord", "tie"]).select("node", "family", "tasks", "text").mapInArrow(sets, kind)
+    held = _keyed(docs, id_col, text_col).join(tasks.hint("merge"), ["ord", "tie"]).dropDuplicates(["ord", "tie"]).select("node", "family", "tasks", "text").mapInArrow(sets, kind)
     dealt = held.select("node", "family", F.explode("tasks").alias("t"), "own").select("node", "family", "t.*", "own")
 
     def compare(pdf: pd.DataFrame) -> pd.DataFrame:
