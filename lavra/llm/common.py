@@ -64,7 +64,9 @@ def row_key(id_col: str, text_col: str) -> list[Column]:
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     lowest = F.lit(-(1 << 63)).cast("long")
-    return [F.coalesce(F.col(id_col).cast("long"), lowest).alias("ord"), F.struct(F.xxhash64(text).alias("a"), F.xxhash64(F.lit(91), text).alias("b")).alias("tie")]
+    tie = F.struct(F.xxhash64(text).alias("a"), F.xxhash64(F.lit(91), text).alias("b"))
+    # the type that a written table gives back: joins with one then need no cast, and no second shuffle for it
+    return [F.coalesce(F.col(id_col).cast("long"), lowest).alias("ord"), tie.cast("struct<a:bigint,b:bigint>").alias("tie")]
 
 
 def real_id(ord_: Column) -> Column:

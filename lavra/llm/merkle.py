@@ -127,12 +127,9 @@ def compare_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str
     # one row for each distinct document: copies meet before the shuffle
     texts = slim.groupBy("ord", "tie").agg(F.first("text").alias("text"))
     third = lambda n: F.floor(n / 3).cast("int")
-    # what a document gives to the one before it
-    given = texts.join(order, ["ord", "tie"]).select("ord", "tie", "prev_ord", "prev_tie", F.substring("text", F.lit(1), third(F.col("prev_n"))).alias("head"), fingerprint(F.col("text")).alias("fingerprint"))
-    given = materialized(given, "fingerprints")
-    own = given.select("ord", "tie", "fingerprint")
-    after = given.select(F.col("prev_ord").alias("ord"), F.col("prev_tie").alias("tie"), "head", F.col("fingerprint").alias("next_fingerprint"))
-    met = texts.join(order.select("ord", "tie", "n", "times"), ["ord", "tie"]).join(own, ["ord", "tie"]).join(after, ["ord", "tie"])
+    # what a document gives to the one before it; Spark shuffles the texts once for both joins
+    given = texts.join(order, ["ord", "tie"]).select(F.col("prev_ord").alias("ord"), F.col("prev_tie").alias("tie"), F.substring("text", F.lit(1), third(F.col("prev_n"))).alias("head"), fingerprint(F.col("text")).alias("next_fingerprint"))
+    met = texts.join(order.select("ord", "tie", "n", "times"), ["ord", "tie"]).join(given, ["ord", "tie"]).withColumn("fingerprint", fingerprint(F.col("text")))
     # all copies of a document but one are followed by a copy
     copy = F.struct((F.col("times") - 1).alias("times"), F.substring("text", F.lit(1), third(F.col("n"))).alias("head"), F.col("fingerprint").alias("next_fingerprint"))
     last = F.struct(F.lit(1).cast("long").alias("times"), "head", "next_fingerprint")
