@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from lavra.llm import decontam, langid, line_dedup, merkle, minhash, packing, quality, tokenbin, tokencount, warc
+from lavra.llm import decontam, langid, line_dedup, merkle, minhash, negatives, packing, pieces, quality, ranked, tokenbin, tokencount, warc
 from lavra.llm.common import table
 
 
@@ -16,6 +17,12 @@ def bpe_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def piece_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("piece_bpe_32k.model")
+
+
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.summary(table(spark, sf_dir, "documents"))
 
@@ -56,6 +63,20 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.compare_fingerprints(table(spark, sf_dir, "documents"))
 
 
+def op11_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.round_trip(table(spark, sf_dir, "documents"), piece_path())
+
+
+def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), 20)
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings")
+    shifted = rows.withColumn("label", F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label")))
+    return negatives.mine(shifted, F.col("vec_id") % 100 == 0)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": op1_line_dedup,
     "op2_quality": op2_quality,
@@ -67,6 +88,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_token_counts": op8_token_counts,
     "op9_decontamination": op9_decontamination,
     "op10_fingerprints": op10_fingerprints,
+    "op11_sentencepiece": op11_sentencepiece,
+    "op12_ranked_search": op12_ranked_search,
+    "op13_hard_negatives": op13_hard_negatives,
 }
 
 SQL: dict[str, str] = {
@@ -174,5 +198,39 @@ own as (select r, count(distinct item) as n_items, string_agg(distinct item, ','
 select doc_id, cast(len(w) as bigint) as n_words, coalesce(n_hit, 0) as n_hit, coalesce(n_items, 0) as n_items,
        sha256(coalesce(names, '')) as items_sha256, coalesce(n_hit, 0) > 0 and 20 * coalesce(n_hit, 0) >= len(w) as contaminated
 from words left join hit using (r) left join own using (r)
+""",
+    "op12_ranked_search": r"""
+with docs as (
+  select row_number() over () as r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') as w
+  from documents),
+items as (
+  select row_number() over () as q, item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') as w
+  from benchmark),
+d as (select r, doc_id, cast(len(w) as bigint) as n from docs where len(w) > 0),
+c as (select cast(count(*) as bigint) as n_docs, cast(sum(n) as bigint) as n_words from d),
+m as (select r, doc_id, 75 + (25 * n * n_docs) // n_words as m from d, c),
+q as (select q, item_id, term, count(*) as times from (select q, item_id, unnest(w) as term from items) group by all),
+t as (select r, term, count(*) as tf from (select r, unnest(w) as term from docs) where term in (select term from q) group by all),
+f as (select term, cast(floor(1000 * ln((2 * n_docs + 2) / (2 * df + 1))) as bigint) as w from (select term, count(*) as df from t group by term), c),
+s as (
+  select q, item_id, doc_id, r, cast(sum(times * w * ((1000000000 * tf) // (1000 * tf + 12 * m))) as bigint) as score
+  from q join t using (term) join f using (term) join m using (r) group by all),
+o as (select *, row_number() over (partition by q order by score desc, doc_id) as rank from s where score > 0)
+select item_id, cast(rank as int) as rank, doc_id, score from o where rank <= 20
+""",
+    "op13_hard_negatives": r"""
+with e as (
+  select vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label, list_transform(embedding, lambda x: floor(256 * x::double)) as v
+  from embeddings
+  where label is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+s as (
+  select a.vec_id as anchor_id, b.vec_id as vec_id, a.label = b.label as same, cast(list_inner_product(a.v, b.v) as bigint) as score
+  from e a join e b on a.vec_id % 100 = 0 and a.vec_id <> b.vec_id),
+p as (select anchor_id, vec_id as positive_id, score as positive_score from s where same qualify row_number() over (partition by anchor_id order by score desc, vec_id) <= 5),
+n as (
+  select anchor_id, positive_id, vec_id as negative_id, positive_score, score as negative_score,
+         row_number() over (partition by anchor_id, positive_id order by score desc, vec_id) as rank
+  from p join s using (anchor_id) where not same and 30 * positive_score <= 100 * score and 100 * score <= 90 * positive_score)
+select anchor_id, positive_id, cast(rank as int) as rank, negative_id, positive_score, negative_score from n where rank <= 10
 """,
 }
