@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Used only where the session names no shared folder (tests, a laptop).
+#: Used only where the session names no shared folder and runs on one machine (tests, a laptop).
 LOCAL_CHECKPOINTS = "/tmp/checkpoints"
 
 
@@ -15,6 +16,8 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors share: ``spark.checkpoint.dir``."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         at = LOCAL_CHECKPOINTS
         spark.sparkContext.setCheckpointDir(at)
     return at.rstrip("/")
@@ -72,3 +75,14 @@ def row_key(id_col: str, text_col: str) -> list[Column]:
 def real_id(ord_: Column) -> Column:
     """The id that ``row_key`` made ``ord`` of."""
     return F.when(ord_ != -(1 << 63), ord_)
+
+
+def aside(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, Callable[[DataFrame], list[Column]]]:
+    """``docs`` with all columns but id and text under names of no meaning, and what selects them again under their own.
+
+    Spark tells names apart without regard to case, so that is how id and text are found here; whatever else a table
+    holds, in whatever spelling, cannot then clash with what an operator adds.
+    """
+    known = {id_col.lower(): id_col, text_col.lower(): text_col}
+    names = [known.get(c.lower(), f"_own_{i}") for i, c in enumerate(docs.columns)]
+    return docs.toDF(*names), lambda found: [found[n].alias(c) for n, c in zip(names, docs.columns, strict=True)]

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lavra.llm.common import materialized, row_key
+from lavra.llm.common import aside, materialized, row_key
 
 _WORD_BYTES = frozenset([*range(0x30, 0x3A), *range(0x61, 0x7B), *range(0x80, 0x100)])
 _FOLD = bytes(b + 32 if 0x41 <= b <= 0x5A else b if b in _WORD_BYTES else 0x20 for b in range(256))
@@ -239,17 +239,15 @@ def contamination(docs: DataFrame, benchmark: DataFrame, size: int = 13, share:
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, size: int = 13, share: int = 20, limit: int = BLOCK_BYTES) -> DataFrame:
-    """The rows of ``docs`` that are not contaminated, with all their columns, whatever these are named.
+    """The rows of ``docs`` that are not contaminated, with all their columns, whatever these are named and however that is spelled.
 
     Rows without text or id are judged like all others, repeated rows each; an empty table stays empty.
     """
-    kept = tuple(c for c in docs.columns if c not in ("doc_id", "text"))
-    clash = {c: f"_own_{i}" for i, c in enumerate(kept) if c in ("n_words", "spans", "items", "_ord", "_tie")}
-    renamed = docs.withColumnsRenamed(clash)
-    found = hits(renamed, benchmark, size, limit, carry=tuple(clash.get(c, c) for c in kept))
+    apart, own = aside(docs)
+    found = hits(apart, benchmark, size, limit, carry=tuple(c for c in apart.columns if c not in ("doc_id", "text")))
     n_hit = F.aggregate("spans", F.lit(0).cast("long"), lambda a, s: a + s["end"] - s["start"])
     good = found.filter((n_hit == 0) | (share * n_hit < F.col("n_words")))
-    return good.select(*(F.col(clash.get(c, c)).alias(c) for c in docs.columns))
+    return good.select(*own(good))
 
 
 def items_digest(items: list[str]) -> str:

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lavra.llm.common import materialized
+from lavra.llm.common import aside, materialized
 
 #: Letters and n-grams are hashed into so many buckets.
 DIM = 1 << 14
@@ -241,10 +241,9 @@ def accepted(docs: DataFrame, sample: int = SAMPLE, least: float = 0.5) -> DataF
     """The rows whose language is known with at least the score ``least``, with all their columns.
 
     Rows without text or letters go; rows with null ids or labels are judged like all others; repeated rows are judged
-    each; an empty table stays empty; columns named like this operator's own pass through unchanged.
+    each; an empty table stays empty; other columns pass through unchanged, whatever they are named and however that is spelled.
     """
-    own = {c: f"_own_{i}" for i, c in enumerate(docs.columns) if c in ("lang_pred", "score")}
-    renamed = docs.withColumnsRenamed(own)
-    rest = tuple(c for c in renamed.columns if c not in ("doc_id", "text"))
-    found = predict(renamed, fit(docs, sample), carry=rest).filter((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least))
-    return found.select(*(F.col(own.get(c, c)).alias(c) for c in docs.columns))
+    apart, own = aside(docs)
+    rest = tuple(c for c in apart.columns if c not in ("doc_id", "text"))
+    found = predict(apart, fit(docs, sample), carry=rest).filter((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least))
+    return found.select(*own(found))

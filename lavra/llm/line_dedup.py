@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lavra.llm.common import materialized, real_id, row_key
+from lavra.llm.common import aside, materialized, real_id, row_key
 
 
 def _lines(docs: DataFrame, id_col: str, text_col: str, *more: Column) -> DataFrame:
@@ -112,18 +112,18 @@ def dedup_lines(docs: DataFrame, min_chars: int = 0, near: bool = True, id_col:
     ``near``, one edit (a character put in, left out or changed) away, whether or not that line itself stays.  This holds
     for lines of any length; a caller may except lines of fewer than ``min_chars`` characters.  Blank lines stay.  Null text stays null with no lines; equal rows count as
     one document, each returned; rows with equal ids but other texts stand by a hash; an empty table gives no rows.
-    Columns of ``docs`` named ``n_lines`` or ``n_kept`` are replaced.
+    Columns of ``docs`` named ``n_lines`` or ``n_kept``, in any case, are replaced.
     """
+    names = docs.columns
+    docs, _ = aside(docs, id_col, text_col)
     firsts = materialized(first_lines(docs, min_chars, id_col, text_col), "lines")
     kept = firsts.select("ord", "tie", "line_no")
     if near:
         kept = kept.join(near_lines(firsts, docs, id_col, text_col), ["ord", "tie", "line_no"], "left_anti")
     per_doc = kept.groupBy("ord", "tie").agg(F.collect_list("line_no").alias("_kept"))
     # the same columns as near_lines reads, if docs has no others: Spark then shuffles the texts once for both joins
-    own = [c for c in docs.columns if c not in ("n_lines", "n_kept")]
-    rest = [c for c in own if c not in (id_col, text_col)]
-    renamed = {c: f"_own_{i}" for i, c in enumerate(rest)}
-    keyed = _lines(docs, id_col, text_col, *(F.col(c).alias(n) for c, n in renamed.items()))
+    own = {n: c for n, c in zip(docs.columns, names, strict=True) if c.lower() not in ("n_lines", "n_kept")}
+    keyed = _lines(docs, id_col, text_col, *(F.col(n) for n in own if n not in (id_col, text_col)))
     joined = keyed.join(per_doc, ["ord", "tie"], "left")
     # each value is bound before a lambda uses it: a filter on the result that Spark pushes down must not compute it per line
     once = lambda value, body: F.element_at(F.transform(F.array(value), body), 1)
@@ -135,7 +135,7 @@ def dedup_lines(docs: DataFrame, min_chars: int = 0, near: bool = True, id_col:
     out = joined.withColumn("_stays", stays)
     kind = docs.schema[id_col].dataType
     values = {text_col: F.array_join("_stays", "\n"), id_col: real_id(F.col("ord")).cast(kind)}
-    return out.select(*(values.get(c, F.col(renamed.get(c, c))).alias(c) for c in own), F.coalesce(F.size(_split(F.col("text"))), F.lit(0)).cast("long").alias("n_lines"), F.coalesce(F.size("_stays"), F.lit(0)).cast("long").alias("n_kept"))
+    return out.select(*(values.get(n, F.col(n)).alias(c) for n, c in own.items()), F.coalesce(F.size(_split(F.col("text"))), F.lit(0)).cast("long").alias("n_lines"), F.coalesce(F.size("_stays"), F.lit(0)).cast("long").alias("n_kept"))
 
 
 def summary(docs: DataFrame) -> DataFrame:

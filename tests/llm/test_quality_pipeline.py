@@ -6,7 +6,7 @@ import public_tokenizers
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from lavra.llm import langid, quality
+from lavra.llm import langid, line_dedup, quality
 
 from .test_decontam_langid import brute as brute_hits
 from .test_lines_warc_merkle import brute_lines
@@ -97,6 +97,20 @@ def test_stages_keep_odd_rows_apart(spark, tmp_path):
         assert stage(spark, docs.limit(0), str(tmp_path)).count() == 0
 
 
+def test_columns_that_clash_in_another_case_pass_through(spark, tmp_path):
+    names = ["Score", "LANG_PRED", "Spans", "N_words", "N_Lines", "n_KEPT", "_own_4", "_Tie", "_ORD", "a.b"]
+    text = " ".join(f"the word{i} and that" for i in range(30))
+    rows = [(i, text + f" {i}\nline {i}", "en", "s", 5, *range(len(names))) for i in range(3)]
+    docs = spark.createDataFrame(rows, ["Doc_Id", "text", "lang", "source", "n_chars", *names])
+    spark.createDataFrame([(1, "z y x w v u t")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        got = stage(spark, docs, str(tmp_path))
+        assert got.dtypes == docs.dtypes, name
+        found = got.collect()
+        assert found and all(tuple(r)[5:] == tuple(range(len(names))) for r in found)
+    assert line_dedup.dedup_lines(docs).columns[-2:] == ["n_lines", "n_kept"]
+
+
 def test_pipeline_is_brute_force(spark, tmp_path):
     rows, bench = corpus()
     spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")

@@ -177,7 +177,7 @@ def test_hard_negatives(spark, monkeypatch):
     df = spark.createDataFrame([(5, *r) for r in rows], "rank int, vec_id long, embedding array<float>, label int").repartition(3)
     want = mined(rows)
     assert len(want) > 100
-    for digit, slack, block in ((10, 30, 1024), (6, 0, 5)):
+    for digit, slack, block in ((10, 30, 5), (6, 0, 1024)):
         monkeypatch.setattr(negatives, "DIGIT", digit)
         monkeypatch.setattr(negatives, "SLACK", slack)
         got = negatives.mine(df, F.col("vec_id") % 100 == 0, block=block)
