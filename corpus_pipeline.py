@@ -1,7 +1,7 @@
 """The corpus pipeline: five stages over ``documents``, each on all that the one before kept.
 
 Every stage takes rows with nulls in any column, empty and very long texts, repeated rows and repeated or missing ids,
-and an empty table; all but the last return the columns they were given, whatever these are named.
+and an empty table; all but the last return the columns they were given, whatever these are named and however that is spelled.
 """
 
 from __future__ import annotations
@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lavra.llm import decontam, langid, line_dedup, minhash, packing
-from lavra.llm.common import materialized, table
+from lavra.llm.common import aside, materialized, table
 from lavra.llm.entries import bpe_path
 
 #: Documents whose best language scores less are rejected.
@@ -32,8 +32,11 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Null and blank texts have no line and go; equal rows are one document, of which every copy keeps the same lines; a
     missing id comes before all others; an empty table stays empty.
     """
-    found = line_dedup.dedup_lines(docs).filter(F.trim(F.translate("text", "\n", " ")) != "")
-    return found.withColumn("n_chars", F.char_length("text").cast("long")).select(*docs.columns)
+    apart, own = aside(docs)
+    found = line_dedup.dedup_lines(apart).filter(F.trim(F.translate("text", "\n", " ")) != "")
+    size = F.char_length(found["text"])
+    kept = zip(own(found), docs.schema, strict=True)
+    return found.select(*(size.cast(f.dataType).alias(f.name) if f.name.lower() == "n_chars" else c for c, f in kept))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
