@@ -13,6 +13,19 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+def stepped(docs: DataFrame, column: str, *steps: Callable[[Column], Column]) -> DataFrame:
+    """``docs`` with ``steps`` applied to ``column`` one after the other, each value computed once.
+
+    The projection looks at the column twice, so Spark does not inline the projection below it: chains of rewriters would
+    else become one expression that takes minutes to plan.
+    """
+    bound = lambda step: lambda x: step(x)  # noqa: E731  Spark counts a function's parameters, optional ones too
+    text = F.col(column)
+    for step in steps:
+        text = let(text, bound(step))
+    return docs.withColumn(column, F.when(F.col(column).isNotNull(), text))
+
+
 def split(text: Column) -> Column:
     return F.split(text, "\n", -1)
 
@@ -62,7 +75,3 @@ def islands(lines: DataFrame, starts: Column, name: str = "island") -> DataFrame
     """Numbers runs of lines within a document; a run starts where ``starts`` holds."""
     order = Window.partitionBy("doc_id").orderBy("line_no")
     return lines.withColumn(name, F.sum(F.when(starts, 1).otherwise(0)).over(order.rowsBetween(Window.unboundedPreceding, 0)))
-
-
-
-

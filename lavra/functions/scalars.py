@@ -12,15 +12,19 @@ from pyspark.sql import functions as F
 from lavra.functions import rx
 
 
+#: No character below this range changes, or joins another, in composed form.
+_MAY_COMPOSE = "[^\u0000-\u02ff]"
+
+
 def nfc(text: Column) -> Column:
-    """Unicode's composed form."""
+    """Unicode's composed form.  Only texts that can change travel to Python."""
 
     def run(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for s in parts:
             yield s.map(lambda x: None if x is None else unicodedata.normalize("NFC", x))
 
     run.__annotations__ = {"parts": Iterator[pd.Series], "return": Iterator[pd.Series]}
-    return F.pandas_udf(run, "string")(text)
+    return F.coalesce(F.pandas_udf(run, "string")(F.when(text.rlike(_MAY_COMPOSE), text)), text)
 
 
 def slug(title: Column, limit: int = 60) -> Column:

@@ -3,18 +3,20 @@
 from __future__ import annotations
 
 import functools
-import unicodedata
 from functools import partial
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lavra.functions import rx, scalars
-from lavra.functions.lines import exploded, filter_lines, flat_map_lines, join, let, none, one, split
-from lavra.operators.machines import rebuild_headings, rejoin_paragraphs, rewritten, split_long_paragraphs
+from lavra.functions.lines import exploded, filter_lines, flat_map_lines, join, let, none, one, split, stepped
+from lavra.operators.paragraphs import rebuild_headings, rejoin_paragraphs, split_long_paragraphs
 
 # Results depend on exactly these words and classes.
-COMPOUND_PREFIXES = "vice ex pré pós recém bem mal além aquém sem não sócio grão grã auto contra entre extra infra intra macro mega micro mini multi neo pan pluri proto pseudo semi sobre sub super supra ultra".split()
+COMPOUND_PREFIXES = [
+    "vice", "ex", "pré", "pós", "recém", "bem", "mal", "além", "aquém", "sem", "não", "sócio", "grão", "grã", "auto", "contra", "entre", "extra",
+    "infra", "intra", "macro", "mega", "micro", "mini", "multi", "neo", "pan", "pluri", "proto", "pseudo", "semi", "sobre", "sub", "super", "supra", "ultra",
+]
 READER_WORDS = [
     "escolher fonte", "alterar layout", "luminosidade", "fazer buscas", "anotar trechos", "menu", "marca-texto", "marcador", "bookmark", "aumentar fonte", "diminuir fonte",
     "tamanho da fonte", "modo noturno", "modo de leitura", "configurações de leitura", "opções de visualização", "deslize para", "toque para", "toque na tela", "arraste",
@@ -22,7 +24,7 @@ READER_WORDS = [
     "google play livros", "apple books", "this ebook", "digital rights", "drm", "choose font", "adjust layout", "brightness", "search text", "annotate", "highlight",
 ]
 KEPT_HEADINGS = [r"dos?\s+fatos", r"dos?\s+direito", r"dos?\s+pedidos", "fundamenta", "preliminar", r"do\s+mérito", "relatório", "dispositivo", "ementa", "voto", "capítulo", "seção", "cláusula", "título"]
-CASE_SIGNS = "HC RHC REsp AgRg ARE AREsp ADI ADPF RE RMS".split()
+CASE_SIGNS = ["HC", "RHC", "REsp", "AgRg", "ARE", "AREsp", "ADI", "ADPF", "RE", "RMS"]
 LOWER, UPPER = "a-záéíóúàâêôãõç", "A-ZÁÉÍÓÚÀÂÊÔÃÕÇ"
 
 
@@ -210,15 +212,10 @@ def latin_share(text: Column) -> Column:
 def clean(docs: DataFrame, column: str = "text", headers_footers: bool = True) -> DataFrame:
     """``docs`` with all steps in their order applied to ``column``; null and blank texts become empty."""
 
-    def native(df: DataFrame, *steps) -> DataFrame:
-        text = F.col(column)
-        for step in steps:
-            text = step(text)
-        return df.withColumn(column, text)
-
     marks = [fix_hyphenation, normalize_whitespace, normalize_bullets, remove_corrupted_glyphs, remove_ocr_noise, remove_reader_boilerplate]
-    docs = rewritten(docs.withColumn(column, F.coalesce(column, F.lit(""))), column, partial(unicodedata.normalize, "NFC"))
-    docs = native(docs, plain_spaces, *marks, *[remove_repeated] * headers_footers, remove_residual_pagination, reconnect_case_numbers)
-    docs = native(rewritten(docs, column, rebuild_headings.rewrite), split_fused_headings)
-    docs = native(rewritten(docs, column, rejoin_paragraphs.rewrite), fix_word_spacing, fix_enum_spacing, separate_enumerations, normalize_citations)
-    return native(rewritten(docs, column, split_long_paragraphs.rewrite), normalize_paragraphs, rx.strip)
+    docs = docs.withColumn(column, scalars.nfc(F.coalesce(column, F.lit(""))))
+    docs = stepped(docs, column, plain_spaces, *marks)
+    docs = stepped(docs, column, *[remove_repeated] * headers_footers, remove_residual_pagination, reconnect_case_numbers)
+    docs = stepped(docs, column, partial(rebuild_headings, composed=True), split_fused_headings)
+    docs = stepped(docs, column, partial(rejoin_paragraphs, composed=True), fix_word_spacing, fix_enum_spacing, separate_enumerations, normalize_citations)
+    return stepped(docs, column, split_long_paragraphs, normalize_paragraphs, rx.strip)

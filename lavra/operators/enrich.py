@@ -2,30 +2,41 @@
 
 from __future__ import annotations
 
-import re
-from collections import Counter
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lavra.functions import rx, scalars
-from lavra.functions.lines import flat_map_lines, let, one
+from lavra.functions import runs, rx, scalars
+from lavra.functions.lines import flat_map_lines, let, map_lines, one, split
+from lavra.operators.paragraphs import SMALL
 
 # The results are defined by exactly these lists.
 LANGUAGES = {
-    "por": "de do da dos das que para com por não uma seu sua nos pelo pela este esta artigo lei processo tribunal juiz sentença recurso",
-    "eng": "the and for that with this from not but are was were have has been will would court law judge case shall section",
-    "spa": "del los las que para con por una sus este esta como más pero han ley tribunal juez sentencia recurso artículo",
-    "fra": "les des que pour avec par dans une sur est sont pas cette mais loi tribunal juge article décision",
-    "deu": "der die das und den von mit für auf ein ist nicht des dem auch gericht gesetz richter urteil artikel",
-    "ita": "del dei che per con una gli non suo sua nel dalla questo questa legge tribunale giudice sentenza articolo",
+    "por": [
+        "de", "do", "da", "dos", "das", "que", "para", "com", "por", "não", "uma", "seu", "sua", "nos", "pelo", "pela", "este", "esta", "artigo", "lei", "processo", "tribunal", "juiz",
+        "sentença", "recurso",
+    ],
+    "eng": [
+        "the", "and", "for", "that", "with", "this", "from", "not", "but", "are", "was", "were", "have", "has", "been", "will", "would", "court", "law", "judge", "case", "shall", "section",
+    ],
+    "spa": [
+        "del", "los", "las", "que", "para", "con", "por", "una", "sus", "este", "esta", "como", "más", "pero", "han", "ley", "tribunal", "juez", "sentencia", "recurso", "artículo",
+    ],
+    "fra": [
+        "les", "des", "que", "pour", "avec", "par", "dans", "une", "sur", "est", "sont", "pas", "cette", "mais", "loi", "tribunal", "juge", "article", "décision",
+    ],
+    "deu": [
+        "der", "die", "das", "und", "den", "von", "mit", "für", "auf", "ein", "ist", "nicht", "des", "dem", "auch", "gericht", "gesetz", "richter", "urteil", "artikel",
+    ],
+    "ita": [
+        "del", "dei", "che", "per", "con", "una", "gli", "non", "suo", "sua", "nel", "dalla", "questo", "questa", "legge", "tribunale", "giudice", "sentenza", "articolo",
+    ],
 }
-STOP_WORDS = (
-    "de do da dos das em no na nos nas por para com que se um uma ao aos ou não mais sua seu pela pelo como este esta esse essa são foi será pode deve tem ter ser está há já entre sobre quando também muito bem até "
-    "sem isso isto todo toda ainda então mas artigo art parágrafo inciso alínea caput texto forma caso modo parte acordo lei direito tribunal juiz sentença"
-).split()
+STOP_WORDS = [
+    "de", "do", "da", "dos", "das", "em", "no", "na", "nos", "nas", "por", "para", "com", "que", "se", "um", "uma", "ao", "aos", "ou", "não", "mais", "sua", "seu", "pela", "pelo", "como",
+    "este", "esta", "esse", "essa", "são", "foi", "será", "pode", "deve", "tem", "ter", "ser", "está", "há", "já", "entre", "sobre", "quando", "também", "muito", "bem", "até", "sem", "isso",
+    "isto", "todo", "toda", "ainda", "então", "mas", "artigo", "art", "parágrafo", "inciso", "alínea", "caput", "texto", "forma", "caso", "modo", "parte", "acordo", "lei", "direito",
+    "tribunal", "juiz", "sentença",
+]
 AREAS = {
     "Direito Penal": r"crime|delito|pena|reclusão|detenção|tipicidade|antijuridicidade|culpabilidade|dolo|culpa|imputabilidade|código\s+penal|CP\b|homicídio|furto|roubo|estelionato|lesão\s+corporal|ação\s+penal",
     "Direito Constitucional": r"constituição|constitucional|direito\s+fundamental|garantia|mandado\s+de\s+segurança|habeas\s+corpus|ação\s+direta|ADI|ADPF|controle\s+de\s+constitucionalidade|cláusula\s+pétrea|emenda\s+constitucional",
@@ -88,13 +99,6 @@ BLOCKS = [
     ("> [!NOTE]", r"\s*(?:\*\*)?(?:Obs\.?|OBS\.?|Observa[çc][ãa]o)\s*[:!]", True, None),
     ("> [!INFO] Definição", r"\b(?:consiste\s+em|é\s+definid[oa]\s+como|trata[-\s]se\s+de|entende[-\s]se\s+por|conceitua[-\s]se|define[-\s]se\s+como|pode\s+ser\s+definid[oa]\s+como)\b", False, 400),
 ]
-_COMPILED = [(kind, re.compile(("^" if head else "") + p, re.IGNORECASE), most) for kind, p, head, most in BLOCKS]
-
-
-def block_kind(paragraph: str) -> str | None:
-    """The callout of a paragraph, for the text machines."""
-    s = paragraph.strip()
-    return next((kind for kind, p, most in _COMPILED if s and p.search(s) and (most is None or len(s) < most)), None)
 
 
 def classify_block(paragraph: Column) -> Column:
@@ -107,44 +111,25 @@ def classify_block(paragraph: Column) -> Column:
     return F.when(s != "", out)
 
 
-_LANGUAGE_WORD = re.compile("[a-záàâãéèêíïóôõúüçñ]+")
-#: Each frequent word's languages, by their place in ``LANGUAGES``.
-_SPEAKERS: dict[str, list[int]] = {}
-for _i, _words in enumerate(LANGUAGES.values()):
-    for _w in _words.split():
-        _SPEAKERS.setdefault(_w, []).append(_i)
-
-
-def language_of(text: str | None, min_words: int = 20, default: str = "por") -> str:
-    """The language with the most frequent words; ``default`` for short, wordless or ambiguous texts."""
-    if text is None or len(text.strip()) < 30:
-        return default
-    words = _LANGUAGE_WORD.findall(text.lower())
-    if len(words) < min_words:
-        return default
-    scores = [0] * len(LANGUAGES)
-    for word, n in Counter(words).items():
-        for i in _SPEAKERS.get(word, ()):
-            scores[i] += n
-    best, second = sorted(scores, reverse=True)[:2]
-    return default if sum(scores) < 5 or second > 0.8 * best else list(LANGUAGES)[scores.index(best)]
-
+LANGUAGE_WORD = "[a-záàâãéèêíïóôõúüçñ]+"
 
-def _mapped(of, kind: str, text: Column) -> Column:
-    """``of`` applied to each text, whole Arrow batches at a time."""
 
-    def run(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for s in parts:
-            yield s.map(of, na_action=None)
+def detect_language(text: Column, min_words: int = 20, default: str = "por") -> Column:
+    """The language with the most frequent words; ``default`` for null, short, wordless or ambiguous texts.
 
-    run.__annotations__ = {"parts": Iterator[pd.Series], "return": Iterator[pd.Series]}
-    return F.pandas_udf(run, kind)(text)
+    One search keeps the words that some language has; only these are counted by language.
+    """
+    every = sorted({w for words in LANGUAGES.values() for w in words})
 
+    def judge(words: Column) -> Column:
+        known = F.filter(words, lambda w: w.isin(every))
+        spoken = lambda own: lambda w: w.isin(own)
+        counts = lambda found: F.array(*(F.size(F.filter(found, spoken(own))) for own in LANGUAGES.values()))
+        unsure = lambda c, top: (F.size(words) < min_words) | (F.aggregate(c, F.lit(0), lambda a, n: a + n) < 5) | (F.get(top, 1) > 0.8 * F.get(top, 0))
+        best = lambda c: F.when(let(F.sort_array(c, asc=False), lambda top: unsure(c, top)), default).otherwise(scalars.argmax(c, list(LANGUAGES)))
+        return let(let(known, counts), best)
 
-def detect_language(text: Column, min_words: int = 20, default: str = "por") -> Column:
-    """``language_of`` as a column: a dictionary of words in one Arrow pass, as six lists searched for every word in
-    the JVM took several times as long."""
-    return _mapped(lambda t: language_of(None if not isinstance(t, str) else t, min_words, default), "string", text)
+    return F.coalesce(F.when(F.char_length(rx.strip(text)) >= 30, let(rx.all_of(F.lower(text), LANGUAGE_WORD), judge)), F.lit(default))
 
 
 def sampled_pages(pages: DataFrame, sample: int = 10) -> DataFrame:
@@ -195,19 +180,23 @@ def tags(docs: DataFrame, most: int = 5, least_letters: int = 4, id_col: str = "
     return counts.withColumn("rank", rank).filter(F.col("rank") <= most).select("doc_id", "rank", "tag", "n")
 
 
-_TAG_WORD = re.compile("[a-záéíóúàâêôãõç]{4,}")
+def top_words(words: Column, most: int) -> Column:
+    """The most frequent of an array's words; the first seen wins ties.  Equal words meet by sorting, so no word is compared with all."""
 
+    def count(found: Column) -> Column:
+        n = F.size(found)
+        starts = F.filter(F.sequence(F.lit(0), n - 1), lambda i: (i == 0) | (F.get(found, i)["w"] != F.get(found, i - 1)["w"]))
+        runs_ = lambda at: F.transform(at, lambda i, k: F.struct((i - F.coalesce(F.get(at, k + 1), n)).alias("less"), F.get(found, i)["at"].alias("at"), F.get(found, i)["w"].alias("w")))
+        return F.transform(F.slice(F.array_sort(let(starts, runs_)), 1, most), lambda x: x["w"])
 
-def tag_list(text: Column, most: int = 5) -> Column:
-    """The same as an array within the row, for the pipeline: one count of a text's words in an Arrow pass."""
-    stop = frozenset(STOP_WORDS)
+    placed = F.array_sort(F.transform(words, lambda w, i: F.struct(w.alias("w"), i.alias("at"))))
+    return let(placed, lambda found: F.when(F.size(found) > 0, count(found)).otherwise(F.array().cast("array<string>")))
 
-    def top(t: str | None) -> list[str] | None:
-        if not isinstance(t, str):
-            return None
-        return [w for w, _ in Counter(w for w in _TAG_WORD.findall(t.lower()) if w not in stop).most_common(most)]
 
-    return _mapped(top, "array<string>", text)
+def tag_list(text: Column, most: int = 5, least_letters: int = 4) -> Column:
+    """The same as an array within the row, for the pipeline; null for null."""
+    words = F.filter(rx.all_of(F.lower(text), f"[a-záéíóúàâêôãõç]{{{least_letters},}}"), lambda w: ~w.isin(STOP_WORDS))
+    return F.when(text.isNotNull(), top_words(words, most))
 
 
 _ALERT = r"^(?:ATENÇÃO|Atenção|Cuidado|CUIDADO|Importante|IMPORTANTE|Não\s+confundir|Distinção|DISTINÇÃO|Observação|OBSERVAÇÃO)\s*[:\-–—]?\s*"
@@ -228,3 +217,74 @@ def insert_callouts(text: Column) -> Column:
         )
 
     return flat_map_lines(text, body)
+
+
+def semantic_format(text: Column) -> Column:
+    """Italics for Latin phrases, bold for the first mention of a concept, for courts and for named authors; headings stay."""
+    word = lambda names: rf"(?<!\*)\b({'|'.join(names)})\b(?!\*)"
+    outside = lambda t, p, change: F.when(rx.has(t, p), map_lines(t, lambda x: F.when(rx.strip(x).startswith("#"), x).otherwise(change(x)))).otherwise(t)
+    latin, concept = f"(?i:{word(LATIN)})", rf"(?m:^\s*#[^\n]*$)|(?i:{word(CONCEPTS)})"
+
+    def first_mentions(t: Column) -> Column:
+        """The text between mentions, and the mentions: in bold where none of the same concept comes before."""
+        found = rx.all_of(t, concept)
+        bold = lambda own: F.transform(own, lambda m, i: F.when(rx.has(m, r"^\s*#") | (F.array_position(F.transform(own, F.lower), F.lower(m)) <= i), m).otherwise(F.concat(F.lit("**"), m, F.lit("**"))))
+        return let(F.split(t, rx.rx(concept), -1), lambda gaps: let(let(found, bold), lambda own: F.concat_ws("", F.flatten(F.transform(gaps, lambda g, i: F.array(g, F.coalesce(F.get(own, i), F.lit(""))))))))
+
+    def authors(line: Column) -> Column:
+        for name in AUTHORS:
+            line = rx.sub(line, word([name]), f"**{name}**", "i")
+        return line
+
+    text = let(outside(text, latin, lambda x: rx.sub(x, latin, "*$1*")), lambda t: F.when(rx.has(t, word(CONCEPTS), "i"), first_mentions(t)).otherwise(t))
+    text = let(text, lambda t: outside(t, COURTS, lambda x: rx.sub(x, COURTS, "**$1**")))
+    return let(text, lambda t: outside(t, f"(?i:{word(AUTHORS)})", authors))
+
+
+def smart_callouts(text: Column) -> Column:
+    """Paragraphs of a known kind become callouts."""
+    code = lambda s, i, all_: F.when((s == "") | rx.has(s, r"^(?:[>#|]|- |\* )"), "-").otherwise("p")
+    called = lambda kind, lines: F.when(kind.isNull(), lines).otherwise(F.concat(F.array(kind), F.transform(lines, lambda x: F.concat(F.lit("> "), x))))
+    body = lambda r: let(F.transform(r, lambda x: runs.of(x, 1)), lambda lines: let(classify_block(F.array_join(lines, " ")), lambda kind: called(kind, lines)))
+    return runs.plain(runs.rewrite(runs.coded(text, code), 1, runs.line("p") + "++", body), 1)
+
+
+def section_summaries(text: Column) -> Column:
+    """Behind each second-level section, if there are two or more, its first sentence and three frequent words."""
+
+    def summary(body: Column) -> Column:
+        first, words = F.get(body, 0), rx.all_of(F.lower(F.array_join(F.slice(body, 1, 10), " ")), f"[{SMALL}]{{5,}}")
+        dot = F.instr(first, ".")
+        sentence = F.when(dot > 21, F.substring(first, F.lit(1), dot)).when(F.char_length(first) > 120, F.concat(F.substring(first, 1, 120), F.lit("..."))).otherwise(first)
+        keys = F.array_join(F.slice(F.filter(top_words(words, 5), lambda w: ~w.isin(STOP_WORDS)), 1, 3), ", ")
+        return F.concat(F.lit("\n*Resumo: "), sentence, let(keys, lambda k: F.when(k == "", "").otherwise(F.concat(F.lit(" Palavras-chave: "), k, F.lit(".")))), F.lit("*\n"))
+
+    def section(part: Column) -> Column:
+        lines = F.transform(split(part), rx.strip)
+        body = F.filter(F.slice(lines, 2, F.size(lines)), lambda s: (s != "") & ~rx.has(s, "^[#>]"))
+        return let(body, lambda b: F.when(F.size(b) > 0, F.concat(part, summary(b))).otherwise(part))
+
+    # a newline in front and one behind: every line is whole
+    parts = F.split(F.concat(F.lit("\n"), text, F.lit("\n")), rx.rx(r"(?<=\n)(?=[^\S\n]*## )"), -1)
+    whole = lambda ps: F.concat_ws("", F.transform(ps, lambda p, i: F.when(i > 0, section(p)).otherwise(p)))
+    return let(parts, lambda ps: F.when(F.size(ps) > 2, let(whole(ps), lambda t: F.substring(t, F.lit(2), F.char_length(t) - 2))).otherwise(text))
+
+
+def normalize_footnotes(text: Column) -> Column:
+    """Numbered lines become footnote definitions (the last of a number counts) and ``(n)`` references to them."""
+    pattern = r"^(\d{1,3})\s*[.)\-–—]\s*(.+)"
+
+    def parse(line: Column) -> Column:
+        s = rx.strip(line)
+        note = F.struct(F.regexp_extract(s, rx.rx(pattern), 1).alias("number"), rx.strip(F.regexp_extract(s, rx.rx(pattern), 2)).alias("note"))
+        return F.struct(line.alias("line"), F.when((F.char_length(s) > 20) & rx.has(s, pattern), note).alias("note"))
+
+    def put(parsed: Column) -> Column:
+        found = F.transform(F.filter(parsed, lambda x: x["note"].isNotNull()), lambda x: x["note"])
+        body = rx.sub(F.array_join(F.transform(F.filter(parsed, lambda x: x["note"].isNull()), lambda x: x["line"]), "\n"), r"\((\d{1,3})\)", "[^$1]")
+        last = lambda own, number: F.element_at(F.filter(own, lambda x: x["number"] == number), -1)["note"]
+        numbers = lambda own: F.array_sort(F.transform(F.array_distinct(F.transform(own, lambda x: x["number"])), lambda n, i: F.struct(n.cast("int").alias("value"), i.alias("at"), n.alias("number"))))
+        listed = lambda own: F.array_join(F.transform(numbers(own), lambda n: F.concat(F.lit("[^"), n["number"], F.lit("]: "), last(own, n["number"]))), "\n")
+        return let(found, lambda own: F.when(F.size(own) > 0, F.concat(body, F.lit("\n\n---\n\n"), listed(own))).otherwise(body))
+
+    return let(F.transform(split(text), parse), put)

@@ -8,10 +8,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lavra.functions import rx
-from lavra.functions.lines import flat_map_lines, join, let, one, split
-from lavra.operators.machines import rewritten, truncate_headings
+from lavra.functions.lines import flat_map_lines, join, let, map_lines, one, split, stepped
 
 HEADING = r"^(#{1,6})\s+(.+?)\s*$"
+# Words at which a sentence that was glued to a heading begins.
+STARTERS = [
+    "A", "O", "É", "Um", "Uma", "Esta", "Este", "Estes", "Estas", "Aquele", "Isto", "Isso", "No", "Na", "Os", "As", "Em", "Para", "Por", "De", "Do", "Da", "Nos", "Nas", "Sua", "Seu",
+]
+VERBS = [
+    "é", "são", "foi", "está", "pode", "deve", "tem", "há", "não", "será", "consiste", "define", "trata", "configura", "constitui", "representa", "caracteriza", "compreende", "abrange",
+    "inclui", "prevê", "dispõe", "estabelece", "determina", "aplica", "regula", "disciplina", "prescreve", "estipula", "assegura", "garante", "veda", "proíbe", "autoriza", "permite",
+    "exige", "obriga", "impõe", "reconhece", "admite",
+]
 
 
 def remove_duplicate_numbering(text: Column) -> Column:
@@ -63,8 +71,24 @@ def ensure_blank_lines(text: Column) -> Column:
     return flat_map_lines(text, body)
 
 
+def truncate_headings(text: Column, most: int = 15) -> Column:
+    """Headings of over ``most`` words end where a sentence seems to start, between the fifth and twentieth word.
+
+    A word that starts sentences is looked for first, then a verb; what is cut off becomes a paragraph.
+    """
+
+    def cut(line: Column, words: Column) -> Column:
+        n = F.size(words)
+        span = F.filter(F.sequence(F.lit(4), F.lit(most + 4)), lambda i: i < n)
+        starts = F.get(F.filter(span, lambda i: F.get(words, i).isin(STARTERS) & (i + 1 < n)), 0)
+        verb = F.get(F.filter(span, lambda i: rx.has(F.get(words, i), rf"^(?:{'|'.join(VERBS)})\b", "i")), 0)
+        parted = lambda at: F.concat(F.regexp_extract(line, rx.rx(HEADING), 1), F.lit(" "), F.array_join(F.slice(words, 1, at), " "), F.lit("\n\n"), F.array_join(F.slice(words, at + 1, n), " "))
+        return F.when(n > most, let(F.coalesce(starts, verb), lambda at: F.when(at.isNotNull(), parted(at))))
+
+    words = lambda x: F.split(rx.strip(F.regexp_extract(x, rx.rx(HEADING), 2)), rx.rx(r"\s+"), -1)
+    return map_lines(text, lambda x: F.when(x.startswith("#"), F.coalesce(let(words(x), lambda w: cut(x, w)), x)).otherwise(x))
+
+
 def normalize_headings(docs: DataFrame, column: str = "text", most_words: int = 15) -> DataFrame:
     """``docs`` with all of these applied to ``column``."""
-    docs = docs.withColumn(column, fix_level_jumps(remove_duplicate_numbering(F.col(column))))
-    docs = rewritten(docs, column, partial(truncate_headings.rewrite, most=most_words))
-    return docs.withColumn(column, ensure_blank_lines(F.col(column)))
+    return stepped(docs, column, remove_duplicate_numbering, fix_level_jumps, partial(truncate_headings, most=most_words), ensure_blank_lines)

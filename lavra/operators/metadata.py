@@ -11,8 +11,14 @@ from lavra.functions.lines import join, let, split
 # What the fields are recognised by.
 BOOK_TITLE = r"(?:Manual|Curso|Tratado|Compêndio|Lições)\s+de\s+[A-ZÀ-Ú][^\n]{3,80}"
 BOOK_FILE = r"(?:^|[\s_\-])(?:Manual|Curso|Tratado|Compêndio|Lições)(?=$|[\s_\-])"
-FIELD_KEYS = "titulo data status convertido_em proad orgao_emissor tipo_peca paciente autor reu impetrante autoridade_coatora pedido_liminar processo_origem comarca acoes_cumuladas".split()
-TITLE_WORDS = "PETIÇÃO SENTENÇA ACÓRDÃO HABEAS RECURSO MANDADO CONTESTAÇÃO AGRAVO APELAÇÃO EMBARGOS FATOS DIREITO PEDIDOS MÉRITO RELATÓRIO FUNDAMENTAÇÃO DISPOSITIVO EMENTA VOTO".split()
+FIELD_KEYS = [
+    "titulo", "data", "status", "convertido_em", "proad", "orgao_emissor", "tipo_peca", "paciente",
+    "autor", "reu", "impetrante", "autoridade_coatora", "pedido_liminar", "processo_origem", "comarca", "acoes_cumuladas",
+]
+TITLE_WORDS = [
+    "PETIÇÃO", "SENTENÇA", "ACÓRDÃO", "HABEAS", "RECURSO", "MANDADO", "CONTESTAÇÃO", "AGRAVO", "APELAÇÃO",
+    "EMBARGOS", "FATOS", "DIREITO", "PEDIDOS", "MÉRITO", "RELATÓRIO", "FUNDAMENTAÇÃO", "DISPOSITIVO", "EMENTA", "VOTO",
+]
 LONG_DATE = r"(\d{1,2})\s+de\s+(janeiro|fevereiro|março|abril|maio|junho|julho|agosto|setembro|outubro|novembro|dezembro)\s+de\s+(\d{4})"
 PIECE_KINDS = [
     (r"HABEAS\s+CORPUS", "Habeas Corpus"), (r"PETIÇÃO\s+INICIAL", "Petição Inicial"), ("CONTESTAÇÃO", "Contestação"), ("SENTENÇA", "Sentença"), ("ACÓRDÃO", "Acórdão"),

@@ -6,9 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lavra.functions import rx
-from lavra.functions.lines import filter_lines, join, let, split
+from lavra.functions.lines import filter_lines, join, let, map_lines, split
 from lavra.operators.cleaning import normalize_paragraphs
-from lavra.operators.machines import remove_note_numbers
+from lavra.operators.blocks import FIELDS
 
 # What counts as left over.
 SUMMARY = r"\*Resumo[:.]?\s.*?Palavras[-\s]chave[:.]?\s.*?\*"
@@ -27,7 +27,12 @@ ITALIC_ONLY = [
     "prima facie", "erga omnes", "inter partes", "lato sensu", "stricto sensu", "ex officio", "ex tunc", "ex nunc", "habeas corpus", "mandamus", "certiorari", "stare decisis", "ratio decidendi",
     "obiter dictum", "per se", "sui generis", "ultra petita", "extra petita", "reformatio in pejus",
 ]
-ORDINALS = "primeir[ao] segund[ao] terceir[ao] quart[ao] quint[ao] sext[ao] sétim[ao] oitav[ao] non[ao] décim[ao]".split()
+ORDINALS = ["primeir[ao]", "segund[ao]", "terceir[ao]", "quart[ao]", "quint[ao]", "sext[ao]", "sétim[ao]", "oitav[ao]", "non[ao]", "décim[ao]"]
+MORE_FIELDS = ["area", "subarea", "tags", "ultima_revisao", "edicao", "fonte", "tipo", "ramo", "subramos", "jurisdicao", "atualizado_ate", "formato_origem"]
+CITES = [
+    r"Art\.?", r"art\.?", "Lei", "lei", "Decreto", "decreto", "Resolu[çc][ãa]o", "n[º°.]", "N[º°.]", r"p\.", r"P[áa]g\.?", "§", "S[úu]mula", "Enunciado", "[Ii]nciso",
+]
+MONTHS = ["janeiro", "fevereiro", "março", "abril", "maio", "junho", "julho", "agosto", "setembro", "outubro", "novembro", "dezembro"]
 
 
 def remove_summaries(text: Column) -> Column:
@@ -97,6 +102,22 @@ def orphan_footnotes(definitions: DataFrame, references: DataFrame) -> DataFrame
     return definitions.join(references.select("doc_id", "num").distinct(), ["doc_id", "num"], "left_anti")
 
 
+def remove_note_numbers(text: Column) -> Column:
+    """Drops one or two digits stuck to words or standing between them, unless they cite, count or date.
+
+    What cites or counts is said by looking around, so each rule is one replacement.  Front matter, fields, headings and rows stay.
+    """
+    small, cites = "a-záéíóúàâêôãõç", f"(?<!{'|'.join(CITES)})"
+    stuck = rf"(?<=[{small}.,:;!?)\]\"”]){cites}\d{{1,2}}(?=[\s.,;:!?)\]]|$)(?!(?i:\s+de\s+(?:{'|'.join(MONTHS)})))"
+    alone = rf"(?<=[{small}]){cites}\s+\d{{1,2}}\s+(?=[{small}])(?!(?:,|e|ou|a)\s*\d)"
+    field = rf"^(?:{'|'.join(FIELDS + MORE_FIELDS)})\s*:"
+    freed = lambda x: F.regexp_replace(rx.sub(rx.sub(x, stuck, ""), alone, " "), "  +", " ")
+    fixed = lambda x: let(rx.strip(x), lambda s: F.when((s == "---") | rx.has(s, "^[#|]") | rx.has(s, field, "i"), x).otherwise(freed(x)))
+    rule = r"[^\S\n]*---[^\S\n]*(?=\n|\z)"
+    front = rf"\A{rule}(?:\n(?!{rule})[^\n]*+)*+(?:\n{rule})?+"
+    return let(F.regexp_extract(text, rx.rx(front), 0), lambda head: F.concat(head, map_lines(F.substring(text, F.char_length(head) + 1, F.char_length(text)), fixed)))
+
+
 def strip_footnotes(text: Column) -> Column:
     """All footnotes: callouts, references, definitions, numbers stuck to words, the rule before them."""
     text = rx.sub(text, r">\s*\[!NOTE\]\s*\n>\s*\*\*Nota:\*\*\s*.*", "")

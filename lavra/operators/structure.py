@@ -2,32 +2,31 @@
 
 from __future__ import annotations
 
-import unicodedata
 from functools import partial
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lavra.functions import rx, scalars
-from lavra.functions.lines import exploded, islands, join, let, map_lines, split
-from lavra.operators import machines
+from lavra.functions.lines import exploded, islands, join, let, map_lines, split, stepped
+from lavra.operators import blocks
+from lavra.operators.paragraphs import CAPITAL, SMALL, loud
 
 # The titles that are headings, by level.
-CAPITAL, SMALL = machines.CAPITAL, machines.SMALL
-TITLE_CHARS = machines.TITLE_CHARS
+TITLE_CHARS = rf"{CAPITAL}\s,§°º().\-:/\d"
 PIECES_H1 = [r"PETIÇÃO\s+INICIAL", "CONTESTAÇÃO", "SENTENÇA", "ACÓRDÃO", r"RECURSO\s+", r"AGRAVO\s+", "APELAÇÃO", r"MANDADO\s+DE\s+SEGURANÇA", r"HABEAS\s+CORPUS"]
 ADDRESSES = [r"EXCELENTÍSSIM[OA]\s+SENHOR[A]?\s+", r"AO\s+JUÍZ[OA]?\s+", r"AO\s+DOUTOR\s+JUIZ", r"AO\s+MERITÍSSIMO\s+", r"AO\s+MM\.?\s+JUIZ"]
-_ROMAN_DASH = r"[IVXLC]+\s*[-–—.]\s*"
 SECTIONS_H2 = [
-    *(_ROMAN_DASH + x for x in (r"DOS?\s+FATOS?", r"DO\s+DIREITO", r"D[AO]S?\s+FUNDAMENT", r"D[AO]S?\s+PEDIDO", r"D[AO]\s+MÉRITO", "PRELIMINAR")),
-    *(x + r"\s*$" for x in (r"DOS?\s+FATOS?", r"DO\s+DIREITO", r"D[AO]S?\s+FUNDAMENT\w*", r"D[AO]S?\s+PEDIDOS?", r"DO\s+MÉRITO", r"PRELIMINAR\w*", r"FUNDAMENTAÇÃO\s*JURÍDICA?", "FUNDAMENTAÇÃO", "RELATÓRIO", "DISPOSITIVO", "EMENTA", "VOTO", r"D[AO]S?\s+PROVAS?")),
-    r"D[AO]\s+TUTELA\s+", r"CLÁUSULA\s+\w+",
+    r"[IVXLC]+\s*[-–—.]\s*DOS?\s+FATOS?", r"[IVXLC]+\s*[-–—.]\s*DO\s+DIREITO", r"[IVXLC]+\s*[-–—.]\s*D[AO]S?\s+FUNDAMENT", r"[IVXLC]+\s*[-–—.]\s*D[AO]S?\s+PEDIDO",
+    r"[IVXLC]+\s*[-–—.]\s*D[AO]\s+MÉRITO", r"[IVXLC]+\s*[-–—.]\s*PRELIMINAR",
+    r"DOS?\s+FATOS?\s*$", r"DO\s+DIREITO\s*$", r"D[AO]S?\s+FUNDAMENT\w*\s*$", r"D[AO]S?\s+PEDIDOS?\s*$", r"DO\s+MÉRITO\s*$", r"PRELIMINAR\w*\s*$", r"FUNDAMENTAÇÃO\s*JURÍDICA?\s*$",
+    r"FUNDAMENTAÇÃO\s*$", r"RELATÓRIO\s*$", r"DISPOSITIVO\s*$", r"EMENTA\s*$", r"VOTO\s*$", r"D[AO]S?\s+PROVAS?\s*$", r"D[AO]\s+TUTELA\s+", r"CLÁUSULA\s+\w+",
 ]
 SUBSECTIONS_H3 = [rf"D[ao]s?\s+[{SMALL}]", rf"Doe?\s+[{CAPITAL}][{SMALL}]"]
 ENUMERATIONS = [r"[a-z]\)\s+", r"[a-z]\.\s+", r"[ivxlc]+\)\s+", r"[IVXLC]+\)\s+", r"[IVXLC]+\s*[-–—]\s+", r"\d+\)\s+", r"\d+\.\d+\.?\s+"]
 BOOK_H1 = [r"PARTE\s+[IVXLC]+", r"CAPÍTULO\s+[IVXLC\d]+", r"TÍTULO\s+[IVXLC\d]+", r"LIVRO\s+[IVXLC\d]+"]
 BOOK_H2 = [r"SEÇÃO\s+[IVXLC\d]+", r"SUBSEÇÃO\s+[IVXLC\d]+", rf"\d+\.\s+[{CAPITAL}]"]
-BODY_VERBS = "é são foi está pode deve tem há não já se como quando que para sendo tendo será seria foram estava".split()
+BODY_VERBS = ["é", "são", "foi", "está", "pode", "deve", "tem", "há", "não", "já", "se", "como", "quando", "que", "para", "sendo", "tendo", "será", "seria", "foram", "estava"]
 BOLD_STARTS = [
     r"EXCELENTÍSSIM[OA]\s+.", r"AO\s+JUÍZ[OA]?\s+.", r"AO\s+DOUTOR\s+.", r"AO\s+MERITÍSSIMO\s+.", r"AO\s+MM\.?\s+.", r"Processo\s+(?:de\s+origem\s+)?n[º°.]?\s*.", r"Procedimento\s+.",
     r"Autora?:\s*.", r"Réu:\s*.", r"Requerente:\s*.", r"Requerido:\s*.", r"Paciente:\s*.", r"Impetrante:\s*.", r"Autoridade\s+coatora:\s*.",
@@ -69,10 +68,6 @@ def is_numbered_heading(line: Column) -> Column:
     return F.coalesce(let(bare(line), title), F.lit(False))
 
 
-def loud(line: Column) -> Column:
-    return F.upper(line) == line
-
-
 def is_enumeration(line: Column) -> Column:
     """A list item, unless it is a numbered or Roman title in capitals."""
     s = rx.strip(line)
@@ -198,18 +193,15 @@ def format_signature(text: Column, reach: int = 30) -> Column:
     return let(split(text), sign)
 
 
-def heuristics(docs: DataFrame, column: str = "text", mode: str = "forense", citations: bool = True, items: bool = False, notes: bool = False, summary: bool = True) -> DataFrame:
-    """``docs`` with all structure rules of a mode applied to ``column`` in their order."""
+def heuristics(docs: DataFrame, column: str = "text", mode: str = "forense", citations: bool = True, items: bool = False, notes: bool = False, summary: bool = True, composed: bool = False) -> DataFrame:
+    """``docs`` with all structure rules of a mode applied to ``column`` in their order; ``composed``: texts are in composed form."""
     book = mode == "doutrina"
-    docs = machines.rewritten(docs, column, partial(unicodedata.normalize, "NFC"), *[machines.remove_contents.rewrite] * book)
-    docs = docs.withColumn(column, mark_headings(F.col(column), mode))
-    steps = [partial(machines.detect_quotes.rewrite, citations=citations and not book)]
-    steps += [machines.separate_items.rewrite] * (items and mode == "forense") + [machines.wrap_notes.rewrite] * (notes and not book)
-    docs = machines.rewritten(docs, column, *steps)
-    if not book:
-        text = italicize_summary(F.col(column)) if summary else F.col(column)
-        docs = docs.withColumn(column, format_signature(text))
-    return machines.rewritten(docs, column, *[machines.fill_heading_gaps.rewrite] * (mode != "google"), machines.strip_front_matter.rewrite)
+    docs = docs if composed else docs.withColumn(column, scalars.nfc(F.col(column)))
+    docs = stepped(docs, column, *[blocks.remove_contents] * book, partial(mark_headings, mode=mode))
+    docs = stepped(docs, column, partial(blocks.detect_quotes, citations=citations and not book))
+    more = [blocks.separate_items] * (items and mode == "forense") + [blocks.wrap_notes] * (notes and not book) + [italicize_summary] * (summary and not book) + [format_signature] * (not book)
+    docs = stepped(docs, column, *more) if more else docs
+    return stepped(docs, column, *[partial(blocks.fill_heading_gaps, composed=True)] * (mode != "google"), blocks.strip_front_matter)
 
 
 def headings(text: Column, deepest: int = 3) -> Column:

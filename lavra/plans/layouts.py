@@ -7,7 +7,7 @@ import datetime
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
-from lavra.operators import enrich, layout, machines, metadata, structure, tables
+from lavra.operators import enrich, layout, metadata, structure, tables
 from lavra.plans import pipeline
 from lavra.plans.queries import _DETECT, _PIECES, _STOP, LEGAL, QUERIES, SQL, duck, made, query
 from lavra.plans.texts import LINES, picked, text_query
@@ -185,7 +185,7 @@ k as (select *, row_number() over (partition by doc_id order by n desc, pos) as
 select src.doc_id, coalesce(string_agg(tag, ',' order by rank) filter (where rank <= 5), '') as tags from src left join k using (doc_id) group by src.doc_id""",
 )(lambda docs: docs.select("doc_id", F.coalesce(F.array_join(enrich.tag_list(F.col("text")), ","), F.lit("")).alias("tags")))
 text_query(
-    "section_summaries", machines.section_summaries,
+    "section_summaries", enrich.section_summaries,
     LINES + f""", h as (select *, sum(case when s[1:3] = '## ' then 1 else 0 end) over (partition by doc_id order by i) as sec, count(*) filter (where s[1:3] = '## ') over (partition by doc_id) as many from e),
 body as (select *, row_number() over (partition by doc_id, sec order by i) as k from h where sec > 0 and many > 1 and s <> '' and s[1] not in ('#', '>') and s[1:3] <> '## '),
 first_ as (select doc_id, sec, s from body where k = 1),

@@ -1,16 +1,15 @@
-"""The document pipeline: native projections and Arrow passes in turn, all narrow; no shuffle."""
+"""The document pipeline: native projections, all narrow; no shuffle."""
 
 from __future__ import annotations
 
 import datetime
-from functools import partial
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lavra.functions import rx
-from lavra.operators import cleaning, enrich, headings, machines, metadata, structure, tables
-from lavra.operators.finish import finish
+from lavra.functions.lines import stepped
+from lavra.operators import blocks, cleaning, enrich, headings, metadata, strip, structure, tables
 from lavra.plans.options import Options
 from lavra.sources import files as sources
 from lavra.sources import sinks
@@ -34,10 +33,10 @@ def convert(docs: DataFrame, options: Options | None = None, today: datetime.dat
     base = base.withColumn("error", F.coalesce("error", F.when(F.col("raw").isNull() | rx.blank(F.col("raw")), "the document has no text")))
     step = cleaning.clean(base.withColumn("t", F.when(F.col("error").isNull(), F.col("raw"))), "t", o.remove_headers_footers)
     step = step.withColumn("chars_cleaned", F.char_length("t").cast("long"))
-    step = structure.heuristics(step, "t", o.mode, o.detect_citations, o.separate_enums, o.wrap_notes)
-    step = headings.normalize_headings(step.withColumn("t", tables.normalize_tables(F.col("t"))), "t")
-    rag = [machines.semantic_format, machines.smart_callouts, machines.section_summaries, machines.normalize_footnotes] if o.rag_optimize else []
-    step = machines.rewritten(step, "t", *(m.rewrite for m in rag))
+    step = structure.heuristics(step, "t", o.mode, o.detect_citations, o.separate_enums, o.wrap_notes, composed=True)
+    step = headings.normalize_headings(stepped(step, "t", tables.normalize_tables), "t")
+    if o.rag_optimize:
+        step = stepped(step, "t", enrich.semantic_format, enrich.smart_callouts, enrich.section_summaries, enrich.normalize_footnotes)
     step = step.withColumn("yaml", metadata.front_matter(F.col("t"), F.col("filename"), day, o.extract_metadata, o.extract_procedural and o.mode == "forense"))
     if o.rag_optimize:
         step = step.withColumn("yaml", F.concat(F.regexp_replace("yaml", r"---\z", ""), F.array_join(metadata.yaml_lines(rag_fields(F.col("t"), day)), "\n"), F.lit("\n---")))
@@ -46,12 +45,13 @@ def convert(docs: DataFrame, options: Options | None = None, today: datetime.dat
     whole_h1 = F.exists(F.split("t", "\n", -1), lambda x: rx.strip(x).startswith("# "))
     h1 = F.when(whole_h1 | (titled == ""), F.lit("")).otherwise(F.concat(F.lit("# "), titled, F.lit("\n\n")))
     step = step.withColumn("t", F.concat("yaml", F.lit("\n\n"), h1, F.when(F.col("toc") != "", F.concat("toc", F.lit("\n"))).otherwise(F.lit("")), "t"))
-    step = machines.rewritten(step, "t")
     none = F.array().cast("array<struct<title:string,content:string>>")
     step = step.withColumn("pieces", structure.piece_array(F.col("t")) if o.separate else none)
     if o.separate:
         step = step.withColumn("t", F.when(F.size("pieces") > 1, structure.format_pieces(F.col("pieces"))).otherwise(F.col("t")))
-    step = machines.rewritten(step, "t", partial(finish.rewrite, references=o.strip_references, footnotes=o.strip_footnotes, artifacts=o.strip_artifacts))
+    step = stepped(step, "t", strip.clean_artifacts, strip.relocate_footnotes, strip.fix_urls, strip.strip_ui)
+    removed = [strip.strip_inline_references] * o.strip_references + [strip.strip_footnotes] * o.strip_footnotes + [strip.strip_artifacts] * o.strip_artifacts + [blocks.strip_references] * o.strip_references
+    step = stepped(step, "t", *removed, strip.polish)
     good = F.col("error").isNull()
     lines = lambda c: F.size(F.split(c, "\n", -1)).cast("long")
     stats = F.create_map(

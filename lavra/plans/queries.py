@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lavra.functions import scalars
-from lavra.operators import cleaning, enrich, headings, layout, light, machines, metadata, strip, structure, tables
+from lavra.operators import blocks, cleaning, enrich, headings, layout, light, metadata, paragraphs, strip, structure, tables
 from lavra.plans import pipeline
 from lavra.plans.options import Options
 
@@ -73,7 +73,7 @@ MESS = """select o_orderkey as doc_id, concat(
   '[^1]: nota ', o_orderpriority, chr(10), 'texto [link](http://x) *it* **b** ', case when o_orderkey % 2 = 0 then 'ж' else 'abcdefgh ж' end, chr(10), '7') as text
 from {orders} where true"""
 
-_LANG = ", ".join(f"len(list_filter(w, lambda x: x in ({', '.join(repr(v) for v in sorted(set(words.split())))})))" for words in enrich.LANGUAGES.values())
+_LANG = ", ".join(f"len(list_filter(w, lambda x: x in ({', '.join(repr(v) for v in sorted(set(words)))})))" for words in enrich.LANGUAGES.values())
 _DETECT = f"""
 , w as (select *, regexp_extract_all(lower(text), '[a-záàâãéèêíïóôõúüçñ]+') as w from src),
 c as (select *, [{_LANG}] as c from w),
@@ -385,14 +385,14 @@ _step("inline_marks", strip.strip_inline_marks, _r("\\[(.+?)\\]\\(.+?\\)", "\\1"
 _step("yaml_stripped", strip.strip_yaml, "regexp_extract(text, '(?s)^---\\n.*?\\n---\\n(.*)$', 1)", "select c_custkey as doc_id, concat('---', chr(10), 'titulo: ', c_name, chr(10), '---', chr(10), 'corpo ', c_mktsegment, chr(10), '---') as text from {customer}")
 _step("duplicate_numbering", headings.remove_duplicate_numbering, "regexp_extract(text, '^(## \\d+\\. )## \\d+\\. ', 1) || regexp_extract(text, '^## \\d+\\. ## \\d+\\. (.*)$', 1)", "select c_custkey as doc_id, concat('## ', cast(c_custkey as string), '. ## ', cast(c_custkey as string), '. ', c_name) as text from {customer}")
 _step("slugs", scalars.slug, _r("\\s+", "-", _r("[^a-z0-9_\\s-]", "", "lower(text)")), "select p_partkey as doc_id, concat(p_name, ': ', p_brand, '!') as text from {part}")
-_step("headings_rebuilt", machines.rebuild_headings, None)
-_step("paragraphs_rejoined", machines.rejoin_paragraphs, None)
-_step("paragraphs_split", machines.split_long_paragraphs, None, "select doc_id, replace(text, chr(10), ' ') as text from {documents}")
-_step("quotes_detected", machines.detect_quotes, None, LEGAL)
-_step("items_separated", machines.separate_items, None)
-_step("heading_gaps_filled", machines.fill_heading_gaps, None, LEGAL)
-_step("front_matter_stripped", machines.strip_front_matter, None, LEGAL)
-_step("semantic_format", machines.semantic_format, None, LEGAL)
+_step("headings_rebuilt", paragraphs.rebuild_headings, None)
+_step("paragraphs_rejoined", paragraphs.rejoin_paragraphs, None)
+_step("paragraphs_split", paragraphs.split_long_paragraphs, None, "select doc_id, replace(text, chr(10), ' ') as text from {documents}")
+_step("quotes_detected", blocks.detect_quotes, None, LEGAL)
+_step("items_separated", blocks.separate_items, None)
+_step("heading_gaps_filled", blocks.fill_heading_gaps, None, LEGAL)
+_step("front_matter_stripped", blocks.strip_front_matter, None, LEGAL)
+_step("semantic_format", enrich.semantic_format, None, LEGAL)
 _step("front_matter", lambda t: metadata.front_matter(t, F.lit("arquivo_1.txt"), F.lit(datetime.date(2024, 1, 1)), True, True), None, LEGAL)
 
 

@@ -11,7 +11,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from lavra.functions.lines import join
-from lavra.operators import cleaning, enrich, headings, light, machines, strip, structure
+from lavra.operators import blocks, cleaning, enrich, headings, light, strip, structure
 from lavra.plans.queries import query
 
 STRIDES = (1, 3, 5, 7, 11, 13, 17, 19, 23, 29, 31, 37)
@@ -156,7 +156,7 @@ select doc_id, case when has_one or n < 2 then '' else '## Sumário' || chr(10)
 _STARTERS = "A O É Um Uma Esta Este Estes Estas Aquele Isto Isso No Na Os As Em Para Por De Do Da Nos Nas Sua Seu".split()
 _VERBS = "é|são|foi|está|pode|deve|tem|há|não|será|consiste|define|trata|configura|constitui|representa|caracteriza|compreende|abrange|inclui|prevê|dispõe|estabelece|determina|aplica|regula|disciplina|prescreve|estipula|assegura|garante|veda|proíbe|autoriza|permite|exige|obriga|impõe|reconhece|admite"
 text_query(
-    "headings_truncated", machines.truncate_headings,
+    "headings_truncated", headings.truncate_headings,
     LINES + f""", h as (select *, regexp_extract(line, '{_HEAD}', 1) as m, string_split_regex(regexp_extract(line, '{_HEAD}', 2), '\\s+') as w from e),
 c as (select *, case when m <> '' and len(w) > 15 then coalesce(
   list_filter(range(5, least(len(w), 20) + 1), lambda k: list_contains({_STARTERS}, w[k]) and k < len(w))[1],
@@ -178,7 +178,7 @@ text_query(
 _KINDS = r"""case when regexp_matches(k, '(?i)^art\. [0-9]+') then '> [!QUOTE] Legislação' when regexp_matches(k, '(?i)^súmula [0-9]+') then '> [!QUOTE] Súmula' when regexp_matches(k, '(?i)^enunciado [0-9]+') then '> [!QUOTE] Enunciado'
   when regexp_matches(k, '(?i)^atenção:') then '> [!WARNING] Atenção' when regexp_matches(k, '(?i)^importante!') then '> [!IMPORTANT]' when regexp_matches(k, '(?i)^obs\.:') then '> [!NOTE]' when regexp_matches(k, 'consiste em') and length(k) < 400 then '> [!INFO] Definição' end"""
 text_query(
-    "smart_callouts", machines.smart_callouts,
+    "smart_callouts", enrich.smart_callouts,
     LINES + r""", p as (select *, s <> '' and not regexp_matches(s, '^(>|#|\||- |\* )') as plain from e),
 r as (select *, case when plain and coalesce(not lag(plain) over w, true) or not plain then 1 else 0 end as starts from p window w as (partition by doc_id order by i)),
 g as (select *, sum(starts) over (partition by doc_id order by i) as run from r),
@@ -187,7 +187,7 @@ z as (select *, """ + f"case when plain and ({_KINDS}) is not null then ({_KINDS
     picked(["Art. 5 da lei", "Súmula 7 do tribunal", "Enunciado 3 ~", "Atenção: prazo", "Importante! leia", "Obs.: nota", "a posse consiste em poder de fato", "", "", "# Título", "| a | b |", "- item", "prosa de ~", "> citado"], 8),
 )
 text_query(
-    "footnotes_normalized", machines.normalize_footnotes,
+    "footnotes_normalized", enrich.normalize_footnotes,
     LINES + r""", m as (select *, case when length(s) > 20 then regexp_extract(s, '^(\d{1,3})\s*[.)\-–—]\s*(.+)', 1) else '' end as num, trim(regexp_extract(s, '^(\d{1,3})\s*[.)\-–—]\s*(.+)', 2)) as note from e),
 u as (select doc_id, num, arg_max(note, i) as note from m where num <> '' group by doc_id, num),
 t as (select doc_id, string_agg('[^' || num || ']: ' || note, chr(10) order by cast(num as integer)) as notes from u group by doc_id),
@@ -302,7 +302,7 @@ def _walk(first: str, step: str, lines: str = "e") -> str:
 _ENTRY = r"(regexp_matches(e.s, '^.*\.{2,}\s*\d+\s*$') or (length(e.s) < 80 and regexp_matches(e.s, '^\d+(\.\d+)*\.?\s+\S+')))"
 _CONTENTS = r"regexp_matches(e.s, '(?i)^(SUMÁRIO|ÍNDICE|CONTEÚDO)\s*$')"
 text_query(
-    "contents_removed", machines.remove_contents,
+    "contents_removed", blocks.remove_contents,
     LINES + _walk(
         "false as inside, 0 as blanks, false as emit",
         f"""case when {_CONTENTS} then true when not p.inside then false when {_ENTRY} then true when e.s = '' then p.blanks + 1 < 2 else length(e.s) <= 80 end,
@@ -313,7 +313,7 @@ text_query(
 _NOTE = r"regexp_matches(e.s, '(?i)^(#{1,6}\s+)?(Observa[çc][oõ]es?\s+finais?\s+de\s+uso|Nota\s+de\s+adequa[çc][aã]o|Instru[çc][oõ]es?\s+para\s+protocolo|Nota\s+interna|Observa[çc][oõ]es?\s+ao\s+advogado|Instru[çc][oõ]es?\s+ao\s+cliente)')"
 _OUT = f"(p.inside and ((e.s[1] = '#' and not {_NOTE}) or (e.s = '' and p.blanks = 2)))"
 text_query(
-    "notes_wrapped", machines.wrap_notes,
+    "notes_wrapped", blocks.wrap_notes,
     LINES + _walk(
         "false as inside, 0 as blanks, '' as out_",
         f"""case when {_OUT} then false else p.inside or {_NOTE} end, case when p.inside and e.s = '' then p.blanks + 1 else 0 end,
@@ -326,7 +326,7 @@ _LIST = r"(?i)^(#{1,6})\s+(?:Refer[êe]ncias?\s*(?:Bibliogr[áa]ficas?|citadas?)
 _LEVEL = r"length(regexp_extract(e.line, '^(#{1,6})\s+', 1))"
 _WORKS = r"regexp_matches(e.s, '^[A-ZÀ-Ú]{2,}[A-ZÀ-Úa-záéíóúàâêôãõç\s,]+\.\s+.*\d{4}')"
 text_query(
-    "reference_blocks", machines.strip_references,
+    "reference_blocks", blocks.strip_references,
     LINES + _walk(
         "0::bigint as level, false as emit",
         f"case when p.level > 0 and ({_LEVEL} = 0 or {_LEVEL} > p.level) then p.level when p.level > 0 then 0 else length(regexp_extract(e.line, '{_LIST}', 1)) end, case when p.level > 0 then {_LEVEL} between 1 and p.level else regexp_extract(e.line, '{_LIST}', 1) = '' end",

@@ -5,8 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lavra.functions import rx, scalars
-from lavra.operators import cleaning, enrich, finish, headings, layout, light, machines, metadata, strip, structure, tables
-from lavra.operators.numerals import from_roman, to_roman
+from lavra.operators import blocks, cleaning, enrich, headings, layout, light, metadata, paragraphs, strip, structure, tables
 from lavra.plans.options import Options, load
 from lavra.plans.pipeline import convert, rollup
 from lavra.sources import sinks
@@ -33,26 +32,26 @@ def apply(spark, fn, *texts):
         (cleaning.separate_enumerations, "texto\na) um\n\nb) dois", "texto\n\na) um\n\nb) dois"),
         (cleaning.normalize_citations, "artigo 5o, parágrafo 1 e §§ 2 da alinea", "Art. 5º, § 1 e § 2 da alínea"),
         (cleaning.normalize_paragraphs, "a\n\n\n\n\nb", "a\n\n\nb"),
-        (machines.rebuild_headings, "8.\nDA RESERVA DE BENS\ntexto comum", "8. DA RESERVA DE BENS\ntexto comum"),
-        (machines.rebuild_headings, "8. DA RESERVA E DO\nPROSSEGUIMENTO DO ARROLAMENTO DOS BENS\n\nx", "8. DA RESERVA E DO PROSSEGUIMENTO DO ARROLAMENTO DOS BENS\n\nx"),
-        (machines.rejoin_paragraphs, "o autor da\nCasa foi\nembora.\nOutra linha\n\na) item\ncontinua", "o autor da Casa foi embora.\nOutra linha\n\na) item continua"),
-        (machines.remove_contents, "SUMÁRIO\n1. Intro .... 3\n2. Fim\n\n\nTexto", "Texto"),
-        (machines.detect_quotes, "EMENTA: algo\nmais\n\n\nfim", "> EMENTA: algo\n> mais\n\n\nfim"),
-        (machines.separate_items, "Pede o seguinte:\na) um;\nb) dois.", "Pede o seguinte:\n\n- um;\n- dois.\n"),
-        (machines.wrap_notes, "Nota interna\nx\n# T", f"\n{machines.NOTE_BANNER}\n>\n> Nota interna\n> x\n\n# T"),
-        (machines.fill_heading_gaps, "## 1. UM\nx\n## 3. TRES", "## 1. UM\nx\n\n## 2. [SEÇÃO SEM TÍTULO DETECTADO]\n\n## 3. TRES"),
-        (machines.fill_heading_gaps, "I – DOS FATOS\nIII – DO DIREITO", "## I – DOS FATOS\n\n## II – [SEÇÃO SEM TÍTULO DETECTADO]\n\n## III – DO DIREITO"),
-        (machines.strip_front_matter, "---\na: b\n---\ntitulo: x\n# T\ny", "# T\ny"),
-        (machines.strip_front_matter, "# a\n# b\n# c\n# d\n# e\ntexto", "# e\ntexto"),
-        (machines.semantic_format, "o habeas corpus do STF\ncontrato e contrato", "o *habeas corpus* do **STF**\n**contrato** e contrato"),
-        (machines.smart_callouts, "Art. 5 da lei\nsegue\n\nprosa", "> [!QUOTE] Legislação\n> Art. 5 da lei\n> segue\n\nprosa"),
-        (machines.normalize_footnotes, "texto (2) e\n2) uma nota bem comprida aqui", "texto [^2] e\n\n---\n\n[^2]: uma nota bem comprida aqui"),
-        (machines.remove_note_numbers, "outrem.1 Art. 12, palavra 3 outra\n# a1", "outrem. Art. 12, palavra outra\n# a1"),
-        (machines.strip_references, "a\n## Referências\nx\n### y\n## Fim\nb", "a\n## Fim\nb"),
+        (paragraphs.rebuild_headings, "8.\nDA RESERVA DE BENS\ntexto comum", "8. DA RESERVA DE BENS\ntexto comum"),
+        (paragraphs.rebuild_headings, "8. DA RESERVA E DO\nPROSSEGUIMENTO DO ARROLAMENTO DOS BENS\n\nx", "8. DA RESERVA E DO PROSSEGUIMENTO DO ARROLAMENTO DOS BENS\n\nx"),
+        (paragraphs.rejoin_paragraphs, "o autor da\nCasa foi\nembora.\nOutra linha\n\na) item\ncontinua", "o autor da Casa foi embora.\nOutra linha\n\na) item continua"),
+        (blocks.remove_contents, "SUMÁRIO\n1. Intro .... 3\n2. Fim\n\n\nTexto", "Texto"),
+        (blocks.detect_quotes, "EMENTA: algo\nmais\n\n\nfim", "> EMENTA: algo\n> mais\n\n\nfim"),
+        (blocks.separate_items, "Pede o seguinte:\na) um;\nb) dois.", "Pede o seguinte:\n\n- um;\n- dois.\n"),
+        (blocks.wrap_notes, "Nota interna\nx\n# T", f"\n{blocks.NOTE_BANNER}\n>\n> Nota interna\n> x\n\n# T"),
+        (blocks.fill_heading_gaps, "## 1. UM\nx\n## 3. TRES", "## 1. UM\nx\n\n## 2. [SEÇÃO SEM TÍTULO DETECTADO]\n\n## 3. TRES"),
+        (blocks.fill_heading_gaps, "I – DOS FATOS\nIII – DO DIREITO", "## I – DOS FATOS\n\n## II – [SEÇÃO SEM TÍTULO DETECTADO]\n\n## III – DO DIREITO"),
+        (blocks.strip_front_matter, "---\na: b\n---\ntitulo: x\n# T\ny", "# T\ny"),
+        (blocks.strip_front_matter, "# a\n# b\n# c\n# d\n# e\ntexto", "# e\ntexto"),
+        (enrich.semantic_format, "o habeas corpus do STF\ncontrato e contrato", "o *habeas corpus* do **STF**\n**contrato** e contrato"),
+        (enrich.smart_callouts, "Art. 5 da lei\nsegue\n\nprosa", "> [!QUOTE] Legislação\n> Art. 5 da lei\n> segue\n\nprosa"),
+        (enrich.normalize_footnotes, "texto (2) e\n2) uma nota bem comprida aqui", "texto [^2] e\n\n---\n\n[^2]: uma nota bem comprida aqui"),
+        (strip.remove_note_numbers, "outrem.1 Art. 12, palavra 3 outra\n# a1", "outrem. Art. 12, palavra outra\n# a1"),
+        (blocks.strip_references, "a\n## Referências\nx\n### y\n## Fim\nb", "a\n## Fim\nb"),
         (headings.remove_duplicate_numbering, "### 3.1. ### 3.1. Fonte", "### 3.1. Fonte"),
         (headings.fix_level_jumps, "## a\n#### b\n#### c\n# d", "## a\n### b\n#### c\n# d"),
         (headings.ensure_blank_lines, "x\n## a\n## b\ny", "x\n\n## a\n\n## b\n\ny"),
-        (machines.truncate_headings, "## " + " ".join(f"p{i}" for i in range(6)) + " A noção " + "x " * 12 + "z", "## p0 p1 p2 p3 p4 p5\n\nA noção " + "x " * 12 + "z"),
+        (headings.truncate_headings, "## " + " ".join(f"p{i}" for i in range(6)) + " A noção " + "x " * 12 + "z", "## p0 p1 p2 p3 p4 p5\n\nA noção " + "x " * 12 + "z"),
         (tables.normalize_tables, "t\n| a | a | b |\n|---|---|---|\n| 1 | 1 |  |\nf", "t\n| a | b |\n| --- | --- |\n| 1 |  |\nf"),
         (tables.normalize_tables, "| a → b | c ← |\n| d | e |", "- a → b\n  - c ←\n- d\n  - e"),
         (tables.normalize_tables, "| a |\n| b |", "- a\n- b"),
@@ -117,14 +116,6 @@ def test_pieces_both_ways(spark):
     assert [tuple(p) for p in apply(spark, structure.piece_array, text)] == rows
 
 
-def test_last_steps_are_their_native_twins(spark):
-    rng = random.Random(3)
-    bits = ["CS – CIVIL I 2025.2 | 42", "Página 7", "12", "", "", "ISBN 12-3", "CDD: 34", "# T", "texto [^1] fim", "[^1]: nota", "[^2]: outra", "Compartilhe isto", "httpswwwa.com", "**2. **x", "***ad hoc***", "98765abc", "— 3 —", "| | |", "|---|", "*Resumo: a Palavras-chave: b*"]
-    texts = ["\n".join(rng.choice(bits) for _ in range(rng.randint(1, 14))) for _ in range(60)]
-    for native, plain in ((strip.clean_artifacts, finish.clean_artifacts), (strip.relocate_footnotes, finish.relocate_footnotes), (strip.strip_artifacts, finish.strip_artifacts), (strip.polish, finish.polish), (lambda t: strip.strip_ui(strip.fix_urls(t)), finish.tidy_links)):
-        assert apply(spark, native, *texts) == [plain(t) for t in texts]
-
-
 def test_metadata(spark):
     text = "PETIÇÃO INICIAL\nAutor: JOSÉ DA SILVA, CPF nº 123.456.789-00\nRéu: Banco X\nComarca de Santos - SP\npedido liminar\n61 de março de 2020 e 4 de abril de 2021\nindenização por danos morais"
     yaml = apply(spark, lambda t: metadata.front_matter(t, F.lit("a_b (1).txt"), F.lit(datetime.date(2024, 1, 2)), True, True), text)
@@ -165,10 +156,6 @@ def test_page_cache(spark):
     assert layout.cache_stats(put).first()["entries"] == 1
 
 
-def test_numerals():
-    assert all(from_roman(to_roman(n)) == n for n in range(1, 400))
-
-
 def test_unicode_rules(spark):
     assert apply(spark, lambda t: rx.sub(t, r"\w", "X"), "ação é") == "XXXX X"
     assert apply(spark, rx.strip, "  a  ") == "a"
