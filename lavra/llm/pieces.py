@@ -1,13 +1,13 @@
 """SentencePiece ids and texts by a table of distinct chunks.
 
 Spaces become markers and stand at the front of what follows.  Where no piece of a model holds a marker behind another
-character, and nothing else of it looks across markers (``separable`` proves both from the model's own description), no
-merge reaches from one chunk (markers and the characters behind them) into the next: a text's ids are its chunks' ids one
-after the other.  Spark counts the distinct chunks of the whole corpus, each is segmented once, and texts become a
+character, or a newline, and nothing else of it looks across these (``separable`` proves it from the model's own
+description), no merge reaches from one chunk (markers or a newline, and the characters behind) into the next: a text's
+ids are its chunks' ids one after the other.  Spark counts the distinct chunks of the whole corpus, each is segmented once, and texts become a
 gather: ids joined back to the places of their chunks.
 
 The table that workers hold is bounded: at most ``head`` chunks, the most frequent of the corpus, of at most ``LONGEST``
-characters.  All other chunks are rare or long, and the library segments them where they stand, once a batch.
+characters.  All other chunks are rare or long, and the library segments them where they stand; a worker remembers some.
 """
 
 from __future__ import annotations
@@ -31,10 +31,12 @@ LONGEST = 64
 HEAD = 300_000
 #: Characters of a text that are handled at once, rows whose ids are held at once.
 WINDOW, ROWS = 1_000_000, 128
-#: A text's chunks without their first marker; other markers are blanks.  The same for Java and Python.
-CHUNK = " ( *[^ ]*)"
+#: A text's chunks, each with the blanks (markers) or the newline that it begins with.  The same for Java and Python.
+CHUNK = " +[^ \n]*|\n[^ \n]*"
 _CHUNK = re.compile(CHUNK)
 _EDGE = re.compile("(?<=[^ ])(?= )")
+#: Chunks that a worker remembers beyond its table.
+LEARNED = 500_000
 _NONE = np.zeros(0, np.int64)
 
 
@@ -52,7 +54,7 @@ def separable(model: bytes) -> bool:
 
     BPE (its merges depend on their neighbours only) with bytes for unknown characters (unknown ones would join across
     chunks); a normaliser that changes nothing but blanks into markers and the one marker in front; no symbols that are
-    looked up before the merges; and no piece with a marker behind another character.
+    looked up before the merges; no piece with a marker behind another character, and none with a newline.
     """
     from sentencepiece import sentencepiece_model_pb2 as pb
 
@@ -61,18 +63,16 @@ def separable(model: bytes) -> bool:
     n, t = m.normalizer_spec, m.trainer_spec
     plain = n.add_dummy_prefix and not n.remove_extra_whitespaces and n.escape_whitespaces and not n.precompiled_charsmap and not m.denormalizer_spec.precompiled_charsmap
     fixed = any(p.type == pb.ModelProto.SentencePiece.USER_DEFINED for p in m.pieces)
-    crossing = any(MARK in p.piece.lstrip(MARK) for p in m.pieces)
+    crossing = any(MARK in p.piece.lstrip(MARK) or "\n" in p.piece for p in m.pieces)
     return t.model_type == pb.TrainerSpec.BPE and t.byte_fallback and not t.treat_whitespace_as_suffix and plain and not fixed and not crossing
 
 
 def chunks(text: str) -> list[str]:
-    """The chunks of a text, as ``CHUNK`` has them."""
-    text = text.replace(MARK, " ")
-    if not text:
-        return []
-    if text[0] != " " and "  " not in text:
-        return text.split(" ")
-    return _CHUNK.findall(" " + text)
+    """The chunks of a text behind the marker that the library puts in front, as ``CHUNK`` has them."""
+    text = " " + text.replace(MARK, " ")
+    if "  " not in text and "\x01" not in text:
+        return text.replace("\n", "\x01\n").replace(" ", "\x01 ").split("\x01")[1:]
+    return _CHUNK.findall(text)
 
 
 def windows(text: str, size: int) -> Iterator[str]:
@@ -97,13 +97,15 @@ class Segmenter:
         #: A piece that stands in front of all but the first window when it is decoded, and how long its text is.
         self.guard = [] if self.whole else self.sp.encode("a")
         self.lone = [] if self.whole else self.sp.encode("a ")[len(self.guard) :]
+        self.most = len(self.row) + LEARNED
 
     def segment(self, words: list[str]) -> list[list[int]]:
-        """Ids of each chunk by the library, whose own marker in front is the chunk's first."""
-        return [ids if w else self.lone for w, ids in zip(words, self.sp.encode(words, num_threads=1), strict=True)]
+        """Ids of each chunk by the library, which puts a marker in front: the chunk's own first one, or one to leave out."""
+        got = self.sp.encode([w[1:] if w[0] == " " else w for w in words], num_threads=1)
+        return [ids[len(self.lone) :] if w[0] == "\n" else ids if len(w) > 1 else self.lone for w, ids in zip(words, got, strict=True)]
 
-    def _gather(self, words: list[str]) -> np.ndarray:
-        """Ids of chunks one after the other."""
+    def _gather(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of chunks one after the other, and where each chunk's end."""
         at = np.fromiter(map(self.row.get, words, repeat(-1)), np.int64, len(words))
         ids, off = self.ids, self.off
         miss = np.flatnonzero(at < 0)
@@ -115,19 +117,47 @@ class Segmenter:
             at[miss] = np.fromiter(map(number.__getitem__, lost), np.int64, len(lost))
             off = np.concatenate([off, off[-1] + np.cumsum([len(g) for g in got])])
             ids = np.concatenate([ids, np.fromiter((i for g in got for i in g), np.int32)])
+            if len(self.row) + len(new) <= self.most:
+                self.row.update(number)
+                self.ids, self.off = ids, off
         start = off[at]
         size = off[at + 1] - start
         end = np.cumsum(size)
-        return ids[np.arange(end[-1] if end.size else 0) + np.repeat(start - (end - size), size)]
+        return ids[np.arange(end[-1] if end.size else 0) + np.repeat(start - (end - size), size)], end
 
-    def encode(self, text: str | None) -> np.ndarray:
-        """All ids of a text; none for null."""
-        if not text:
-            return np.zeros(0, np.int32)
+    def encode_all(self, texts: Sequence[str | None]) -> list[np.ndarray]:
+        """All ids of each text; none for null.  Chunks of texts of about ``WINDOW`` characters are joined to their ids at once."""
         if self.whole:
-            return np.array(self.sp.encode(text, num_threads=1), np.int32)
-        parts = [self._gather(chunks(w) if w else [""]) for w in self._windows(text)]  # an empty window is a last lone marker
-        return parts[0] if len(parts) == 1 else np.concatenate(parts)
+            return [np.array(self.sp.encode(t, num_threads=1) if t else [], np.int32) for t in texts]
+        out: list[list[np.ndarray]] = [[] for _ in texts]
+        words: list[str] = []
+        held: list[tuple[int, int]] = []
+        size = 0
+
+        def join() -> None:
+            ids, end = self._gather(words)
+            at = upto = 0
+            for k, n in held:
+                last = int(end[upto + n - 1]) if n else at
+                out[k].append(ids[at:last])
+                at, upto = last, upto + n
+            words.clear()
+            held.clear()
+
+        for k, text in enumerate(texts):
+            for part in self._windows(text) if text else ():
+                found = chunks(part)
+                words += found
+                held.append((k, len(found)))
+                size += len(part)
+                if size >= WINDOW:
+                    join()
+                    size = 0
+        join()
+        return [p[0] if len(p) == 1 else np.concatenate(p) if p else np.zeros(0, np.int32) for p in out]
+
+    def encode(self, text: str | None) -> np.ndarray:
+        return self.encode_all([text])[0]
 
     def _windows(self, text: str) -> Iterator[str]:
         if len(text) <= WINDOW:
@@ -152,7 +182,7 @@ class Segmenter:
 def chunk_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """``chunk, n``: how often each chunk of at most ``LONGEST`` characters stands in the whole corpus."""
     text = F.translate(F.col(text_col), MARK, " ")
-    found = docs.filter(F.length(text_col) > 0).select(F.explode(F.regexp_extract_all(F.concat(F.lit(" "), text), F.lit(CHUNK), F.lit(1))).alias("chunk"))
+    found = docs.filter(F.length(text_col) > 0).select(F.explode(F.regexp_extract_all(F.concat(F.lit(" "), text), F.lit(CHUNK), F.lit(0))).alias("chunk"))
     return found.filter(F.length("chunk") <= LONGEST).groupBy("chunk").agg(F.count("*").alias("n"))
 
 
@@ -219,7 +249,7 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
         for b in batches:
             for at in range(0, b.num_rows, ROWS):
                 part = b.slice(at, ROWS)
-                got = [seg.encode(t.as_py()) for t in part.column(1)]
+                got = seg.encode_all(part.column(1).to_pylist())
                 sizes = np.concatenate([[0], np.cumsum([g.size for g in got])]).astype(np.int32)
                 ids = pa.ListArray.from_arrays(pa.array(sizes), pa.array(np.concatenate(got) if got else np.zeros(0, np.int32)))
                 more = [pa.array([seg.decode(g) for g in got], pa.string())] if decoded else []
