@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lavra.functions import runs, rx, scalars
 from lavra.functions.lines import flat_map_lines, let, map_lines, one, split
+from lavra.operators import phrases
 from lavra.operators.paragraphs import SMALL
 
 # The results are defined by exactly these lists.
@@ -38,37 +39,86 @@ STOP_WORDS = [
     "tribunal", "juiz", "sentença",
 ]
 AREAS = {
-    "Direito Penal": r"crime|delito|pena|reclusão|detenção|tipicidade|antijuridicidade|culpabilidade|dolo|culpa|imputabilidade|código\s+penal|CP\b|homicídio|furto|roubo|estelionato|lesão\s+corporal|ação\s+penal",
-    "Direito Constitucional": r"constituição|constitucional|direito\s+fundamental|garantia|mandado\s+de\s+segurança|habeas\s+corpus|ação\s+direta|ADI|ADPF|controle\s+de\s+constitucionalidade|cláusula\s+pétrea|emenda\s+constitucional",
-    "Direito Processual Civil": r"CPC|código\s+de\s+processo\s+civil|citação|intimação|contestação|réplica|sentença|acórdão|recurso\s+(?:especial|extraordinário|de\s+apelação)|tutela\s+(?:antecipada|provisória|de\s+urgência)|execução|cumprimento\s+de\s+sentença",
-    "Direito do Trabalho": r"CLT|trabalhista|empregado|empregador|vínculo\s+empregatício|rescisão|FGTS|férias|jornada\s+de\s+trabalho|salário|aviso\s+prévio",
-    "Direito Tributário": r"tributo|imposto|taxa|contribuição|CTN|fato\s+gerador|base\s+de\s+cálculo|alíquota|ICMS|ISS|IPTU|IPVA|IR\b|PIS|COFINS",
-    "Direito Administrativo": r"administração\s+pública|ato\s+administrativo|licitação|contrato\s+administrativo|servidor\s+público|poder\s+de\s+polícia|improbidade|Lei\s+8\.?666|concessão|permissão",
-    "Direito Empresarial": r"empresa|sociedade\s+(?:limitada|anônima)|falência|recuperação\s+judicial|CNPJ|quotas?|ações?|título\s+de\s+crédito|nota\s+promissória",
-    "Direito Ambiental": r"meio\s+ambiente|ambiental|licenciamento|poluição|fauna|flora|IBAMA|reserva\s+legal|área\s+de\s+proteção",
-    "Direito Processual Penal": r"CPP|código\s+de\s+processo\s+penal|inquérito|flagrante|prisão\s+preventiva|denúncia|queixa-crime|júri|tribunal\s+do\s+júri",
-    "Direito Civil": r"código\s+civil|pessoa\s+(?:natural|jurídica)|capacidade\s+civil|obrigação|contrato|posse|propriedade|responsabilidade\s+civil|família|sucessão|herança|casamento|divórcio|LINDB|prescrição|decadência|negócio\s+jurídico",
+    "Direito Penal": [
+        "crime", "delito", "pena", "reclusão", "detenção", "tipicidade", "antijuridicidade", "culpabilidade", "dolo", "culpa", "imputabilidade", "código penal", "CP", "homicídio", "furto",
+        "roubo", "estelionato", "lesão corporal", "ação penal",
+    ],
+    "Direito Constitucional": [
+        "constituição", "constitucional", "direito fundamental", "garantia", "mandado de segurança", "habeas corpus", "ação direta", "ADI", "ADPF", "controle de constitucionalidade",
+        "cláusula pétrea", "emenda constitucional",
+    ],
+    "Direito Processual Civil": [
+        "CPC", "código de processo civil", "citação", "intimação", "contestação", "réplica", "sentença", "acórdão", "recurso especial", "recurso extraordinário", "recurso de apelação",
+        "tutela antecipada", "tutela provisória", "tutela de urgência", "execução", "cumprimento de sentença",
+    ],
+    "Direito do Trabalho": [
+        "CLT", "trabalhista", "empregado", "empregador", "vínculo empregatício", "rescisão", "FGTS", "férias", "jornada de trabalho", "salário", "aviso prévio",
+    ],
+    "Direito Tributário": [
+        "tributo", "imposto", "taxa", "contribuição", "CTN", "fato gerador", "base de cálculo", "alíquota", "ICMS", "ISS", "IPTU", "IPVA", "IR", "PIS", "COFINS",
+    ],
+    "Direito Administrativo": [
+        "administração pública", "ato administrativo", "licitação", "contrato administrativo", "servidor público", "poder de polícia", "improbidade", "Lei 8.666", "Lei 8666", "concessão",
+        "permissão",
+    ],
+    "Direito Empresarial": [
+        "empresa", "sociedade limitada", "sociedade anônima", "falência", "recuperação judicial", "CNPJ", "quotas", "quota", "ações", "açõe", "título de crédito", "nota promissória",
+    ],
+    "Direito Ambiental": [
+        "meio ambiente", "ambiental", "licenciamento", "poluição", "fauna", "flora", "IBAMA", "reserva legal", "área de proteção",
+    ],
+    "Direito Processual Penal": [
+        "CPP", "código de processo penal", "inquérito", "flagrante", "prisão preventiva", "denúncia", "queixa-crime", "júri", "tribunal do júri",
+    ],
+    "Direito Civil": [
+        "código civil", "pessoa natural", "pessoa jurídica", "capacidade civil", "obrigação", "contrato", "posse", "propriedade", "responsabilidade civil", "família", "sucessão", "herança",
+        "casamento", "divórcio", "LINDB", "prescrição", "decadência", "negócio jurídico",
+    ],
 }
 SUBAREAS = {
     "Direito Penal": {
-        "Crimes contra a pessoa": r"homicídio|lesão\s+corporal|ameaça|constrangimento|sequestro|cárcere",
-        "Crimes contra o patrimônio": r"furto|roubo|extorsão|estelionato|receptação|dano|apropriação",
-        "Teoria do delito": r"tipicidade|antijuridicidade|culpabilidade|imputabilidade|dolo|culpa|nexo\s+causal",
+        "Crimes contra a pessoa": [
+            "homicídio", "lesão corporal", "ameaça", "constrangimento", "sequestro", "cárcere",
+        ],
+        "Crimes contra o patrimônio": [
+            "furto", "roubo", "extorsão", "estelionato", "receptação", "dano", "apropriação",
+        ],
+        "Teoria do delito": [
+            "tipicidade", "antijuridicidade", "culpabilidade", "imputabilidade", "dolo", "culpa", "nexo causal",
+        ],
     },
     "Direito Constitucional": {
-        "Direitos fundamentais": r"direito\s+fundamental|liberdade|igualdade|dignidade|direitos?\s+sociais?",
-        "Controle de constitucionalidade": r"ADI|ADPF|controle\s+(?:difuso|concentrado)|ação\s+direta|inconstitucionalidade",
+        "Direitos fundamentais": [
+            "direito fundamental", "liberdade", "igualdade", "dignidade", "direitos sociais", "direitos sociai", "direito sociais", "direito sociai",
+        ],
+        "Controle de constitucionalidade": [
+            "ADI", "ADPF", "controle difuso", "controle concentrado", "ação direta", "inconstitucionalidade",
+        ],
     },
     "Direito Processual Civil": {
-        "Processo de conhecimento": r"petição\s+inicial|contestação|réplica|instrução|sentença|audiência",
-        "Recursos": r"apelação|agravo|embargo|recurso\s+especial|recurso\s+extraordinário",
+        "Processo de conhecimento": [
+            "petição inicial", "contestação", "réplica", "instrução", "sentença", "audiência",
+        ],
+        "Recursos": [
+            "apelação", "agravo", "embargo", "recurso especial", "recurso extraordinário",
+        ],
     },
     "Direito Civil": {
-        "LINDB / Parte Geral": r"LINDB|Lei\s+de\s+Introdução|pessoa\s+natural|capacidade|personalidade|domicílio",
-        "Obrigações": r"obrigação|devedor|credor|adimplemento|inadimplemento|mora|pagamento",
-        "Contratos": r"contrato|compra\s+e\s+venda|locação|doação|mandato|fiança|empreitada",
-        "Responsabilidade Civil": r"responsabilidade\s+civil|dano\s+(?:moral|material)|indenização|culpa|nexo\s+causal",
-        "Família e Sucessões": r"família|casamento|divórcio|união\s+estável|guarda|alimentos|herança|inventário|testamento|sucessão",
+        "LINDB / Parte Geral": [
+            "LINDB", "Lei de Introdução", "pessoa natural", "capacidade", "personalidade", "domicílio",
+        ],
+        "Obrigações": [
+            "obrigação", "devedor", "credor", "adimplemento", "inadimplemento", "mora", "pagamento",
+        ],
+        "Contratos": [
+            "contrato", "compra e venda", "locação", "doação", "mandato", "fiança", "empreitada",
+        ],
+        "Responsabilidade Civil": [
+            "responsabilidade civil", "dano moral", "dano material", "indenização", "culpa", "nexo causal",
+        ],
+        "Família e Sucessões": [
+            "família", "casamento", "divórcio", "união estável", "guarda", "alimentos", "herança", "inventário", "testamento", "sucessão",
+        ],
     },
 }
 LATIN = [
@@ -148,25 +198,23 @@ def vote_language(pages: DataFrame, sample: int = 10, default: str = "por") -> D
 
 
 def legal_area(text: Column, sample: int = 8000) -> Column:
-    """``struct<area, subarea>`` by counts of keywords in the first ``sample`` characters."""
+    """``struct<area, subarea>`` by counts of key phrases in the first ``sample`` characters, all found in one pass."""
+    every = [p for kinds in (AREAS, *SUBAREAS.values()) for own in kinds.values() for p in own]
 
-    def judge(head: Column) -> Column:
-        counts = F.array(*(rx.count(head, rf"\b(?:{p})\b", "i") for p in AREAS.values()))
+    def best(found: Column, kinds: dict[str, list[str]], otherwise: Column) -> Column:
+        return let(phrases.counts(found, list(kinds.values())), lambda c: F.when(F.array_max(c) > 0, scalars.argmax(c, list(kinds))).otherwise(otherwise))
 
+    def judge(found: Column) -> Column:
         def sub(area: Column) -> Column:
             out = F.lit("Geral")
             for name, kinds in SUBAREAS.items():
-                found = F.array(*(rx.count(head, rf"\b(?:{p})\b", "i") for p in kinds.values()))
-                out = F.when(area == name, let(found, best(list(kinds)))).otherwise(out)
+                out = F.when(area == name, best(found, kinds, F.lit("Geral"))).otherwise(out)
             return out
 
-        def best(names: list[str]):
-            return lambda c: F.when(F.array_max(c) > 0, scalars.argmax(c, names)).otherwise("Geral")
-
-        area = let(counts, lambda c: F.when(F.array_max(c) > 0, scalars.argmax(c, list(AREAS))))
-        return let(area, lambda a: F.when(a.isNull(), F.struct(F.lit("Direito Civil").alias("area"), F.lit("Geral").alias("subarea"))).otherwise(F.struct(a.alias("area"), sub(a).alias("subarea"))))
+        area = best(found, AREAS, F.lit(None).cast("string"))
+        return let(area, lambda a: F.struct(F.coalesce(a, F.lit("Direito Civil")).alias("area"), F.when(a.isNull(), "Geral").otherwise(sub(a)).alias("subarea")))
 
-    return let(F.substring(F.coalesce(text, F.lit("")), 1, sample), judge)
+    return let(phrases.hits(F.substring(F.coalesce(text, F.lit("")), 1, sample), every), judge)
 
 
 def tags(docs: DataFrame, most: int = 5, least_letters: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

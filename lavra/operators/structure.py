@@ -263,3 +263,24 @@ def missing_numbers(found: Column) -> Column:
     """Numbers between the first and the last of an array that it lacks, in order."""
     ends = (F.get(found, 0), F.try_element_at(found, F.lit(-1)))
     return F.when((F.size(found) > 1) & (ends[1] >= ends[0]), F.array_sort(F.array_except(F.sequence(*ends), found))).otherwise(F.array().cast("array<int>"))
+
+
+def next_existing(numbers: DataFrame, group: str = "doc_id", number: str = "n") -> DataFrame:
+    """``doc_id, missing, next``: numbers that a group lacks between its least and its greatest, each with the next that is there.
+
+    Each number that is there knows the one after it, and the gap between the two is made from the pair: no range of all numbers, no
+    join of all with all, and equal numbers meet in a partial aggregate first.
+    """
+    from pyspark.sql import Window
+
+    after = F.lead(number).over(Window.partitionBy(group).orderBy(number))
+    pairs = numbers.filter(F.col(number).isNotNull()).select(group, number).distinct().withColumn("next", after).filter(F.col("next") > F.col(number) + 1)
+    return pairs.select(F.col(group).alias("doc_id"), F.explode(F.sequence(F.col(number) + 1, F.col("next") - 1)).alias("missing"), "next")
+
+
+def long_runs(lines: DataFrame, least: int = 5, kind: str = "kind") -> DataFrame:
+    """``doc_id, line_no, size``: the lines of each run of at least ``least`` lines in a row that are of a kind, with the run's size."""
+    from pyspark.sql import Window
+
+    runs_ = islands(lines, ~F.coalesce(F.col(kind), F.lit(False))).filter(kind)
+    return runs_.withColumn("size", F.count("*").over(Window.partitionBy("doc_id", "island"))).filter(F.col("size") >= least).select("doc_id", "line_no", "size")

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from lavra.operators import enrich, layout, metadata, structure, tables
 from lavra.plans import pipeline
+from lavra.plans.options import Options
 from lavra.plans.queries import _DETECT, _PIECES, _STOP, LEGAL, QUERIES, SQL, duck, made, query
 from lavra.plans.texts import LINES, picked, text_query
 
@@ -20,7 +21,7 @@ LONG = """select cast(l_orderkey % 17 as bigint) as doc_id, cast(l_partkey % 90
   case when l_linenumber = 1 then 45.0 else cast((l_orderkey * 7 + l_suppkey * 3) % 800 as double) end + 12 as y1,
   case l_partkey % 11 when 0 then 'CEP 57020-000' when 1 then 'tel. (82) 3216-8100' when 2 then ' página 3 ' when 3 then 'Pág. 4' when 4 then 'a.b@tj.jus.br' when 5 then '  ' else concat('bloco ', cast(l_suppkey as string)) end as text from {lineitem}"""
 LONG_PAGES = "select distinct cast(l_orderkey % 17 as bigint) as doc_id, cast(l_partkey % 90 as int) as page_idx, cast(612 as double) as width, cast(842 as double) as height from {lineitem}"
-RECTS = "select distinct cast(l_orderkey % 17 as bigint) as doc_id, cast(l_partkey % 90 as int) as page_idx, cast(l_suppkey % 5 * 100 as double) as x0, cast(l_suppkey % 4 * 150 as double) as y0, cast(l_suppkey % 5 * 100 + 200 as double) as x1, cast(l_suppkey % 4 * 150 + 100 as double) as y1 from {lineitem} where l_linenumber = 2"
+RECTS = "select distinct cast(l_orderkey % 17 as bigint) as doc_id, cast(l_partkey % 90 as int) as page_idx, cast(l_suppkey % 5 * 100 as double) as x0, cast(l_suppkey % 4 * 150 as double) as y0, cast(l_suppkey % 5 * 100 + case l_linenumber when 2 then 200 else l_linenumber * 9 end as double) as x1, cast(l_suppkey % 4 * 150 + 100 as double) as y1 from {lineitem}"
 _FROM = f"with b as ({duck(LONG)}), p as ({duck(LONG_PAGES)}), r as ({duck(RECTS)})"
 _LOOK = """, s as (select *, count(*) over (partition by doc_id) as total from p),
 looks as (select *, total <= 50 or page_idx < 10 or page_idx >= total - 10 or list_contains(list_transform(range(1, 31), lambda i: cast(floor(10 + (total - 20) / 31.0 * i) as integer)), page_idx) as looked from s where total >= 3),
@@ -200,11 +201,65 @@ select parts.doc_id, string_agg(t || coalesce(note, ''), chr(10) order by parts.
 )
 
 
+#: Texts, some of which a rewriter refuses; some are blank, some null.
+POISONED = f"""select doc_id, cast(doc_id as string) as filename, text from ({LEGAL}) union all
+  select c_custkey + 1000000 as doc_id, c_name as filename, case c_custkey % 3 when 0 then null when 1 then concat('  ', chr(10), ' ') else concat('cliente ', c_name) end as text from {{customer}}"""
+
+
+def refuse(text: str) -> str:
+    """A rewriter that fails on some texts, for the queries of the error channel."""
+    if "crime de furto" in text:
+        raise ValueError("crime de furto")
+    return text if "tributo" not in text else text[1_000_000]
+
+
+def _converted(spark: SparkSession, sf_dir: str):
+    return pipeline.convert(made(spark, sf_dir, POISONED), Options(extract_metadata=False, rag_optimize=False), datetime.date(2024, 1, 1), [refuse])
+
+
+def error_rows(spark: SparkSession, sf_dir: str):
+    """What failed and why, and whether the others have a text: one bad document stops no other."""
+    return _converted(spark, sf_dir).select("doc_id", "success", "error", F.col("markdown").isNotNull().alias("has_text"), F.col("stats").isNotNull().alias("has_stats"))
+
+
+_FATE = f"""with recursive src as ({duck(POISONED)}), f as (select doc_id, case when text is null or regexp_matches(text, '^\\s*$') then 'the document has no text'
+  when contains(text, 'crime de furto') then 'ValueError: crime de furto' when contains(text, 'tributo') then 'IndexError: string index out of range' end as error from src)"""
+QUERIES["error_rows"] = error_rows
+SQL["error_rows"] = _FATE + " select doc_id, error is null as success, error, error is null as has_text, error is null as has_stats from f"
+
+
 def status_rollup(spark: SparkSession, sf_dir: str):
-    """Documents in all, converted and failed: those with a letter of the alphabet in them count as converted."""
-    docs = made(spark, sf_dir, "select doc_id, text from {documents}")
-    return pipeline.rollup(docs.select(F.coalesce(F.col("text").rlike("[a-z]"), F.lit(False)).alias("success")))
+    """Documents in all, converted and failed, of the pipeline itself."""
+    return pipeline.rollup(_converted(spark, sf_dir))
 
 
 QUERIES["status_rollup"] = status_rollup
-SQL["status_rollup"] = "select count(*) as total, count(*) filter (where regexp_matches(text, '[a-z]')) as converted, count(*) - count(*) filter (where regexp_matches(text, '[a-z]')) as failed from documents"
+SQL["status_rollup"] = _FATE + " select count(*) as total, count(*) filter (where error is null) as converted, count(*) filter (where error is not null) as failed from f"
+
+
+# --- relations behind rewriters ----------------------------------------------------------------------------------------
+
+
+def next_numbers(spark: SparkSession, sf_dir: str):
+    """For each number that a numbering lacks, the next one that is there."""
+    heads = made(spark, sf_dir, "select l_orderkey as doc_id, cast(l_partkey % 40 as int) as n from {lineitem}")
+    return structure.next_existing(heads)
+
+
+QUERIES["next_existing"] = next_numbers
+SQL["next_existing"] = """with h as (select distinct l_orderkey as doc_id, cast(l_partkey % 40 as integer) as n from lineitem),
+r as (select doc_id, unnest(range(min(n), max(n) + 1)) as missing from h group by doc_id)
+select r.doc_id, cast(missing as integer) as missing, min(n) as next from r join h on h.doc_id = r.doc_id and h.n > missing where not exists (select 1 from h g where g.doc_id = r.doc_id and g.n = missing) group by all"""
+
+
+def long_runs(spark: SparkSession, sf_dir: str):
+    """Lines that stand in runs of three or more returned ones."""
+    lines = made(spark, sf_dir, "select l_suppkey as doc_id, cast(row_number() over (partition by l_suppkey order by l_orderkey, l_linenumber, l_partkey, l_extendedprice) as bigint) as line_no, l_returnflag = 'N' as kind from {lineitem}")
+    return structure.long_runs(lines, 3)
+
+
+QUERIES["long_runs"] = long_runs
+SQL["long_runs"] = """with l as (select l_suppkey as doc_id, row_number() over (partition by l_suppkey order by l_orderkey, l_linenumber, l_partkey, l_extendedprice) as line_no, l_returnflag = 'N' as kind from lineitem),
+n as (select *, row_number() over (partition by doc_id order by line_no) - row_number() over (partition by doc_id, kind order by line_no) as run from l),
+s as (select *, count(*) over (partition by doc_id, kind, run) as size from n)
+select doc_id, line_no, size from s where kind and size >= 3"""

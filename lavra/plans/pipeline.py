@@ -3,28 +3,35 @@
 from __future__ import annotations
 
 import datetime
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lavra.functions import rx
 from lavra.functions.lines import stepped
-from lavra.operators import blocks, cleaning, enrich, headings, metadata, strip, structure, tables
+from lavra.operators import blocks, cleaning, enrich, guarded, headings, metadata, strip, structure, tables
 from lavra.plans.options import Options
 from lavra.sources import files as sources
 from lavra.sources import sinks
 
 
+#: Output formats that Python makes of Markdown: type and function.
+RENDERED = {"html": ("string", sinks.to_html), "docx": ("binary", sinks.to_docx)}
+
+
 def rag_fields(text: Column, today: Column) -> list[tuple[str, Column]]:
     area = enrich.legal_area(text)
     return [("area", area["area"]), ("subarea", area["subarea"]), ("tags", F.array_join(enrich.tag_list(text), ", ")), ("ultima_revisao", F.date_format(today, "yyyy-MM-dd"))]
 
 
-def convert(docs: DataFrame, options: Options | None = None, today: datetime.date | None = None) -> DataFrame:
+def convert(docs: DataFrame, options: Options | None = None, today: datetime.date | None = None, extra: Sequence[Callable[[str], str]] = ()) -> DataFrame:
     """``doc_id, filename, mode, output_format, markdown, html, docx, pieces, success, error, stats`` per row of ``docs``.
 
     ``docs`` has ``doc_id, filename, text`` and may have ``error``.  A blank or null text, or one with an error, is a
-    row with ``success`` false.  ``today`` stands in the front matter; without it, the current date.
+    row with ``success`` false.  ``today`` stands in the front matter; without it, the current date.  ``extra`` are a
+    caller's own rewriters, applied to cleaned texts.  Whatever raises in Python on one document, be it one of these or the
+    making of HTML or DOCX, is the ``error`` of that document's row, and no other row changes.
     """
     o = options or Options()
     day = F.lit(today) if today else F.current_date()
@@ -32,6 +39,7 @@ def convert(docs: DataFrame, options: Options | None = None, today: datetime.dat
     base = docs.select("doc_id", F.coalesce("filename", F.lit("unknown")).alias("filename"), F.col("text").alias("raw"), error.alias("error"))
     base = base.withColumn("error", F.coalesce("error", F.when(F.col("raw").isNull() | rx.blank(F.col("raw")), "the document has no text")))
     step = cleaning.clean(base.withColumn("t", F.when(F.col("error").isNull(), F.col("raw"))), "t", o.remove_headers_footers)
+    step = guarded.derived(step, "t", "t", "string", *extra) if extra else step
     step = step.withColumn("chars_cleaned", F.char_length("t").cast("long"))
     step = structure.heuristics(step, "t", o.mode, o.detect_citations, o.separate_enums, o.wrap_notes, composed=True)
     step = headings.normalize_headings(stepped(step, "t", tables.normalize_tables), "t")
@@ -52,6 +60,8 @@ def convert(docs: DataFrame, options: Options | None = None, today: datetime.dat
     step = stepped(step, "t", strip.clean_artifacts, strip.relocate_footnotes, strip.fix_urls, strip.strip_ui)
     removed = [strip.strip_inline_references] * o.strip_references + [strip.strip_footnotes] * o.strip_footnotes + [strip.strip_artifacts] * o.strip_artifacts + [blocks.strip_references] * o.strip_references
     step = stepped(step, "t", *removed, strip.polish)
+    if o.output_format in RENDERED:
+        step = guarded.derived(step, "t", o.output_format, *RENDERED[o.output_format])
     good = F.col("error").isNull()
     lines = lambda c: F.size(F.split(c, "\n", -1)).cast("long")
     stats = F.create_map(
@@ -61,8 +71,8 @@ def convert(docs: DataFrame, options: Options | None = None, today: datetime.dat
     markdown = F.when(good, F.col("t"))
     return step.select(
         "doc_id", "filename", F.lit(o.mode).alias("mode"), F.lit(o.output_format).alias("output_format"), markdown.alias("markdown"),
-        (sinks.html_column(markdown) if o.output_format == "html" else F.lit(None).cast("string")).alias("html"),
-        (sinks.docx_column(markdown) if o.output_format == "docx" else F.lit(None).cast("binary")).alias("docx"),
+        (F.col("html") if o.output_format == "html" else F.lit(None).cast("string")).alias("html"),
+        (F.col("docx") if o.output_format == "docx" else F.lit(None).cast("binary")).alias("docx"),
         F.when(good, F.col("pieces")).alias("pieces"), good.alias("success"), "error", F.when(good, stats).alias("stats"),
     )
 

@@ -118,9 +118,9 @@ def tags_topk(docs: DataFrame) -> DataFrame:
     return enrich.tags(docs)
 
 
-def _spread(pattern: str) -> str:
+def _spread(words: list[str]) -> str:
     """A pattern for RE2 whose words are set apart by any other sign; texts are searched with doubled blanks."""
-    return "(?i)(^|[^\\p{L}\\p{N}_])(" + pattern.replace("CP\\b", "CP").replace("IR\\b", "IR") + ")($|[^\\p{L}\\p{N}_])"
+    return "(?i)(^|[^\\p{L}\\p{N}_])(" + "|".join(w.replace(".", "[.]").replace(" ", "\\s+") for w in words) + ")($|[^\\p{L}\\p{N}_])"
 
 
 _COUNTS = "[" + ", ".join(f"len(regexp_extract_all(t, '{_spread(p)}'))" for p in enrich.AREAS.values()) + "]"
@@ -386,13 +386,9 @@ _step("yaml_stripped", strip.strip_yaml, "regexp_extract(text, '(?s)^---\\n.*?\\
 _step("duplicate_numbering", headings.remove_duplicate_numbering, "regexp_extract(text, '^(## \\d+\\. )## \\d+\\. ', 1) || regexp_extract(text, '^## \\d+\\. ## \\d+\\. (.*)$', 1)", "select c_custkey as doc_id, concat('## ', cast(c_custkey as string), '. ## ', cast(c_custkey as string), '. ', c_name) as text from {customer}")
 _step("slugs", scalars.slug, _r("\\s+", "-", _r("[^a-z0-9_\\s-]", "", "lower(text)")), "select p_partkey as doc_id, concat(p_name, ': ', p_brand, '!') as text from {part}")
 _step("headings_rebuilt", paragraphs.rebuild_headings, None)
-_step("paragraphs_rejoined", paragraphs.rejoin_paragraphs, None)
-_step("paragraphs_split", paragraphs.split_long_paragraphs, None, "select doc_id, replace(text, chr(10), ' ') as text from {documents}")
 _step("quotes_detected", blocks.detect_quotes, None, LEGAL)
-_step("items_separated", blocks.separate_items, None)
 _step("heading_gaps_filled", blocks.fill_heading_gaps, None, LEGAL)
 _step("front_matter_stripped", blocks.strip_front_matter, None, LEGAL)
-_step("semantic_format", enrich.semantic_format, None, LEGAL)
 _step("front_matter", lambda t: metadata.front_matter(t, F.lit("arquivo_1.txt"), F.lit(datetime.date(2024, 1, 1)), True, True), None, LEGAL)
 
 

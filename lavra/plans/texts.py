@@ -1,6 +1,6 @@
 """Queries of text operators over made-up texts, with SQL for DuckDB that states each rule by itself.
 
-A fixture is a pool of lines that the rules are about; each customer's text is some of them, in an order of its own.
+A fixture is a pool of lines that the rules are about; each order's text is some of them, in an order of its own.
 """
 
 from __future__ import annotations
@@ -11,18 +11,18 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from lavra.functions.lines import join
-from lavra.operators import blocks, cleaning, enrich, headings, light, strip, structure
-from lavra.plans.queries import query
+from lavra.operators import blocks, cleaning, enrich, headings, light, paragraphs, strip, structure
+from lavra.plans.queries import LEGAL, MESS, query
 
 STRIDES = (1, 3, 5, 7, 11, 13, 17, 19, 23, 29, 31, 37)
 
 
 def picked(pool: list[str], n: int, first: str = "", last: str = "fim do texto") -> str:
-    """Texts of ``n`` lines from ``pool`` for each customer; ``~`` stands for a word, ``^^`` for a number, ``¶`` for a line end."""
-    line = lambda j: f"case (c_custkey * {STRIDES[j % 12]} + {j * j}) % {len(pool)} " + " ".join(f"when {i} then '{x}'" for i, x in enumerate(pool)) + " end"
+    """Texts of ``n`` lines from ``pool`` for each order; ``~`` stands for a word, ``^^`` for a number, ``¶`` for a line end."""
+    line = lambda j: f"case (o_orderkey * {STRIDES[j % 12]} + {j * j}) % {len(pool)} " + " ".join(f"when {i} then '{x}'" for i, x in enumerate(pool)) + " end"
     body = ", '¶', ".join(line(j) for j in range(n))
     whole = f"concat({f"'{first}', '¶', " if first else ''}{body}{f", '¶', '{last}'" if last else ''})"
-    return f"select c_custkey as doc_id, replace(replace(replace({whole}, '~', c_mktsegment), '^^', cast(c_nationkey as string)), '¶', chr(10)) as text from {{customer}}"
+    return f"select o_orderkey as doc_id, replace(replace(replace({whole}, '~', o_orderpriority), '^^', cast(o_custkey % 25 as string)), '¶', chr(10)) as text from {{orders}}"
 
 
 #: ``e``: a row for each line, ``s`` without blanks at its ends, ``l`` all lines, numbered from 1.
@@ -337,3 +337,79 @@ z as (select o.doc_id, o.i, case when o.n > 5 and many >= 3 and o.i >= start the
 select d.doc_id, regexp_replace(coalesce(string_agg(x, chr(10) order by i), ''), '\\n{{4,}}', {THREE}, 'g') as text from (select distinct doc_id from e) d left join z using (doc_id) group by d.doc_id""",
     picked(["## Referências", "# Bibliografia", "### Fontes consultadas", "SILVA, João. Obra de ~. São Paulo, 2010", "DE SOUZA, Ana. Livro. 1999", "COSTA, Rui. Tese. Rio, 2005.", "texto ~", "", "# Título", "## Parte", "#### Fundo", "PINTO, Eva. Outra obra, 2001"], 11, last=""),
 )
+
+
+# --- paragraphs, items, emphasis ---------------------------------------------------------------------------------------
+
+
+def _and(source: str, more: str) -> str:
+    """Two sources of texts in one."""
+    return f"{source} union all select doc_id + 1000000, text from ({more})"
+
+
+_CAP = "A-ZÁÉÍÓÚÀÂÊÔÃÕÇ"
+_ALONE = rf"""(s = '' or s in ('---', '***') or regexp_matches(s, '^([#|]|\* |> |```)') or regexp_matches(s, '^\d+\.\s+[{_CAP}]') or (regexp_matches(s, '^[IVXLC]+\s*[-–—.]\s+[{_CAP}]') and upper(s) = s)
+  or (regexp_matches(s, '\p{{Lu}}') and not regexp_matches(s, '\p{{Ll}}') and length(s) < 100))"""
+_ITEMS = r"regexp_matches(s, '^([a-z]\)|[a-z]\.|[ivxlc]+\)|[IVXLC]+\)|\d+\)|\d+\.|[IVXLC]+\s*[-–—]\s+|§\s*\d+)\s*')"
+_GOES_ON = r"(regexp_matches(before, '(?i)(^|[^\p{L}\p{N}_])(de|da|do|das|dos|na|no|nas|nos|em|com|que|e|ou|para|por|ao|à|aos|às)\s*$') or regexp_matches(s, '^\p{Ll}'))"
+text_query(
+    "paragraphs_rejoined", paragraphs.rejoin_paragraphs,
+    LINES + f""", b as (select *, {_ALONE} as alone from e), p as (select *, lag(case when not alone then s end) over (partition by doc_id order by i) as before from b),
+f as (select *, alone or before is null or {_ITEMS} or (not {_GOES_ON} and (before = '' or regexp_matches(before, '[.!?;]$') or starts_with(s, '- '))) as begins from p),
+g as (select *, sum(begins::int) over (partition by doc_id order by i) as run from f),
+z as (select doc_id, run as i, string_agg(case when alone then line else s end, ' ' order by i) as x from g group by doc_id, run)""" + _lines("x"),
+    _and(picked(["o texto que segue", "  com mais letras.", "Outra frase começa em", "a) item do ~", "- lista", "# título", "> citado", "", "DOS FATOS", "1. Texto ^^", "IV - TEMA", "§ 2 do", "frase que acaba em da  ", "  e continua?", "Não!", "12) doze"], 11), MESS),
+)
+_HELD, _DONE = "regexp_extract(a, '[^¶]*$')", "regexp_replace(a, '[^¶]*$', '')"
+_NEXT = f"case when {_HELD} = '' then x else {_HELD} || ' ' || x end"
+text_query(
+    "paragraphs_split", paragraphs.split_long_paragraphs,
+    LINES + f""", q as (select *, string_split(regexp_replace(s, '([.!?])\\s+([A-ZÀ-Ú])', '\\1¶\\2', 'g'), '¶') as w from e),
+r as (select *, list_reduce([''] || w[:-2], lambda a, x: case when length({_NEXT}) > 200 then {_DONE} || {_NEXT} || '¶' else {_DONE} || {_NEXT} end) as a from q),
+z as (select doc_id, i, case when length(s) <= 400 or regexp_matches(s, '^([#>|]|- |\\* )') or not contains({_DONE}, '¶') then line
+  else replace({_DONE}, '¶', chr(10) || chr(10)) || trim({_HELD} || ' ' || w[-1]) end as x from r)""" + _lines("x"),
+    "select doc_id, replace(text, chr(10), ' ') as text from {documents}",
+)
+_SEMI = r"regexp_matches({0}, ';\s*$')"
+text_query(
+    "items_separated", blocks.separate_items,
+    LINES + _walk(
+        "false as inside, 0::bigint as head",
+        f"""case when p.inside and e.s <> '' and e.s[1] not in ('#', '>') then {_SEMI.format('e.s')} else e.s like '%:' and length(e.s) > 10 and e.s[1] <> '#' end,
+  case when p.inside and e.s <> '' and e.s[1] not in ('#', '>') then p.head when e.s like '%:' and length(e.s) > 10 and e.s[1] <> '#' then e.i else -1 end""",
+    ) + f""", h as (select e.*, st.head, st.head > 0 and st.head < e.i as item from e join st using (doc_id, i)),
+k as (select *, count(*) filter (where item) over (partition by doc_id, head) as many, max(i) over (partition by doc_id, head) as upto, lead(s) over (partition by doc_id order by i) as after from h),
+z as (select doc_id, i, case when item and many > 1 then case when i = head + 1 then chr(10) else '' end || '- ' || regexp_replace(regexp_replace(s, '^[a-z]\\)\\s*', ''), '(?i)^[ivxlc]+\\)\\s*', '') || case when i = upto then chr(10) else '' end
+  when item then s when head <> i and {_SEMI.format('s')} and length(s) > 15 and coalesce({_SEMI.format('after')}, false) then line || chr(10) else line end as x from k)""" + _lines("x"),
+    _and(picked(["são requisitos do ~:", "a) primeiro item;", "ii) segundo item longo;", "terceiro;", "fim da lista.", "", ":", "# título:", "> citado;", "texto ~", "item solto e bem longo;", "outro item solto e longo;  ", "outra lista segue aqui:"], 11), MESS),
+)
+_PHRASES = {
+    "latin": [
+        "vacatio legis", "norma agendi", "jus cogens", "habeas corpus", "habeas data", "ad hoc", "in dubio pro reo", "pacta sunt servanda", "erga omnes", "inter partes", "ex tunc", "ex nunc", "ab initio",
+        "a priori", "a posteriori", "de facto", "de jure", "in limine", "fumus boni juris", "periculum in mora", "res judicata", "modus operandi", "stare decisis", "lex specialis", "lex posterior",
+        "ultra petita", "extra petita", "citra petita", "animus necandi", "animus domini", "lato sensu", "stricto sensu", "ad quem", "a quo", "prima facie", "mutatis mutandis", "data venia",
+        "sine qua non", "numerus clausus", "nulla poena sine lege", "nullum crimen sine lege",
+    ],
+    "concepts": [
+        "pessoa jurídica", "pessoa natural", "capacidade civil", "prescrição", "decadência", "responsabilidade civil", "ato jurídico", "negócio jurídico", "fato jurídico", "obrigação", "contrato", "posse", "propriedade",
+        "boa-fé", "função social", "dignidade da pessoa humana", "devido processo legal", "contraditório", "ampla defesa", "segurança jurídica", "coisa julgada", "ato administrativo", "poder de polícia",
+        "serviço público", "licitação", "dano moral", "dano material", "nexo causal", "tutela antecipada", "tutela provisória",
+    ],
+}
+_APART = "(?i)(^|[^\\p{{L}}\\p{{N}}_*])({0})($|[^\\p{{L}}\\p{{N}}_*])"
+_COURTS = "STF|STJ|TST|TSE|STM|TRF[0-9]?|TJ[A-Z][A-Z]|TJSP|TJRJ|TJMG|TJRS|TJPR|TJSC|TJBA|TJPE|TJCE|TJGO|TJDF"
+_plain = "s[1] <> '#'"
+_first = "".join(
+    f", c{k} as (select doc_id, i, s, case when {_plain} and regexp_matches(t, '{_APART.format(c)}') and i = min(case when {_plain} and regexp_matches(t, '{_APART.format(c)}') then i end) over (partition by doc_id)"
+    f" then regexp_replace(t, '{_APART.format(c)}', '\\1**\\2**\\3') else t end as t from c{k - 1})"
+    for k, c in enumerate(_PHRASES["concepts"], 1)
+)
+_NAMED = " ".join(f"when contains(lower(t), '{a.lower()}') then regexp_replace(t, '{_APART.format(a)}', '\\1**{a}**\\3', 'g')" for a in ("PONTES DE MIRANDA", "MIGUEL REALE", "ORLANDO GOMES"))
+text_query(
+    "semantic_format", enrich.semantic_format,
+    LINES + f""", c0 as (select doc_id, i, s, case when {_plain} then regexp_replace(line, '{_APART.format('|'.join(_PHRASES['latin']))}', '\\1*\\2*\\3', 'g') else line end as t from e){_first},
+u as (select doc_id, i, s, case when {_plain} then regexp_replace(t, '\\b({_COURTS})\\b', '**\\1**', 'g') else t end as t from c{len(_PHRASES['concepts'])}),
+z as (select doc_id, i, case when not {_plain} then t {_NAMED} else t end as x from u)""" + _lines("x"),
+    _and(picked(["o contrato e o Contrato de posse", "# contrato de posse STF", "decisão do STF, do TJSP e TRF3, ad hoc", "em pessoa jurídica e Pessoa Natural", "Pontes de Miranda disse", "diz miguel reale", "boa-fé e prescrição; nexo causal, habeas corpus", "o *contrato* data venia",
+                 "  ## ad hoc", "Dano Moral, dano moral e obrigação", "texto ~", "licitação por ORLANDO GOMES.", "numerus clausus: propriedade"], 9), LEGAL),
+)
