@@ -47,6 +47,7 @@ def detect_quotes(text: Column, citations: bool = True) -> Column:
         stop = F.when(section, "s").when(case | is_numbered_heading(s) | is_roman_heading(s), "t").otherwise("-")
         return F.concat(start, stop, runs.flags(("z", s.contains("”") | s.endswith('"')), ("c", rx.has(s, COURT, "i"))))
 
+    whole = F.coalesce(text, F.lit(""))
     own = lambda r: F.transform(r, lambda x: runs.of(x, 4))
     named = lambda r: rx.has(F.array_join(own(r), " "), COURT, "i")
     opened = f"{L('[^B].[^z].')}*+{L('[^B].z.')}?+"
@@ -67,7 +68,8 @@ def detect_quotes(text: Column, citations: bool = True) -> Column:
     note = f"{L('E...')}(?:{L('[^B][^s]..')}|{L('B...')}{L('[^B][^s]..')})*+{L('B...')}?+"
     quote = f"{L('M...')}|{L('m...')}{opened}|(?:{L('Q...')}|{L('q...')}{opened}){L('...c')}?+"
     case = f"{L('C...')}{L('[^BC]-..')}*+"
-    return runs.plain(runs.rewrite(text, 4, f"{note}|{quote}|{case}", body), 4)
+    # else no line can begin a block
+    return F.when(rx.has(whole, '^\\s*(?:["“]|#{0,6}\\s*EMENTA|No\\s)', "im"), runs.plain(runs.rewrite(text, 4, f"{note}|{quote}|{case}", body), 4)).otherwise(whole)
 
 
 def separate_items(text: Column) -> Column:
@@ -274,5 +276,6 @@ def fill_heading_gaps(text: Column, composed: bool = False) -> Column:
     that stands near.
     """
     text = F.translate(text if composed else scalars.nfc(text), "\xa0\u200b\u200c\u200d\ufeff", " ")
-    lines = split(promote_titles(text))
-    return F.concat_ws("\n", let(let(lines, _numbers_filled), _romans_filled))
+    any_title = rf"\d+\.\s+[{CAPITAL}]|^##\s+\d+\.|^[\s>#]*[IVXLC]+\s*[-–—.]\s"  # else there is nothing to promote or to fill
+    filled = lambda t: F.concat_ws("\n", let(let(split(promote_titles(t)), _numbers_filled), _romans_filled))
+    return let(F.coalesce(text, F.lit("")), lambda t: F.when(rx.has(t, any_title, "m"), filled(t)).otherwise(t))

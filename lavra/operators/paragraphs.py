@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from lavra.functions import runs, rx, scalars
-from lavra.functions.lines import flat_map_lines, one, split
+from lavra.functions.lines import flat_map_lines, let, one, split
 
 # The letters and lines that the rules are about.
 CAPITAL = "A-ZÁÉÍÓÚÀÂÊÔÃÕÇ"
@@ -51,7 +51,9 @@ def rebuild_headings(text: Column, composed: bool = False) -> Column:
     numbered = runs.line("n....") + runs.line(".f...") + "*+"
     found = runs.recode(runs.coded(text, code), runs.line("n...."), numbered, lambda r: (F.size(r) > 1) & (F.char_length(title(r)) > 10), lambda _: F.lit("N"))
     heads = "|".join(runs.line(a) + runs.line(b) + "*+" for a, b in (("N....", ".f..."), ("W....", "..a.."), ("M....", "...b."), ("U....", "....c")))
-    return F.when(F.size(split(text)) < 2, text).otherwise(runs.plain(runs.rewrite(found, 5, heads, lambda r: F.array(title(r))), 5))
+    # else no line can begin a heading: none is a number or numbered title, none has only capitals
+    likely = rx.has(text, rf"^\s*\d+\.(?:\s*$|\s+[{CAPITAL}])|^[^\p{{Ll}}\n]*\p{{Lu}}[^\p{{Ll}}\n]*$", "m") & (F.size(split(text)) > 1)
+    return F.when(likely, runs.plain(runs.rewrite(found, 5, heads, lambda r: F.array(title(r))), 5)).otherwise(text)
 
 
 def is_boundary(s: Column) -> Column:
@@ -70,13 +72,13 @@ def starts_paragraph(before: Column, s: Column) -> Column:
 def rejoin_paragraphs(text: Column, composed: bool = False) -> Column:
     """Runs of lines that a page layout broke become one line each; where one starts depends on two lines only."""
 
-    def code(s: Column, i: Column, all_: Column) -> Column:
-        last = rx.strip(F.get(all_, i - 1))
-        before = F.when((i > 0) & ~is_boundary(last), last)
-        return F.when(is_boundary(s), "X").when(starts_paragraph(before, s), "S").otherwise("j")
+    def whole(lines: Column) -> Column:
+        flow = F.transform(lines, lambda x: let(rx.strip(x), lambda s: F.when(~is_boundary(s), s)))  # null: a boundary
+        code = lambda own, s, i: F.when(s.isNull(), "X").when(starts_paragraph(F.when(i > 0, F.get(own, i - 1)), s), "S").otherwise("j")
+        return let(flow, lambda own: F.concat_ws("", F.transform(lines, lambda x, i: F.concat(let(F.get(own, i), lambda s: code(own, s, i)), x, F.lit("\n")))))
 
-    whole = runs.coded(text if composed else scalars.nfc(text), code)
-    return runs.plain(runs.rewrite(whole, 1, runs.line("S") + runs.line("j") + "*+", lambda r: F.array(spaced(F.transform(r, lambda x: runs.of(x, 1))))), 1)
+    coded = let(split(text if composed else scalars.nfc(text)), whole)
+    return runs.plain(runs.rewrite(coded, 1, runs.line("S") + runs.line("j") + "*+", lambda r: F.array(spaced(F.transform(r, lambda x: runs.of(x, 1))))), 1)
 
 
 def split_long_paragraphs(text: Column, threshold: int = 400) -> Column:

@@ -108,8 +108,9 @@ def remove_note_numbers(text: Column) -> Column:
     What cites or counts is said by looking around, so each rule is one replacement.  Front matter, fields, headings and rows stay.
     """
     small, cites = "a-záéíóúàâêôãõç", f"(?<!{'|'.join(CITES)})"
-    stuck = rf"(?<=[{small}.,:;!?)\]\"”]){cites}\d{{1,2}}(?=[\s.,;:!?)\]]|$)(?!(?i:\s+de\s+(?:{'|'.join(MONTHS)})))"
-    alone = rf"(?<=[{small}]){cites}\s+\d{{1,2}}\s+(?=[{small}])(?!(?:,|e|ou|a)\s*\d)"
+    # a cheap look ahead comes first: few places have a digit
+    stuck = rf"(?<=[{small}.,:;!?)\]\"”])(?=\d){cites}\d{{1,2}}(?=[\s.,;:!?)\]]|$)(?!(?i:\s+de\s+(?:{'|'.join(MONTHS)})))"
+    alone = rf"(?<=[{small}])(?=\s+\d){cites}\s+\d{{1,2}}\s+(?=[{small}])(?!(?:,|e|ou|a)\s*\d)"
     field = rf"^(?:{'|'.join(FIELDS + MORE_FIELDS)})\s*:"
     freed = lambda x: F.regexp_replace(rx.sub(rx.sub(x, stuck, ""), alone, " "), "  +", " ")
     fixed = lambda x: let(rx.strip(x), lambda s: F.when((s == "---") | rx.has(s, "^[#|]") | rx.has(s, field, "i"), x).otherwise(freed(x)))
