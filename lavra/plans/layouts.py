@@ -12,6 +12,7 @@ from lavra.plans import pipeline
 from lavra.plans.options import Options
 from lavra.plans.queries import _DETECT, _PIECES, _STOP, LEGAL, QUERIES, SQL, duck, made, query
 from lavra.plans.texts import LINES, picked, text_query
+from lavra.sources import files as sources
 
 # --- pages -----------------------------------------------------------------------------------------------------------
 
@@ -237,6 +238,22 @@ QUERIES["status_rollup"] = status_rollup
 SQL["status_rollup"] = _FATE + " select count(*) as total, count(*) filter (where error is null) as converted, count(*) filter (where error is not null) as failed from f"
 
 
+# --- encodings ---------------------------------------------------------------------------------------------------------
+
+
+def charsets(spark: SparkSession, sf_dir: str):
+    """Each document's text as bytes of one of five forms of Unicode, and the text that detection makes of them; one-byte encodings are a guess and tested on cases."""
+    docs = made(spark, sf_dir, "select doc_id, coalesce(text, '') as text from {documents}")
+    kind, text = F.col("doc_id") % 5, F.col("text")
+    marked = F.concat(F.lit(b"\xef\xbb\xbf"), F.encode(text, "UTF-8"))
+    bytes_ = F.when(kind == 0, F.encode(text, "UTF-8")).when(kind == 1, F.encode(text, "UTF-16LE")).when(kind == 2, F.encode(text, "UTF-16")).when(kind == 3, F.encode(text, "UTF-16BE")).otherwise(marked)
+    return docs.select("doc_id", F.sha2(sources.decode(bytes_), 256).alias("text_sha256"))
+
+
+QUERIES["charsets"] = charsets
+SQL["charsets"] = "select doc_id, sha256(coalesce(text, '')) as text_sha256 from documents"
+
+
 # --- relations behind rewriters ----------------------------------------------------------------------------------------
 
 

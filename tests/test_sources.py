@@ -111,16 +111,16 @@ def test_pages_of_a_pdf(spark):
     pages.append(Page([((50, 100, 300, 115), "antes"), ((100, 300, 200, 310), "na tabela")], [((90, 290, 400, 400), [["a", "b"], ["1", None]])]))
     rows = []
     for n, page in enumerate(pages):
-        rows.append((1, "page", n, 0, 0, 612.0, 842.0, 0.0, 0.0, 612.0, 842.0, ""))
-        rows += [(1, "block", n, i, 0, 612.0, 842.0, *map(float, b["bbox"]), b["lines"][0]["spans"][0]["text"]) for i, b in enumerate(page.get_text("dict")["blocks"])]
-        rows += [(1, "table", n, i, 0, 612.0, 842.0, *map(float, t.bbox), files.pipe_table([[c or "" for c in r] for r in t.extract()])) for i, t in enumerate(page.tables)]
-    rows.append((2, "error", 0, 0, 0, *[0.0] * 6, "broken"))
+        rows.append(("1", "page", n, 0, 0, 612.0, 842.0, 0.0, 0.0, 612.0, 842.0, ""))
+        rows += [("1", "block", n, i, 0, 612.0, 842.0, *map(float, b["bbox"]), b["lines"][0]["spans"][0]["text"]) for i, b in enumerate(page.get_text("dict")["blocks"])]
+        rows += [("1", "table", n, i, 0, 612.0, 842.0, *map(float, t.bbox), files.pipe_table([[c or "" for c in r] for r in t.extract()])) for i, t in enumerate(page.tables)]
+    rows.append(("2", "error", 0, 0, 0, *[0.0] * 6, "broken"))
     parts = spark.createDataFrame(rows, files.PARTS)
-    got = {r["seq"]: r for r in files.pdf_texts(parts).collect()}
+    got = {r["path"]: r for r in files.pdf_texts(parts).collect()}
     body = [f"linha {i} de {n}" for n in range(4) for i in range(3)]
-    assert got[1]["text"].split("\n") == [*body, "e1", "e2", "d1", "d2", "d3", "antes", "| a | b |", "| --- | --- |", "| 1 |  |"]
-    assert got[2]["text"] is None and got[2]["error"] == "broken"
-    assert {r["seq"]: r for r in files.pdf_texts(parts, "2, 9").collect()}[1]["text"].split("\n") == body[3:6]
+    assert got["1"]["text"].split("\n") == [*body, "e1", "e2", "d1", "d2", "d3", "antes", "| a | b |", "| --- | --- |", "| 1 |  |"]
+    assert got["2"]["text"] is None and got["2"]["error"] == "broken"
+    assert {r["path"]: r for r in files.pdf_texts(parts, "2, 9").collect()}["1"]["text"].split("\n") == body[3:6]
 
 
 def test_a_pdf_is_read_page_by_page(monkeypatch):
@@ -134,8 +134,19 @@ def test_a_pdf_is_read_page_by_page(monkeypatch):
     fitz = types.ModuleType("fitz")
     fitz.open = lambda stream, filetype: Doc([Page([((1, 2, 3, 4), "um")], [((5, 6, 7, 8), [["a"], [" b\nc"]])])])
     monkeypatch.setitem(sys.modules, "fitz", fitz)
-    got = files.pdf_rows(7, b"")
+    got = files.pdf_rows("a.pdf", b"")
     assert [r[1] for r in got] == ["page", "block", "table"] and got[1][7:] == (1.0, 2.0, 3.0, 4.0, "um") and got[2][-1] == "| a |\n| --- |\n| b c |"
     monkeypatch.setitem(sys.modules, "fitz", None)
     with pytest.raises(RuntimeError, match="PyMuPDF"):
-        files.pdf_rows(7, b"")
+        files.pdf_rows("a.pdf", b"")
+
+
+def test_encodings_are_found(spark):
+    pt = "A decisão não é válida: São Paulo, ação e omissão. “Citação” – fim… Ébano, CORAÇÃO, até às três."
+    plain = pt.translate(str.maketrans({"“": '"', "”": '"', "–": "-", "…": "."}))
+    pl, ru = "Zażółć gęślą jaźń; łódź i źródło są tu, więc idź.", "Привет, мир! Это решение суда не является окончательным."
+    cases = [(pt, e) for e in ("utf-8", "utf-8-sig", "utf-16", "utf-16-le", "utf-16-be", "cp1252", "mac-roman")]
+    cases += [(plain, "iso8859-1"), (pl, "iso8859-2"), (ru, "cp1251"), (ru, "utf-8"), ("plain", "ascii"), ("", "utf-8"), ("café", "latin-1"), ("¿qué?", "cp1252"), ("«Élan»", "cp1252")]
+    rows = spark.createDataFrame([(i, bytearray(t.encode(e))) for i, (t, e) in enumerate(cases)] + [(99, None)], "i int, b binary")
+    got = {r["i"]: r["x"] for r in rows.select("i", files.decode(F.col("b")).alias("x")).collect()}
+    assert [got[i] for i in range(len(cases))] == [t for t, _ in cases] and got[99] is None
