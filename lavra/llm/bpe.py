@@ -15,6 +15,8 @@ from itertools import repeat
 
 import numpy as np
 
+from lavra.llm.common import kept, let_go
+
 #: White space as the pre-tokenizer's ``\s`` has it (Unicode's White_Space).
 _WS = "\t-\r \x85\xa0  -     　"
 _CHUNK = re.compile(f"[{_WS}]*[^{_WS}]+|[{_WS}]+")
@@ -202,12 +204,13 @@ class ChunkEncoder:
                     parts = []
 
 
-_ENCODERS: dict[int, ChunkEncoder] = {}
+_ENCODERS: dict[int, ChunkEncoder] = kept()
 
 
 def encoder(spec: str) -> ChunkEncoder:
     """This worker's encoder for the tokenizer file's content; tasks that follow use it again."""
     key = hash(spec)
+    let_go(_ENCODERS)
     if key not in _ENCODERS:
         _ENCODERS.clear()
         _ENCODERS[key] = ChunkEncoder(spec)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import uuid
 from collections.abc import Callable
 
@@ -12,6 +14,31 @@ from pyspark.sql import functions as F
 LOCAL_CHECKPOINTS = "/tmp/checkpoints"
 
 
+#: Tables that this Python worker keeps for tasks that follow, by the operator that made them.
+_KEPT: list[dict] = []
+
+
+def kept() -> dict:
+    """A place for an operator's tables that outlive a task; ``let_go`` empties it."""
+    _KEPT.append({})
+    return _KEPT[-1]
+
+
+def let_go(but: dict | None = None) -> None:
+    """Frees the tables of all operators but one, so a worker that serves one operator after the other holds those of one.
+
+    The memory goes back to the system, where the C library can do that; a worker would else keep it for its own.
+    """
+    others = [x for x in _KEPT if x and x is not but]
+    if others:
+        for x in others:
+            x.clear()
+        gc.collect()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+        if trim:
+            trim(0)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors share: ``spark.checkpoint.dir``."""
     at = spark.conf.get("spark.checkpoint.dir", None)

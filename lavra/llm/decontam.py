@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lavra.llm.common import aside, materialized, row_key
+from lavra.llm.common import aside, kept, let_go, materialized, row_key
 
 _WORD_BYTES = frozenset([*range(0x30, 0x3A), *range(0x61, 0x7B), *range(0x80, 0x100)])
 _FOLD = bytes(b + 32 if 0x41 <= b <= 0x5A else b if b in _WORD_BYTES else 0x20 for b in range(256))
@@ -138,11 +138,12 @@ def _pieces(benchmark: DataFrame, id_col: str, text_col: str, size: int, limit:
         yield held
 
 
-_SEARCHERS: dict[str, Searcher] = {}
+_SEARCHERS: dict[str, Searcher] = kept()
 
 
 def _searcher(key: str, shipped, size: int) -> Searcher:
     """This worker's tables for a broadcast list of items; tasks that follow use them again."""
+    let_go(_SEARCHERS)
     if key not in _SEARCHERS:
         _SEARCHERS.clear()
         _SEARCHERS[key] = Searcher(shipped.value, size)

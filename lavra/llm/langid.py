@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lavra.llm.common import aside, materialized
+from lavra.llm.common import aside, let_go, materialized
 
 #: Letters and n-grams are hashed into so many buckets.
 DIM = 1 << 14
@@ -168,6 +168,7 @@ def fit(docs: DataFrame, sample: int = SAMPLE, id_col: str = "doc_id", text_col:
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """``kind`` is a language's number for a drawn document; -1: ``n`` documents have an n-gram of bucket ``key``; -2: ``n`` documents."""
         row = lambda *columns: pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, kinds, strict=True)], ["kind", "key", "n", "a", "b"])
+        let_go()
         df, n = np.zeros(DIM, np.int64), 0
         for b in batches:
             for key, text, lang in zip(b.column(0).to_pylist(), b.column(1), b.column(2).to_pylist(), strict=True):
@@ -216,6 +217,7 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
     slim = docs.select(F.col(id_col), F.col(text_col), *(F.col(c) for c in carry), F.lit("").alias("lang_pred"), F.lit(0.0).alias("score"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go()
         model = shipped.value
         for b in batches:
             got = [model.predict(t.as_py()) for t in b.column(1)]

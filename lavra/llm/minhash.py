@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lavra.llm.common import drop_folder, materialized, new_folder, real_id, row_key
+from lavra.llm.common import drop_folder, let_go, materialized, new_folder, real_id, row_key
 
 HALVES, DEPTH = 11, 3
 #: Shingles that a block of a family holds about; a task compares two blocks at once.
@@ -100,6 +100,7 @@ def described(docs: DataFrame, words: int = 5, id_col: str = "doc_id", text_col:
     """``ord, tie, n, digest, sigs`` per row: set size, 128 bits of hash of the set, signatures (null without shingles)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go()
         for b in batches:
             n, digest, sigs = [], [], []
             for t in b.column(2):
@@ -165,6 +166,7 @@ def verified(docs: DataFrame, stars: DataFrame, share: int, of: int, words: int
     met = members.join(centres.join(stars.select("centre").distinct(), "centre", "left_semi").hint("merge"), "centre").select("node", "centre", "text", "centre_text")
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go()
         last, own = None, np.empty(0, np.uint64)
         for b in batches:
             a, c, hit = b.column(0), b.column(1), []
@@ -250,6 +252,7 @@ def links(docs: DataFrame, members: DataFrame, share: int, of: int, words: int =
     tasks = placed.select("node", "ord", "tie", "family", F.concat(within, upward, downward).alias("tasks"))
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go()
         for b in batches:
             own = pa.array([shingles(t.as_py(), words).tobytes() for t in b.column(3)], pa.binary())
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), own], ["node", "family", "tasks", "own"])

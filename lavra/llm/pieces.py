@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lavra.llm.common import drop_folder, materialized, new_folder
+from lavra.llm.common import drop_folder, kept, let_go, materialized, new_folder
 
 MARK = "▁"
 #: Longer chunks hardly repeat and are not counted.
@@ -216,11 +216,12 @@ def chunk_table(docs: DataFrame, model: bytes, text_col: str = "text", head: int
     return table
 
 
-_SEGMENTERS: dict[str, Segmenter] = {}
+_SEGMENTERS: dict[str, Segmenter] = kept()
 
 
 def _segmenter(key: str, model, table) -> Segmenter:
     """This worker's table for a broadcast; tasks that follow use it again."""
+    let_go(_SEGMENTERS)
     if key not in _SEGMENTERS:
         _SEGMENTERS.clear()
         _SEGMENTERS[key] = Segmenter(model.value, *(table.value if table else ()))

@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lavra.llm.bpe import chunks, encoder, read_spec, special_strings, windows
+from lavra.llm.common import kept, let_go
 
 #: Fixed value: the pattern of byte-level pre-tokenizers.
 PRE_TOKEN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
@@ -91,7 +92,7 @@ class Counter:
         return total
 
 
-_COUNTERS: dict[int, Counter] = {}
+_COUNTERS: dict[int, Counter] = kept()
 
 
 def count_tokens(docs: DataFrame, path: str, limit: int = 512, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -107,6 +108,7 @@ def count_tokens(docs: DataFrame, path: str, limit: int = 512, id_col: str = "do
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         spec, whole = shipped.value
         key = hash(spec)
+        let_go(_COUNTERS)
         if key not in _COUNTERS:
             _COUNTERS.clear()
             _COUNTERS[key] = Counter(spec, whole)

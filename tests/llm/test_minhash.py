@@ -99,3 +99,26 @@ def test_words_do_not_depend_on_the_window(monkeypatch):
     whole = minhash.word_hashes(text)
     monkeypatch.setattr(minhash, "WINDOW", 7)
     assert (minhash.word_hashes(text) == whole).all()
+
+
+def test_a_worker_lets_go_of_other_operators_tables(spark, monkeypatch):
+    import public_tokenizers
+
+    from lavra.llm import bpe, decontam, langid
+
+    spec = bpe.read_spec(public_tokenizers.path("byte_bpe_50k.json"))
+    docs = spark.createDataFrame([(1, "a b", "pt")], "doc_id long, text string, lang string")
+    steps = []
+    frame = type(docs)
+    plain = frame.mapInArrow
+    monkeypatch.setattr(frame, "mapInArrow", lambda self, f, *a, **k: steps.append(f) or plain(self, f, *a, **k))
+    minhash.described(docs)
+    langid.predict(docs, langid.Model([], np.ones(langid.DIM), np.zeros((langid.DIM, 0)), np.zeros(0), 1.0))
+    assert len(steps) == 2
+    for step in steps:
+        bpe.encoder(spec)
+        decontam._SEARCHERS["x"] = None
+        assert list(step(iter([]))) == [] and not bpe._ENCODERS and not decontam._SEARCHERS
+    decontam._SEARCHERS["x"] = None
+    one = bpe.encoder(spec)
+    assert bpe.encoder(spec) is one and not decontam._SEARCHERS
