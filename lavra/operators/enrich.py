@@ -220,31 +220,49 @@ def legal_area(text: Column, sample: int = 8000) -> Column:
 def tags(docs: DataFrame, most: int = 5, least_letters: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, rank, tag, n``: each document's most frequent words that are no stop words; the first seen wins ties.
 
-    The count per document and word is aggregated before the shuffle; the rank needs a document's distinct words only.
+    A row's words are counted within the row, and only its ``most`` tags are shuffled to see whether its id is its own.  Rows
+    that share an id are one document; the words of these alone are shuffled.
     """
-    words = docs.select(F.col(id_col).alias("doc_id"), F.posexplode(rx.all_of(F.lower(F.col(text_col)), f"[a-záéíóúàâêôãõç]{{{least_letters},}}")).alias("at", "tag"))
-    counts = words.filter(~F.col("tag").isin(STOP_WORDS)).groupBy("doc_id", "tag").agg(F.count("*").alias("n"), F.min("at").alias("at"))
+    own = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    per_row = own.select("doc_id", counted_words(_tag_words(F.col("text"), least_letters), most).alias("found"))
+    per_id = per_row.groupBy("doc_id").agg(F.count("*").alias("rows"), F.first("found").alias("found"))
+    alone = per_id.filter("rows = 1").select("doc_id", F.posexplode("found").alias("rank", "t"))
+    alone = alone.select("doc_id", (F.col("rank") + 1).alias("rank"), F.col("t.w").alias("tag"), (-F.col("t.less")).cast("long").alias("n"))
+    shared = per_id.filter("rows > 1").select(F.col("doc_id").alias("_id"))
+    words = own.join(shared, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi").select("doc_id", F.posexplode(_tag_words(F.col("text"), least_letters)).alias("at", "tag"))
+    counts = words.groupBy("doc_id", "tag").agg(F.count("*").alias("n"), F.min("at").alias("at"))
     rank = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.col("n").desc(), "at"))
-    return counts.withColumn("rank", rank).filter(F.col("rank") <= most).select("doc_id", "rank", "tag", "n")
+    return alone.union(counts.withColumn("rank", rank).filter(F.col("rank") <= most).select("doc_id", "rank", "tag", "n"))
 
 
-def top_words(words: Column, most: int) -> Column:
-    """The most frequent of an array's words; the first seen wins ties.  Equal words meet by sorting, so no word is compared with all."""
+def _tag_words(text: Column, least_letters: int) -> Column:
+    return F.filter(rx.all_of(F.lower(text), f"[a-záéíóúàâêôãõç]{{{least_letters},}}"), lambda w: ~w.isin(STOP_WORDS))
+
+
+def counted_words(words: Column, most: int) -> Column:
+    """The most frequent of an array's words: ``less`` (their number below zero), ``at`` (the first place), ``w``; the first seen wins ties.
+
+    Equal words meet by sorting, so no word is compared with all.
+    """
 
     def count(found: Column) -> Column:
         n = F.size(found)
         starts = F.filter(F.sequence(F.lit(0), n - 1), lambda i: (i == 0) | (F.get(found, i)["w"] != F.get(found, i - 1)["w"]))
         runs_ = lambda at: F.transform(at, lambda i, k: F.struct((i - F.coalesce(F.get(at, k + 1), n)).alias("less"), F.get(found, i)["at"].alias("at"), F.get(found, i)["w"].alias("w")))
-        return F.transform(F.slice(F.array_sort(let(starts, runs_)), 1, most), lambda x: x["w"])
+        return F.slice(F.array_sort(let(starts, runs_)), 1, most)
 
     placed = F.array_sort(F.transform(words, lambda w, i: F.struct(w.alias("w"), i.alias("at"))))
-    return let(placed, lambda found: F.when(F.size(found) > 0, count(found)).otherwise(F.array().cast("array<string>")))
+    return let(placed, lambda found: F.when(F.size(found) > 0, count(found)).otherwise(F.array().cast("array<struct<less:int,at:int,w:string>>")))
+
+
+def top_words(words: Column, most: int) -> Column:
+    """The most frequent of an array's words; the first seen wins ties."""
+    return F.transform(counted_words(words, most), lambda x: x["w"])
 
 
 def tag_list(text: Column, most: int = 5, least_letters: int = 4) -> Column:
     """The same as an array within the row, for the pipeline; null for null."""
-    words = F.filter(rx.all_of(F.lower(text), f"[a-záéíóúàâêôãõç]{{{least_letters},}}"), lambda w: ~w.isin(STOP_WORDS))
-    return F.when(text.isNotNull(), top_words(words, most))
+    return F.when(text.isNotNull(), top_words(_tag_words(text, least_letters), most))
 
 
 _ALERT = r"^(?:ATENÇÃO|Atenção|Cuidado|CUIDADO|Importante|IMPORTANTE|Não\s+confundir|Distinção|DISTINÇÃO|Observação|OBSERVAÇÃO)\s*[:\-–—]?\s*"
@@ -267,26 +285,39 @@ def insert_callouts(text: Column) -> Column:
     return flat_map_lines(text, body)
 
 
+def _by_letter(names: list[str]) -> str:
+    """An alternation that looks at each first letter once; names with the same one keep their order."""
+    groups: dict[str, list[str]] = {}
+    for name in names:
+        groups.setdefault(name[0].lower(), []).append(name[1:])
+    return "|".join(f"{first}(?:{'|'.join(rest)})" for first, rest in groups.items())
+
+
 def semantic_format(text: Column) -> Column:
-    """Italics for Latin phrases, bold for the first mention of a concept, for courts and for named authors; headings stay."""
-    word = lambda names: rf"(?<!\*)\b({'|'.join(names)})\b(?!\*)"
-    outside = lambda t, p, change: F.when(rx.has(t, p), map_lines(t, lambda x: F.when(rx.strip(x).startswith("#"), x).otherwise(change(x)))).otherwise(t)
-    latin, concept = f"(?i:{word(LATIN)})", rf"(?m:^\s*#[^\n]*$)|(?i:{word(CONCEPTS)})"
-
-    def first_mentions(t: Column) -> Column:
-        """The text between mentions, and the mentions: in bold where none of the same concept comes before."""
-        found = rx.all_of(t, concept)
-        bold = lambda own: F.transform(own, lambda m, i: F.when(rx.has(m, r"^\s*#") | (F.array_position(F.transform(own, F.lower), F.lower(m)) <= i), m).otherwise(F.concat(F.lit("**"), m, F.lit("**"))))
-        return let(F.split(t, rx.rx(concept), -1), lambda gaps: let(let(found, bold), lambda own: F.concat_ws("", F.flatten(F.transform(gaps, lambda g, i: F.array(g, F.coalesce(F.get(own, i), F.lit(""))))))))
-
-    def authors(line: Column) -> Column:
-        for name in AUTHORS:
-            line = rx.sub(line, word([name]), f"**{name}**", "i")
-        return line
-
-    text = let(outside(text, latin, lambda x: rx.sub(x, latin, "*$1*")), lambda t: F.when(rx.has(t, word(CONCEPTS), "i"), first_mentions(t)).otherwise(t))
-    text = let(text, lambda t: outside(t, COURTS, lambda x: rx.sub(x, COURTS, "**$1**")))
-    return let(text, lambda t: outside(t, f"(?i:{word(AUTHORS)})", authors))
+    """Italics for Latin phrases, bold for the first mention of a concept, for courts and for named authors; headings stay.
+
+    One search finds all kinds and headings, so a text is read once: no phrase of one kind holds, or reaches into, one of another.
+    """
+    kinds = "|".join(f"({_by_letter(names)})" for names in (LATIN, CONCEPTS, AUTHORS))
+    # no word begins behind a small letter: a cheap test before the dear ones
+    found = rf"((?m:^)\s*#[^\n]*)|(?<![a-z0-9])(?=\p{{L}})\b(?:(?<!\*)(?i:{kinds})\b(?!\*)|{COURTS.removeprefix(chr(92) + 'b')})"
+    gap = "\ufdd1"
+    parts = F.split(rx.sub(text, found, f"{runs.CUT}{gap.join(f'${i}' for i in range(1, 6))}{runs.CUT}"), runs.CUT, -1)
+
+    def put(kinds: Column, own: Column, i: Column) -> Column:
+        heading, latin, concept, author, court = (F.get(kinds, k) for k in range(5))
+        bold = lambda x: F.concat(F.lit("**"), x, F.lit("**"))
+        return (
+            F.when(latin != "", F.concat(F.lit("*"), latin, F.lit("*"))).when(concept != "", F.when(F.array_position(own, F.lower(concept)) <= i, concept).otherwise(bold(concept)))
+            .when(author != "", bold(F.translate(F.upper(author), "İ", "I"))).when(court != "", bold(court)).otherwise(heading)
+        )
+
+    def whole(parts: Column) -> Column:
+        split_ = F.transform(parts, lambda p, i: F.when(i % 2 == 1, F.split(p, gap, -1)))
+        mentions = lambda s: F.transform(s, lambda k: F.lower(F.get(k, 2)))
+        return let(split_, lambda s: let(mentions(s), lambda own: F.concat_ws("", F.transform(parts, lambda p, i: F.when(i % 2 == 1, put(F.get(s, i), own, i)).otherwise(p)))))
+
+    return let(parts, lambda ps: F.when(F.size(ps) > 1, whole(ps)).otherwise(text))
 
 
 def smart_callouts(text: Column) -> Column:

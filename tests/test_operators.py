@@ -190,3 +190,24 @@ def test_sinks():
     for part in ("<title>T &amp; x</title>", "<th>a</th>", "<blockquote>", "<li>i</li>", "<strong>b</strong>", '<a href="u">l</a>', "<hr>", "<h4>h4</h4>"):
         assert part in html
     assert sinks.to_docx(md) == sinks.to_docx(md)
+
+
+def test_semantic_format_reads_a_text_once(spark):
+    docs = spark.createDataFrame([("o contrato e o Contrato, ad hoc no STF\n# posse STF\nmiguel reale, posse e Posse *data venia*",)], "text string")
+    out = docs.select(enrich.semantic_format(F.col("text")).alias("text"))
+    assert out.first()[0] == "o **contrato** e o Contrato, *ad hoc* no **STF**\n# posse STF\n**MIGUEL REALE**, **posse** e Posse *data venia*"
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_replace(") + plan.count("regexp_extract_all(") + plan.count("RLIKE") == 1
+
+
+def test_tags_shuffle_a_few_words_a_document(spark):
+    store = spark.sparkContext._jsc.sc().statusStore()
+    stages = lambda: store.stageList(None, False, False, *(getattr(store, f"stageList$default${i}")() for i in (4, 5)))
+    written = lambda: (lambda found: sum(found.apply(i).shuffleWriteRecords() for i in range(found.size())))(stages())
+    word = lambda i: "".join(chr(97 + int(c)) for c in f"{i:05d}")
+    docs = spark.createDataFrame([(d, " ".join(word(d * 400 + i) for i in range(400))) for d in range(50)], "doc_id long, text string")
+    before = written()
+    assert enrich.tags(docs).count() == 250
+    assert written() - before < 50 * 20
+    twice = spark.createDataFrame([(1, "muro casa"), (1, "casa"), (None, "muro muro casa"), (None, "casa casa"), (2, None)], "doc_id long, text string")
+    assert sorted(map(tuple, enrich.tags(twice).collect()), key=str) == sorted([(1, 1, "casa", 2), (1, 2, "muro", 1), (None, 1, "casa", 3), (None, 2, "muro", 2)], key=str)
