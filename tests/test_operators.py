@@ -211,3 +211,17 @@ def test_tags_shuffle_a_few_words_a_document(spark):
     assert written() - before < 50 * 20
     twice = spark.createDataFrame([(1, "muro casa"), (1, "casa"), (None, "muro muro casa"), (None, "casa casa"), (2, None)], "doc_id long, text string")
     assert sorted(map(tuple, enrich.tags(twice).collect()), key=str) == sorted([(1, 1, "casa", 2), (1, 2, "muro", 1), (None, 1, "casa", 3), (None, 2, "muro", 2)], key=str)
+
+
+def test_a_carriage_return_costs_no_character(spark):
+    assert apply(spark, paragraphs.rejoin_paragraphs, "uma linha\n\r1. A segue") == "uma linha\n\r1. A segue"
+    assert apply(spark, blocks.separate_items, "uma\r1 linha") == "uma\r1 linha"
+
+
+def test_lines_are_coded_once(spark):
+    docs = spark.createDataFrame([("1. DOS\nFATOS",)], "text string")
+    plan = lambda fn: docs.select(fn(F.col("text")).alias("text"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan(lambda t: paragraphs.rebuild_headings(t, True)).count("PRELIMINAR|") == 1
+    rejoined = plan(lambda t: paragraphs.rejoin_paragraphs(t, True))
+    assert "regexp_replace(" not in rejoined and rejoined.count("RLIKE") <= 6
+    assert plan(blocks.separate_items).count("RLIKE") == 0
