@@ -4,6 +4,10 @@ A chunk is a run of white space and the run of other characters behind it.  The
 files never puts a character that is no white space and a following white-space character into one pre-token,
 so a text's ids are its chunks' ids one after the other.  Chunks repeat; the library therefore merges each
 distinct chunk once, and texts become a gather over a table of ids.
+
+Common texts are cut as bytes, many at once: chunk borders come from array comparisons, Arrow numbers the distinct
+chunks, and only those become Python strings.  There a chunk also ends between a Latin letter and an ASCII mark, which never
+share a pre-token; few words with many marks then stay few chunks.
 """
 
 from __future__ import annotations
@@ -14,6 +18,7 @@ from collections.abc import Iterable, Iterator
 from itertools import repeat
 
 import numpy as np
+import pyarrow as pa
 
 from lavra.llm.common import kept, let_go
 
@@ -27,6 +32,12 @@ _WS_ANY = re.compile(f"[{_WS}]")
 _END_OF_CHUNK = re.compile(f"(?<=[^{_WS}])(?=[{_WS}])")
 #: Characters of text handled at once; bounds a worker's memory whatever the length of a text.
 WINDOW = 1_000_000
+#: Bytes of whole texts whose chunks are numbered at once.
+GROUP = 4_000_000
+#: What a byte is: 1 white space, 2 an ASCII letter, 4 an ASCII mark.
+_KIND = np.array([(c in b"\t\n\x0b\x0c\r ") + 2 * (c < 128 and chr(c).isalpha()) + 4 * (33 <= c < 127 and not chr(c).isalnum()) for c in range(256)], np.uint8)
+#: Bytes with which white space above ASCII, or a character of ``_UNSURE``, may begin.
+_LEAD = np.isin(np.arange(256), [0x1C, 0x1D, 0x1E, 0x1F, 0xC2, 0xE1, 0xE2, 0xE3])
 
 
 def spaced(text: str) -> bool:
@@ -57,6 +68,38 @@ def windows(text: str, size: int = WINDOW) -> Iterator[str]:
     yield text[at:] if at else text
 
 
+def high_spaces(data: np.ndarray) -> np.ndarray:
+    """Places in UTF-8 bytes of white space above ASCII (and a few neighbours), and of characters of ``_UNSURE``."""
+    at = np.flatnonzero(_LEAD[data])
+    if not at.size:
+        return at
+    a, b, c = (data[np.minimum(at + k, data.size - 1)] for k in range(3))
+    two = (a == 0xC2) & ((b == 0x85) | (b == 0xA0))
+    one = (a == 0xE1) & ((b == 0x9A) & (c == 0x80) | (b == 0xA0) & (c == 0x8E))
+    general = (a == 0xE2) & ((b == 0x80) & ((c <= 0x8A) | (c >= 0xA8) & (c <= 0xAF)) | (b == 0x81) & (c == 0x9F))
+    return at[(a < 0x20) | two | one | general | (a == 0xE3) & (b == 0x80) & (c == 0x80)]
+
+
+def borders(data: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Where chunks start in texts that lie one after the other, the i-th from ``ends[i]`` to ``ends[i + 1]``.
+
+    White space must be ASCII.  A newline between two other characters is a chunk.
+    """
+    kind = _KIND[data]
+    white = (kind & 1).view(bool)
+    starts = np.zeros(data.size + 1, bool)
+    starts[ends] = True
+    starts[1:-1] |= white[1:] & ~white[:-1]
+    lone = data[1:-1] == 10
+    lone &= ~white[:-2]
+    lone &= ~white[2:]
+    starts[2:-1] |= lone
+    letter = kind == 2
+    letter[1:] |= (data[:-1] == 0xC3) & (data[1:] != 0x97) & (data[1:] != 0xB7)  # two-byte letters but the signs of times and division
+    starts[1:-1] |= letter[:-1] & (kind[1:] == 4)
+    return np.flatnonzero(starts[:-1])
+
+
 def chunkable(spec: str) -> bool:
     """Whether a tokenizer file's ids of a text are those of its chunks: byte-level, with nothing that looks across white space."""
     d = json.loads(spec)
@@ -83,11 +126,12 @@ class ChunkEncoder:
         self.tok.no_truncation()
         self.tok.no_padding()
         self.chunkable = chunkable(spec)
+        self.special = [x.encode() for x in special_strings(spec)]
         self.row: dict[str, int] = {}
         self.flat, self.off, self.used = np.empty(1 << 16, np.uint32), np.zeros(1 << 12, np.int64), 0
         newline = self._whole("\n")
         self.newline = newline[0] if len(newline) == 1 else None
-        self._add([""], [len(newline)], np.array(newline, np.uint32), keep=True)
+        self._add(["", "\n"], [len(newline)] * 2, np.array(newline * 2, np.uint32), keep=True)
 
     def _whole(self, text: str) -> list[int]:
         return self.tok.encode(text, add_special_tokens=False).ids
@@ -172,8 +216,64 @@ class ChunkEncoder:
     def _unsure(self, text: str | None) -> bool:
         return bool(text) and (not self.chunkable or bool(_UNSURE.search(text)))
 
-    def encode(self, texts: list[str | None]) -> list[np.ndarray]:
+    def encode(self, texts: list[str | None] | pa.Array) -> list[np.ndarray]:
         """Ids of each text as unsigned 32-bit integers; null counts as the empty text."""
+        column = (texts if isinstance(texts, pa.Array) else pa.array(texts, pa.large_string())).cast(pa.large_string()).fill_null("")
+        if not len(column):
+            return []
+        _, at, raw = column.buffers()
+        ends = np.frombuffer(at, np.int64, len(column) + 1, 8 * column.offset)
+        data = np.frombuffer(raw, np.uint8) if raw else np.empty(0, np.uint8)
+        out: list[np.ndarray] = []
+        first = 0
+        while first < len(column):
+            last = max(first + 1, int(np.searchsorted(ends, ends[first] + GROUP, side="right")) - 1)
+            out += self._group(data[ends[first] : ends[last]], ends[first : last + 1] - ends[first])
+            first = last
+        return out
+
+    def _group(self, data: np.ndarray, ends: np.ndarray) -> list[np.ndarray]:
+        """Ids of texts that lie one after the other; those that need a look at their characters go by themselves."""
+        odd = self._odd(data, ends)
+        if not odd.any():
+            return self._numbered(data, ends)
+        own = {i: data[ends[i] : ends[i + 1]] for i in range(odd.size)}
+        rest = [own[i] for i in range(odd.size) if not odd[i]]
+        easy = iter(self._numbered(np.concatenate(rest), np.concatenate([[0], np.cumsum([x.size for x in rest])])) if rest else [])
+        hard = iter(self._each([own[i].tobytes().decode() for i in np.flatnonzero(odd).tolist()]))
+        return [next(hard) if x else next(easy) for x in odd.tolist()]
+
+    def _odd(self, data: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """Texts that are long or hold special strings, white space above ASCII or unsure characters; all, if not ``chunkable``."""
+        odd = np.diff(ends) > WINDOW
+        if not self.chunkable:
+            odd[:] = True
+        if odd.all():
+            return odd
+        odd[np.searchsorted(ends, high_spaces(data), side="right") - 1] = True
+        raw = data.tobytes()
+        for special in self.special:
+            at = raw.find(special)
+            while at >= 0:
+                i = int(np.searchsorted(ends, at, side="right")) - 1
+                odd[i] = True
+                at = raw.find(special, int(ends[i + 1]))
+        return odd
+
+    def _numbered(self, data: np.ndarray, ends: np.ndarray) -> list[np.ndarray]:
+        """Ids of texts by the numbers that Arrow gives to their distinct chunks."""
+        starts = borders(data, ends)
+        if not starts.size:
+            return [np.empty(0, np.uint32)] * (ends.size - 1)
+        offsets = np.append(starts, data.size).astype(np.int32)
+        found = pa.StringArray.from_buffers(starts.size, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(data))).dictionary_encode()
+        rows = self.rows(found.dictionary.to_numpy(zero_copy_only=False).tolist())[found.indices.to_numpy()]
+        ids = self._gather(rows)
+        at = np.concatenate([[0], np.cumsum(self.off[rows + 1] - self.off[rows])])[np.searchsorted(starts, ends)].tolist()
+        return [ids[a:b] for a, b in zip(at, at[1:], strict=False)]
+
+    def _each(self, texts: list[str]) -> list[np.ndarray]:
+        """Ids of each text, cut as characters or, where that is not sure, by the library."""
         sure = [None if self._unsure(t) else t for t in texts]
         out = list(self._ids(sure))
         for i, (a, b) in enumerate(zip(texts, sure, strict=True)):

@@ -57,7 +57,7 @@ def pack(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     grid[:, :BLOCK] = body.reshape(blocks, BLOCK)
     flat = grid.reshape(-1)
     bits = _classes(flat)
-    sel = np.full(flat.size, ESCAPE, np.uint8)
+    sel = np.zeros(flat.size, np.uint8)
     longest: dict[int, np.ndarray] = {1: bits}
 
     def top(n: int) -> np.ndarray:
@@ -70,10 +70,11 @@ def pack(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
             longest[n] = out
         return longest[n]
 
-    for k in range(len(SELECTORS) - 1, -1, -1):  # the selector with the most ids comes last and stays
-        np.copyto(sel, np.uint8(k), where=top(SELECTORS[k][0]) <= k)
-    step = np.array([n for n, _ in SELECTORS] + [1, 1], np.int64)[sel]
-    cost = np.where(sel == ESCAPE, 2, 1)
+    for k, (n, _) in enumerate(SELECTORS):  # what fits a selector fits all that follow it, so those that do not fit count up to the first that does
+        sel += top(n) > k
+    sel[sel == len(SELECTORS)] = ESCAPE
+    step = np.array([n for n, _ in SELECTORS] + [1, 1], np.int64)
+    cost = np.array([1] * ESCAPE + [2], np.int64)
     start = np.arange(blocks, dtype=np.int64) * wide
     end = start + np.minimum(BLOCK, ids.size - np.arange(blocks, dtype=np.int64) * BLOCK)
     at, live, n_words = start.copy(), np.arange(blocks), np.zeros(blocks, np.int64)
@@ -83,18 +84,20 @@ def pack(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         found_at.append(here)
         found_block.append(live)
         found_word.append(n_words[live])
-        n_words[live] += cost[here]
-        at[live] = here + step[here]
-        live = live[at[live] < end[live]]
+        kind = sel[here]
+        n_words[live] += cost[kind]
+        here = here + step[kind]
+        at[live] = here
+        live = live[here < end[live]]
     first = np.concatenate([[0], np.cumsum(n_words)])
     pos = np.concatenate(found_at)
     word = first[np.concatenate(found_block)] + np.concatenate(found_word)
     out = np.zeros(int(first[-1]), np.uint64)
     chosen = sel[pos]
     for k, (n, w) in enumerate(SELECTORS):
-        m = chosen == k
-        if m.any():
-            p, value = pos[m], np.full(int(m.sum()), k << 60, np.uint64)
+        m = np.flatnonzero(chosen == k)
+        if m.size:
+            p, value = pos[m], np.full(m.size, k << 60, np.uint64)
             for j in range(n):
                 value |= flat[p + j] << np.uint64(j * w)
             out[word[m]] = value
@@ -188,9 +191,9 @@ def write_token_files(docs: DataFrame, folder: str, path: str, end_id: int = 0,
             return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(row, (pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary()), strict=True)], ["part", "seg", "n_docs", "n_ids", "image"])
 
         for b in batches:
-            for lo in range(0, b.num_rows, 256):
-                some = b.slice(lo, 256)
-                for key, ids in zip(some.column(0).to_pylist(), enc.encode(some.column(1).to_pylist()), strict=True):
+            for lo in range(0, b.num_rows, 1024):
+                some = b.slice(lo, 1024)
+                for key, ids in zip(some.column(0).to_pylist(), enc.encode(some.column(1)), strict=True):
                     keys.append(key)
                     arrays.append(np.concatenate([ids, tail]))
                     held += ids.size + 1

@@ -2,6 +2,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -184,3 +185,17 @@ def test_equal_ids_are_dealt_apart(spark):
     got = sorted(tokenbin.round_trip(docs, PATH).collect(), key=lambda r: r["start"])
     assert [r["doc_id"] for r in got] == [None] * 300 + [5] * 400
     assert all(a["start"] + a["n_tokens"] == b["start"] for a, b in zip(got, got[1:], strict=False))
+
+
+def test_chunks_of_many_texts_are_numbered_at_once(tok, monkeypatch):
+    texts = [*TEXTS, "Wort*** noch%%% Wörter&&& x's 'll", "a×b÷c", "a\n\nb\n", "\nb", " b", "a\xa0 \tb", "“a” — b。　c"] * 3
+    for group in (bpe.GROUP, 20):
+        monkeypatch.setattr(bpe, "GROUP", group)
+        enc = bpe.ChunkEncoder(bpe.read_spec(PATH))
+        got = enc.encode(pa.array(["cut off", *texts]).slice(1))
+        assert [a.tolist() for a in got] == [ids(tok, t) for t in texts]
+    asked = []
+    enc = bpe.ChunkEncoder(bpe.read_spec(PATH))
+    monkeypatch.setattr(enc, "merge", lambda new, merge=enc.merge: asked.extend(new) or merge(new))
+    enc.encode([f"{w}{m} {w}{m}" for w in ("aa", "bé", "cc") for m in ("", ".", "%%%", "&&&", "***", ",$$$")])
+    assert len(asked) == 11  # three words, each with a space before it and without, and five runs of marks; 33 chunks with the marks on
