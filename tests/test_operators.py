@@ -146,6 +146,19 @@ def test_headers_footers_and_columns(spark):
     assert layout.outside_tables(b, rects).count() == len(blocks) - 1
 
 
+def test_page_texts_with_tables_and_empty_pages(spark):
+    one = [(1, 0, 50.0, 300.0, "b"), (1, 1, 50.0, 500.0, " a "), (1, 2, 50.0, 700.0, "c")]
+    two = [(2, b, x, y, t) for b, (x, y, t) in enumerate([(50.0, 400.0, "l2"), (350.0, 100.0, "r1"), (50.0, 300.0, "l1"), (350.0, 400.0, "r2")])]
+    b = spark.createDataFrame([(d, 0, k, 0, x, y, x + 200, y + 20, t) for d, k, x, y, t in one + two], "doc_id long, page_idx int, blk_idx int, type int, x0 double, y0 double, x1 double, y1 double, text string")
+    p = spark.createDataFrame([(d, 0, 612.0, 792.0) for d in (1, 2, 3, 4)], "doc_id long, page_idx int, width double, height double")
+    rects = spark.createDataFrame([(d, 0, 40.0, 290.0, 260.0, 330.0) for d in (1, 2)], "doc_id long, page_idx int, x0 double, y0 double, x1 double, y1 double")
+    tables = spark.createDataFrame([(d, 0, k, f"|t{k}|") for d in (1, 2, 3) for k in (1, 0)], "doc_id long, page_idx int, tbl_idx int, markdown string")
+    texts = lambda *a, **k: {r["doc_id"]: r["text"] for r in layout.page_texts(b, p, *a, **k).collect()}
+    assert texts(rects, tables) == {1: "a\nc\n|t0|\n|t1|", 2: "l1\nl2\nr1\nr2", 3: "|t0|\n|t1|", 4: ""}
+    assert texts(rects, tables, columns=False) == {1: "a\nc\n|t0|\n|t1|", 2: "l2\nr1\nr2\n|t0|\n|t1|", 3: "|t0|\n|t1|", 4: ""}
+    assert texts() == {1: "b\na\nc", 2: "l1\nl2\nr1\nr2", 3: "", 4: ""}
+
+
 def test_page_cache(spark):
     cache = spark.createDataFrame([("a", "por", "um", datetime.datetime(2024, 1, 1)), ("a", "por", "dois", datetime.datetime(2024, 2, 1)), ("b", "por", " ", datetime.datetime(2024, 2, 1))], "page_hash string, lang string, text string, created_at timestamp")
     put = layout.cache_put(cache.limit(0), cache)

@@ -43,6 +43,12 @@ def test_layout_queries_read_all_blocks(spark):
     assert order.count() == spark.read.parquet(f"{DATA}/lineitem.parquet").count()
 
 
+@pytest.mark.parametrize("name", ["page_texts", "header_footer_long"])
+def test_blocks_are_numbered_once(spark, name):
+    plan = registry.queries()[name](spark, DATA)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("row_number()") == 1  # the blocks' texts are built and shuffled by one window; other passes read only places
+
+
 @pytest.mark.parametrize("name", sorted(set(registry.queries()) - set(registry.oracle_sql())))
 def test_query_without_sql_runs(spark, name):
     df = registry.queries()[name](spark, DATA)
