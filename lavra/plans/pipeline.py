@@ -50,7 +50,7 @@ def convert(docs: DataFrame, options: Options | None = None, today: datetime.dat
         step = step.withColumn("yaml", F.concat(F.regexp_replace("yaml", r"---\z", ""), F.array_join(metadata.yaml_lines(rag_fields(F.col("t"), day)), "\n"), F.lit("\n---")))
     titled = F.regexp_extract("yaml", 'titulo: "(.+?)"', 1)
     step = step.withColumn("toc", structure.contents(F.col("t")) if o.generate_toc else F.lit(""))
-    whole_h1 = F.exists(F.split("t", "\n", -1), lambda x: rx.strip(x).startswith("# "))
+    whole_h1 = rx.has(F.col("t"), r"^\s*# [^\n]*\S", "m")
     h1 = F.when(whole_h1 | (titled == ""), F.lit("")).otherwise(F.concat(F.lit("# "), titled, F.lit("\n\n")))
     step = step.withColumn("t", F.concat("yaml", F.lit("\n\n"), h1, F.when(F.col("toc") != "", F.concat("toc", F.lit("\n"))).otherwise(F.lit("")), "t"))
     none = F.array().cast("array<struct<title:string,content:string>>")
@@ -77,6 +77,15 @@ def convert(docs: DataFrame, options: Options | None = None, today: datetime.dat
     )
 
 
+def spread(docs: DataFrame) -> DataFrame:
+    """``docs`` dealt out evenly, whatever they hold.
+
+    A table's file may be one row group, which one task reads; converting costs far more than moving a text once.  The number of a row
+    depends on the input only, so a task that is run again deals the same.
+    """
+    return docs.withColumn("__at", F.monotonically_increasing_id()).repartition("__at").drop("__at")
+
+
 def convert_folder(spark: SparkSession, path: str, options: Options | None = None, glob: str | None = None, today: datetime.date | None = None) -> DataFrame:
     """All files of a folder; ``doc_id`` is a number of the path, which is carried as ``filename`` by its last part."""
     o = options or Options()

@@ -6,10 +6,11 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from lavra.functions import runs
-from lavra.operators import blocks, guarded, paragraphs, structure
+import __spark_entry__
+from lavra.functions import runs, rx
+from lavra.operators import blocks, cleaning, guarded, metadata, paragraphs, strip, structure
 from lavra.plans.options import Options
-from lavra.plans.pipeline import convert, rollup
+from lavra.plans.pipeline import convert, rollup, spread
 from lavra.sources import sinks
 
 from . import brute
@@ -104,3 +105,36 @@ def test_the_pipeline_goes_on_past_bad_rows(spark, monkeypatch):
     got = {r["doc_id"]: r for r in results.collect()}
     assert got[2]["error"] == "RuntimeError: no page" and got[2]["html"] is None and got[1]["html"].startswith("<!DOCTYPE html>")
     assert rollup(results).first().asDict() == {"total": 3, "converted": 2, "failed": 1}
+
+
+def test_one_row_group_is_converted_by_all_tasks(spark, tmp_path):
+    """A table of one row group, its rows equal, is dealt out evenly; the pipeline's query does so."""
+    one = spark.range(400).select(F.lit(1).alias("doc_id"), F.lit("Um texto.").alias("text"))
+    one.coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        dealt = [r["count"] for r in spread(one.coalesce(1)).groupBy(F.spark_partition_id()).count().collect()]
+        tasks = __spark_entry__.queries()["document_pipeline"](spark, str(tmp_path)).select(F.spark_partition_id().alias("p")).distinct().count()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert sum(dealt) == 400 and len(dealt) == 4 and min(dealt) > 50
+    assert tasks == 4
+
+
+def test_cheap_tests_let_all_pass_that_a_rule_changes(spark):
+    """Lines in letters that only fold to those of a rule, and such as a rule alone would find."""
+    letters = spark.createDataFrame([(chr(i),) for i in range(0x20, 0xD800)], "x string").cache()
+    for c in "abcdefghijklmnopqrstuvwxyz":
+        assert letters.filter(rx.has(F.col("x"), f"^{c}$", "i") != rx.has(F.col("x"), f"^{rx.either(c)}$")).count() == 0, c
+    assert all(any(s in w for s in cleaning.READER_SIGNS) for w in cleaning.READER_WORDS)
+    cases = [
+        (structure.mark_headings, "iii – do direito", "## iii – do direito"), (structure.mark_headings, "\u200bcláusula x", "## cláusula x"), (structure.mark_headings, "o recurso\u200b ", "o recurso"),
+        (strip.strip_ui, "a\n ſaiba maıs em x", "a\n"), (strip.strip_catalog, "a\nıſbn 1\n\nCDD 2\nb\nc\nd", "d"), (strip.fix_urls, "httpswww.a", "https://www.a"),
+        (strip.strip_artifacts, "a\n---\n\nPág. 3\nb", "a\n---\n\nb"), (strip.strip_inline_references, "SILVA, J. Acesso\nSILVA, J. Acesso em: x", "SILVA, J. Acesso\n"),
+        (cleaning.normalize_whitespace, "a\u2003\n\x0bb\u3000", "a\nb"), (cleaning.remove_residual_pagination, "a\n\u2003pág. 3\nb", "a\nb"),
+        (blocks.strip_references, "a\n# REFERÊNCIAS\nb", "a"), (blocks.strip_front_matter, "a\n  titulo : x\nb", "a\nb"),
+        (metadata.issuer, "do tribunal de justiça\nx", "tribunal de justiça"), (metadata.issuer, "tribunal, x\n", None),
+    ]
+    for fn, before, after in cases:
+        got = spark.createDataFrame([(before,)], "t string").select(fn(F.col("t"))).first()[0]
+        assert got == after, (fn.__name__, got)
